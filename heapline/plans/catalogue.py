@@ -6,14 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems
-
-_MODULES = (problems,)
+from . import problems, views  # noqa: F401 - views register themselves
+from .base import REGISTRY
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for m in _MODULES for name, f in m.queries().items()}
+    return {**{name: q.run for name, q in REGISTRY.items()}, **problems.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _MODULES for name, sql in m.oracle_sql().items()}
+    return {**{name: q.sql for name, q in REGISTRY.items() if q.sql}, **problems.oracle_sql()}
