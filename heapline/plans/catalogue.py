@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import findings, problems, summary, views  # noqa: F401 - views register themselves
+from . import findings, problems, status, summary, views  # noqa: F401 - views register themselves
 from .base import REGISTRY
 
 
