@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cluster import shared_checkpoint
+
 # Canonical column, its target type, and the names it is known by.  A name ending in a unit other
 # than seconds has its factor to seconds in UNIT_SUFFIXES.
 ALIASES: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -131,7 +133,7 @@ def changes(df: DataFrame, spec: DriftSpec = DriftSpec()) -> DataFrame:
     line has no fields.  Null producers or files form a producer of their own;
     re-delivered lines change nothing; an empty table gives an empty report.
     """
-    foot = footers(df, spec)
+    foot = shared_checkpoint(footers(df, spec))  # read three times below; of the size of files x fields
     files = foot.select(F.col("producer").alias("at_producer"), F.col("ord").alias("at_ord"), F.col("file").alias("at_file")).distinct()
     spans = lifespans(foot)
     starts = spans.filter(F.col("first_ord") > 1).select(
