@@ -1,9 +1,10 @@
 """Percentiles of very large numeric columns from dyadic Count-sketches.
 
 A value is encoded on a logarithmic scale into ``bits`` bits; for each binary
-resolution of the code (level j: ``code >> j``) there is one sketch.  Levels with
-no more than ``width`` nodes hold exact counters; finer ones hold a signed
-Count-sketch of ``depth`` rows by ``width`` counters.  Sketches are linear: they
+resolution of the code (level j: ``code >> j``) there is one sketch.  Levels finer
+than ``width`` nodes hold a signed Count-sketch of ``depth`` rows by ``width``
+counters; the first level of at most ``width`` nodes holds exact counters, and the
+coarser ones are sums of them, made when a sketch is read.  Sketches are linear: they
 merge by addition (of partitions, logs or days) and take deletions as negative
 weights.  A percentile is found by descending the levels: at each node the
 counts of both children are estimated (median over the rows, then fitted to the
@@ -15,7 +16,7 @@ most about ``rank_error`` (a share of n), computed from the sketch itself as
 three standard errors of its estimates.
 
 A sketch is a table (group..., cell, value), cell naming level, row and counter, of at most
-``levels * depth * width`` rows a group, whatever the number of values.
+``(levels * depth + 1) * width`` rows a group, whatever the number of values.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ _SEED = 42
 class SketchSpec:
     bits: int = 16
     width: int = 4096
-    depth: int = 7
+    depth: int = 5
     low: float = 1e-9
     high: float = 1e9
 
@@ -56,6 +57,11 @@ class SketchSpec:
         """Whether this level is a Count-sketch; else its counters are exact."""
         return (1 << (self.bits - level)) > self.width
 
+    @property
+    def exact(self) -> int:
+        """The level whose counters are kept exactly."""
+        return next(j for j in range(self.bits + 1) if not self.signed(j))
+
 
 def encode(value: Column, spec: SketchSpec) -> Column:
     """Code of a value that is not negative; values below ``low`` are code 0, those above ``high`` the last."""
@@ -71,7 +77,7 @@ def decode(code: int, spec: SketchSpec) -> float:
 def _keys(code: Column, spec: SketchSpec) -> Column:
     """Array of the keys (level, row, node) that one code touches."""
     out = []
-    for level in range(spec.bits + 1):
+    for level in range(spec.exact + 1):
         node = F.shiftright(code, level)
         for row in range(spec.depth if spec.signed(level) else 1):
             out.append(node + F.lit((level << _LEVEL) + (row << _ROW)))
@@ -91,10 +97,9 @@ def build_sketch(df: DataFrame, groups: Sequence[str], value: str, weight: str |
     ok = v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v < F.lit(float("inf")))
     codes = df.filter(ok).select(*groups, encode(v, spec).alias("code"), w.alias("w")).groupBy(*groups, "code").agg(F.sum("w").alias("w"))
     keys = codes.filter("w <> 0").select(*groups, F.explode(_keys(F.col("code").cast("bigint"), spec)).alias("key"), "w")
-    finest_exact = next(j for j in range(spec.bits + 1) if not spec.signed(j))
     level_row = F.col("key").bitwiseAND(F.lit(~_PLACE))
     hashed = F.xxhash64("key")
-    signed = F.col("key") < F.lit(finest_exact << _LEVEL)
+    signed = F.col("key") < F.lit(spec.exact << _LEVEL)
     cell = F.when(signed, level_row + F.pmod(hashed, F.lit(spec.width))).otherwise(F.col("key"))
     add = F.when(signed & (F.shiftrightunsigned(hashed, 63) == 1), -F.col("w")).otherwise(F.col("w"))
     return merge(keys.select(*groups, cell.alias("cell"), add.alias("value")), groups)
@@ -113,6 +118,9 @@ class _Inverter:
         level, row, cell = key >> _LEVEL, (key >> _ROW) & 0xFF, key & _PLACE
         for j in range(spec.bits + 1):
             signed = spec.signed(j)
+            if j > spec.exact:
+                self.tables.append(self.tables[-1].reshape(1, -1, 2).sum(axis=2))
+                continue
             table = np.zeros((spec.depth if signed else 1, spec.width if signed else 1 << (spec.bits - j)), np.int64)
             at = level == j
             table[row[at], cell[at]] = value[at]
