@@ -105,20 +105,20 @@ def sentences(text: str, spec: LangSpec = LangSpec()) -> list[tuple[int, int, st
     return out
 
 
-_SCRIPT = re.compile(r"(?P<h>[㐀-鿿豈-﫿])|(?P<c>[Ѐ-ӿ])|(?P<l>[A-Za-zÀ-ɏ])")
+_SCRIPT = re.compile(r"(?P<h>[㐀-鿿豈-﫿]+)|(?P<c>[Ѐ-ӿ]+)|(?P<l>[A-Za-zÀ-ɏ]+)")
 
 
 def _scripts(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """The stretch cut where its script changes, if each side holds more than a word (a sentence may be cut off without an end)."""
-    marks = [(m.start(), m.lastgroup) for m in _SCRIPT.finditer(text, start, end)]
-    if len({k for _, k in marks}) < 2:
+    if text[start:end].isascii():
         return [(start, end)]
     runs: list[list] = []
-    for at, kind in marks:
+    for m in _SCRIPT.finditer(text, start, end):
+        kind, weight = m.lastgroup, (m.end() - m.start()) * (3 if m.lastgroup == "h" else 1)
         if runs and runs[-1][1] == kind:
-            runs[-1][2] += 3 if kind == "h" else 1
+            runs[-1][2] += weight
         else:
-            runs.append([at, kind, 3 if kind == "h" else 1])
+            runs.append([m.start(), kind, weight])
     cuts, last = [start], None
     for at, kind, weight in runs:
         if weight < 12:
@@ -132,7 +132,7 @@ def _scripts(text: str, start: int, end: int) -> list[tuple[int, int]]:
 def _monotonous(letters: str) -> bool:
     """A few letters again and again: no language."""
     head = letters[:200]
-    return len(head) >= 20 and len({head[i : i + 3] for i in range(len(head) - 2)}) * 5 < len(head)
+    return len(head) >= 20 and len(set(head)) < 8 and len({head[i : i + 3] for i in range(len(head) - 2)}) * 5 < len(head)
 
 
 _NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -144,6 +144,8 @@ def bare(s: str) -> str:
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+#: Leading bits of a hash by which the sorted tables are entered.
+_PREFIX = 16
 
 
 def _grams(codes: np.ndarray, order: int) -> list[np.ndarray]:
@@ -181,9 +183,33 @@ class Models:
     base: float = 1 / 8000
     first: np.ndarray | None = None  # weight of the base under no context
     limits: np.ndarray | None = None  # least mean log-probability of a sentence of each language
+    rows: list[np.ndarray] = field(default_factory=list)
+    prefix: list[tuple[np.ndarray, int]] = field(default_factory=list)
+
+    def pack(self) -> None:
+        """Rows (own mass, weight handed down) in single precision with a last row for unknown n-grams, and where each hash prefix begins."""
+        self.rows, self.prefix = [], []
+        for keys, own, give in self.tables:
+            none = np.concatenate([np.zeros(own.shape[1]), np.ones(own.shape[1])]).astype(np.float32)
+            self.rows.append(np.concatenate([np.concatenate([own, give], axis=1).astype(np.float32), none[None, :]]))
+            begins = np.searchsorted(keys, np.arange(1 << _PREFIX, dtype=np.uint64) << np.uint64(64 - _PREFIX)).astype(np.int32)
+            longest = int(np.diff(np.append(begins, len(keys))).max()) if len(keys) else 0
+            self.prefix.append((begins, longest))
+
+    def _find(self, n: int, h: np.ndarray) -> np.ndarray:
+        """Row of each hash in table n; the last row where it is unknown."""
+        keys, (begins, longest) = self.tables[n][0], self.prefix[n]
+        out = np.full(len(h), len(keys), np.int32)
+        at = begins[h >> np.uint64(64 - _PREFIX)]
+        for k in range(longest):
+            place = np.minimum(at + k, len(keys) - 1)
+            np.copyto(out, place, where=keys[place] == h)
+        return out
 
-    def scores(self, pieces: list[str], chunk: int = 150_000) -> np.ndarray:
+    def scores(self, pieces: list[str], chunk: int = 16_000) -> np.ndarray:
         """Log-probability of each piece under each language."""
+        if not self.rows:
+            self.pack()
         out = np.zeros((len(pieces), len(self.langs)))
         at = 0
         while at < len(pieces):
@@ -197,24 +223,20 @@ class Models:
 
     def _score(self, pieces: list[str]) -> np.ndarray:
         codes, starts, ends = _codes(pieces, self.order)
-        p = np.broadcast_to((self.first * self.base).astype(np.float32), (len(codes), len(self.langs))).copy()
-        hand = None
-        for (keys, own, give), h in zip(self.tables, _grams(codes, self.order), strict=True):
-            if hand is not None:  # weights of the contexts that end one place before
-                seen = np.zeros(len(codes), bool)
-                seen[1:] = hand[0][:-1]
-                rows = hand[1][np.flatnonzero(seen) - 1]
-                p[seen] *= rows
-            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = keys[k] == h
-            p[hit] += own[k[hit]]
-            full = np.ones((len(codes), len(self.langs)), np.float32)
-            full[hit] = give[k[hit]]
-            hand = (hit, full)
-        logs = np.log(p)
-        total = np.zeros((len(codes) + 1, len(self.langs)))
-        np.cumsum(logs, axis=0, out=total[1:])
-        return total[ends] - total[starts]
+        k = len(self.langs)
+        p = np.empty((len(codes), k), np.float32)
+        p[:] = self.first * self.base
+        context = None
+        for n, h in enumerate(_grams(codes, self.order)):
+            got = self.rows[n].take(self._find(n, h), axis=0)
+            if context is not None:  # the context of an n-gram ends one place before it
+                p[1:] *= context[:-1, k:]
+            p += got[:, :k]
+            context = got
+        np.log(p, out=p)
+        edges = np.stack([starts, ends - 1], axis=1).ravel()  # the closing space is added below
+        sums = np.add.reduceat(p, edges, axis=0, dtype=np.float64)[::2]
+        return sums + p[ends - 1]
 
 
 def fit(samples: dict[str, list[str]], order: int = 5) -> Models:
@@ -274,6 +296,7 @@ def fit(samples: dict[str, list[str]], order: int = 5) -> Models:
         by = np.argsort(keys, kind="stable")
         model.tables.append((keys[by], o[by], w[by]))
     model.first = first
+    model.pack()
     return model
 
 
@@ -334,7 +357,8 @@ def train(samples: DataFrame, docs: DataFrame, spec: LangSpec = LangSpec()) -> M
 
 
 def _weight(letters: str) -> int:
-    return sum(3 if "㐀" <= c <= "鿿" else c != " " for c in letters)
+    plain = len(letters) - letters.count(" ")
+    return plain if letters.isascii() else plain + 2 * sum("㐀" <= c <= "鿿" for c in letters)
 
 
 def segments_of(model: Models, texts: list[str | None], spec: LangSpec = LangSpec()) -> list[list[tuple[int, int, str, float, int]]]:
