@@ -16,9 +16,10 @@ entry begins) comes from one summary row a shard.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def _clean(line: Column) -> Column:
 
 
 def shards(df: DataFrame, spec: LogSpec = LogSpec()) -> DataFrame:
-    """Distinct lines (path, shard, no, text, toks, shape, n): a line delivered again counts once, the first id is kept.
+    """Distinct lines (path, shard, no, text, toks, n, shape_id): a line delivered again counts once, the first id is kept.
 
     Rows without path, number or text belong to no file and are left out.
     """
@@ -82,12 +83,13 @@ def shards(df: DataFrame, spec: LogSpec = LogSpec()) -> DataFrame:
         .filter(F.col("before").isNull() | (F.col("before") != F.col("no")))
         .drop("before", "id")
     )
-    all_toks = F.regexp_extract_all(F.col("text"), F.lit(TOKEN), F.lit(0))
+    # U+0001 joins tokens below, so it cannot be one
+    all_toks = F.regexp_extract_all(F.translate("text", "\u0001", " "), F.lit(TOKEN), F.lit(0))
     toks = once.withColumn("all_toks", all_toks)
     toks = toks.select("path", "shard", "no", "text", F.slice("all_toks", 1, HEADER).alias("toks"), F.size("all_toks").alias("n"))
-    masked = F.transform("toks", lambda x: F.regexp_replace(x, "[0-9]+", "0"))
     indented = F.col("text").rlike("^\\s") | (F.col("n") == 0)
-    return toks.withColumn("shape", F.when(~indented, masked))
+    masked = F.regexp_replace(F.array_join("toks", "\u0001"), "[0-9]+", "0")
+    return toks.withColumn("shape_id", F.when(~indented, F.xxhash64("n", masked)))
 
 
 def _split_by_least_variable(leaves: DataFrame, spec: LogSpec, rounds: int = 3) -> DataFrame:
@@ -102,7 +104,7 @@ def _split_by_least_variable(leaves: DataFrame, spec: LogSpec, rounds: int = 3)
         )
         at = F.coalesce(F.get("shape", F.col("pos")), F.lit(""))
         step = F.when(F.col("pos").isNull(), F.col("leaf")).otherwise(F.concat_ws("\u0001", "leaf", F.col("pos").cast("string"), at))
-        leaves = leaves.join(best, "leaf", "left").withColumn("leaf", step).drop("pos")
+        leaves = shared_checkpoint(leaves.join(best, "leaf", "left").withColumn("leaf", step).drop("pos"))
     return leaves
 
 
@@ -125,35 +127,40 @@ def _split_by_bijection(leaves: DataFrame) -> DataFrame:
     both = both.join(fan_a, ["leaf", "a"], "left").join(fan_b, ["leaf", "b"], "left")
     one = F.when((F.col("fan_a") == 1) & (F.col("fan_b") == 1), F.concat(F.lit("="), "a", F.lit("\u0002"), "b"))
     many = F.when(F.col("fan_a") == 1, F.concat(F.lit(">"), "b")).when(F.col("fan_b") == 1, F.concat(F.lit("<"), "a"))
-    return both.withColumn("leaf", F.concat_ws("\u0001", "leaf", F.coalesce(one, many, F.lit("*")))).select("shape", "n", "lines", "leaf")
+    return both.withColumn("leaf", F.concat_ws("\u0001", "leaf", F.coalesce(one, many, F.lit("*")))).select("shape_id", "shape", "n", "lines", "leaf")
 
 
 def mine_templates(lines: DataFrame, spec: LogSpec = LogSpec()) -> DataFrame:
-    """(shape, n, lines, leaf): every distinct shape with its leaf partition.  ``lines`` as from :func:`shards`."""
-    shapes = lines.filter(F.col("shape").isNotNull()).groupBy("shape", "n").agg(F.count(F.lit(1)).alias("lines"))
-    leaves = shapes.withColumn("leaf", F.col("n").cast("string"))
+    """(shape_id, shape, n, lines, leaf): every distinct shape with its leaf partition.  ``lines`` as from :func:`shards`.
+
+    A shape is known by a 64-bit hash of its masked tokens and their number; two
+    of a million shapes share one with a probability below 1e-7.
+    """
+    kept = lines.filter(F.col("shape_id").isNotNull())
+    shapes = kept.groupBy("shape_id").agg(F.min("n").alias("n"), F.min(F.array_join("toks", "\u0001")).alias("toks"), F.count(F.lit(1)).alias("lines"))
+    masked = F.split(F.regexp_replace("toks", "[0-9]+", "0"), "\u0001")
+    shapes = shapes.select("shape_id", masked.alias("shape"), "n", "lines")
+    # each round reads the shapes twice, so its result is written before the next one begins
+    leaves = shared_checkpoint(shapes.withColumn("leaf", F.col("n").cast("string")))
     return _split_by_bijection(_split_by_least_variable(leaves, spec))
 
 
+_KINDS = ("level", "month", "letter_date", "word", "stamp", "date", "clock", "uptime", "num")
 _ROLE_FIELDS = "leaf string, template string, lines bigint, kind string, ts_pos int, level_pos int, comp_pos int"
 
 
-def _is_level(tok: str) -> bool:
-    return len(tok) > 1 and tok.lower() in SEVERITIES
-
-
 class _Slots:
     """Header of one template: constant token or None for each position, and what all its values have in common."""
 
-    def __init__(self, rows: pd.DataFrame):
-        self.size = int(rows["pos"].max()) + 1
+    def __init__(self, cells: list[dict]):
+        self.size = max(c["pos"] for c in cells) + 1
         self.const: list[str | None] = [None] * self.size
-        self.all: dict[str, list[bool]] = {k: [False] * self.size for k in ("level", "month", "letter_date", "word", "stamp", "date", "clock", "uptime", "num")}
-        for r in rows.itertuples(index=False):
-            if r.n_values == 1:
-                self.const[r.pos] = r.tok
-            for k in self.all:
-                self.all[k][r.pos] = bool(getattr(r, f"all_{k}"))
+        self.all = {k: [False] * self.size for k in _KINDS}
+        for c in cells:
+            if c["one"]:
+                self.const[c["pos"]] = c["tok"]
+            for k in _KINDS:
+                self.all[k][c["pos"]] = c[k]
 
     def has(self, kind: str, p: int) -> bool:
         return 0 <= p < self.size and self.all[kind][p]
@@ -232,18 +239,22 @@ def _placed(s: _Slots) -> tuple[str, int, int, int] | None:
     return kind, p, level, comp
 
 
-def _roles(rows: pd.DataFrame) -> pd.DataFrame:
-    s = _Slots(rows)
-    got = _keyed(s) or _placed(s) or ("", -1, -1, -1)
-    text = " ".join("<*>" if c is None else c for c in s.const)
-    r0 = rows.iloc[0]
-    return pd.DataFrame([[r0["leaf"], text, int(rows["lines"].max()), *got]], columns=["leaf", "template", "lines", "kind", "ts_pos", "level_pos", "comp_pos"])
+def _roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for leaf, lines, cells in zip(*(batch.column(c).to_pylist() for c in ("leaf", "lines", "cells")), strict=True):
+            s = _Slots(cells)
+            text = " ".join("<*>" if c is None else c for c in s.const)
+            out.append((leaf, text, lines, *(_keyed(s) or _placed(s) or ("", -1, -1, -1))))
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+        names = [f.split()[0] for f in _ROLE_FIELDS.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
 
 def template_roles(mined: DataFrame) -> DataFrame:
     """One row per leaf: its template and the slots of time, level and component (-1: none).
 
-    The group handed to Python is at most HEADER rows, whatever the leaf's size.
+    What is handed to Python is at most HEADER cells a leaf, whatever the leaf's size.
     """
     tok = F.col("tok")
     level_words = F.lower(tok).isin([k for k in SEVERITIES if len(k) > 1])
@@ -261,11 +272,12 @@ def template_roles(mined: DataFrame) -> DataFrame:
     cells = mined.select("leaf", "lines", F.posexplode("shape").alias("pos", "tok"))
     stats = cells.groupBy("leaf", "pos").agg(
         F.min("tok").alias("tok"),
-        F.when(F.min("tok") == F.max("tok"), F.lit(1)).otherwise(F.lit(2)).alias("n_values"),
+        (F.min("tok") == F.max("tok")).alias("one"),
         F.sum("lines").alias("lines"),
-        *(F.min(c).alias(f"all_{k}") for k, c in facts.items()),
+        *(F.min(facts[k]).alias(k) for k in _KINDS),
     )
-    return stats.groupBy("leaf").applyInPandas(_roles, _ROLE_FIELDS)
+    leaves = stats.groupBy("leaf").agg(F.max("lines").alias("lines"), F.collect_list(F.struct("pos", "tok", "one", *_KINDS)).alias("cells"))
+    return leaves.mapInArrow(_roles, _ROLE_FIELDS)
 
 
 def resolved_templates(lines: DataFrame, spec: LogSpec = LogSpec()) -> tuple[DataFrame, DataFrame]:
@@ -316,10 +328,9 @@ def parsed_lines(df: DataFrame, meta: DataFrame, spec: LogSpec = LogSpec()) -> t
     """(lines, templates): every line with ``ts_ms``, ``severity``, ``component`` (null ``kind``: no entry begins here)."""
     lines = shared_checkpoint(shards(df, spec))
     mined, roles = resolved_templates(lines, spec)
-    # n is part of the key: shapes longer than the header would meet otherwise
-    by_shape = mined.select("shape", "n", "leaf").join(roles.filter("kind <> ''").drop("lines", "template"), "leaf").drop("leaf")
+    by_shape = mined.select("shape_id", "leaf").join(roles.filter("kind <> ''").drop("lines", "template"), "leaf").drop("leaf")
     started = meta.filter(F.col(spec.path).isNotNull()).groupBy(F.col(spec.path).alias("path")).agg(F.min(spec.started).alias("started"))
-    got = lines.join(by_shape, ["shape", "n"], "left").join(started, "path", "left")
+    got = lines.join(by_shape, "shape_id", "left").join(started, "path", "left")
     tok = lambda p: F.get("toks", p)
     ts = F.col("ts_pos")
     level = F.when(F.col("kind") == "letter_date", F.lower(F.substring(tok(ts), 1, 1))).otherwise(F.lower(tok(F.col("level_pos"))))
@@ -339,36 +350,39 @@ def parsed_lines(df: DataFrame, meta: DataFrame, spec: LogSpec = LogSpec()) -> t
     return got.withColumn("begins", begins), roles
 
 
-def _entry_bounds(got: DataFrame) -> DataFrame:
-    """Lines with ``entry`` (first line of the entry they belong to) and, where an entry begins, its last line."""
+def _heads_and_lines(got: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(heads with ``last_line``, lines with ``entry``, the first line of the entry they belong to).
+
+    Windows look backwards only, or at heads only: frames that end far ahead cost
+    the square of their length.
+    """
     w = Window.partitionBy("path", "shard").orderBy("no")
     inside = got.withColumns(
         {
             "prev_no": F.lag("no").over(w),
             "entry": F.last(F.when(F.col("begins"), F.col("no")), ignorenulls=True).over(w),
         }
-    ).withColumn("boundary", F.when(F.col("begins"), F.struct("no", "prev_no")))
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
-    inside = inside.withColumn("next", F.first("boundary", ignorenulls=True).over(ahead))
+    )
     summary = inside.groupBy("path", "shard").agg(
-        F.min_by("boundary", F.when(F.col("begins"), F.col("no"))).alias("head"),
+        F.min_by(F.struct("prev_no"), F.when(F.col("begins"), F.col("no"))).alias("head"),
         F.max("entry").alias("open"),
         F.max("no").alias("last_no"),
     )
-    ws = Window.partitionBy("path").orderBy("shard")
-    later, sooner = ws.rowsBetween(1, Window.unboundedFollowing), ws.rowsBetween(Window.unboundedPreceding, -1)
-    last_before = F.lag("last_no").over(ws)
+    onward, backward = Window.partitionBy("path").orderBy("shard"), Window.partitionBy("path").orderBy(F.desc("shard"))
+    sooner, later = onward.rowsBetween(Window.unboundedPreceding, -1), backward.rowsBetween(Window.unboundedPreceding, -1)
+    last_before = F.lag("last_no").over(onward)
     summary = summary.withColumn("head_prev", F.when(F.col("head").isNotNull(), F.coalesce(F.col("head.prev_no"), last_before)))
     summary = summary.select(
         "path",
         "shard",
         F.last("open", ignorenulls=True).over(sooner).alias("carried"),
-        F.first("head_prev", ignorenulls=True).over(later).alias("end_before_next"),
+        F.last("head_prev", ignorenulls=True).over(later).alias("end_before_next"),
         F.max("last_no").over(Window.partitionBy("path")).alias("file_last"),
     )
-    both = inside.join(summary, ["path", "shard"])
-    last_line = F.when(F.col("next").isNotNull(), F.col("next.prev_no")).otherwise(F.coalesce("end_before_next", "file_last"))
-    return both.withColumns({"entry": F.coalesce("entry", "carried"), "last_line": last_line})
+    heads = inside.filter("begins").withColumn("end_here", F.lead("prev_no").over(w)).join(summary, ["path", "shard"])
+    heads = heads.withColumn("last_line", F.coalesce("end_here", "end_before_next", "file_last"))
+    lines = inside.join(summary.select("path", "shard", "carried"), ["path", "shard"]).withColumn("entry", F.coalesce("entry", "carried"))
+    return heads, lines
 
 
 def entry_heads(df: DataFrame, meta: DataFrame, spec: LogSpec = LogSpec()) -> DataFrame:
@@ -380,7 +394,7 @@ def entry_heads(df: DataFrame, meta: DataFrame, spec: LogSpec = LogSpec()) -> Da
     an empty table gives an empty result.
     """
     got, _ = parsed_lines(df, meta, spec)
-    heads = _entry_bounds(got).filter("begins")
+    heads, _ = _heads_and_lines(got)
     return heads.select(
         F.col("path").alias(spec.path), F.col("no").alias("first_line"), F.col("last_line"), "ts_ms", "severity", "component"
     )
@@ -389,12 +403,9 @@ def entry_heads(df: DataFrame, meta: DataFrame, spec: LogSpec = LogSpec()) -> Da
 def entries(df: DataFrame, meta: DataFrame, spec: LogSpec = LogSpec()) -> DataFrame:
     """As :func:`entry_heads`, with the whole ``message``: all lines of the entry as they were, joined by line feeds."""
     got, _ = parsed_lines(df, meta, spec)
-    lines = _entry_bounds(got).filter(F.col("entry").isNotNull())
-    head = lambda c: F.max(F.when(F.col("begins"), F.col(c))).alias(c)
-    grouped = lines.groupBy("path", "entry").agg(
-        head("last_line"), head("ts_ms"), head("severity"), head("component"),
-        F.array_sort(F.collect_list(F.struct("no", "text"))).alias("all_lines"),
-    )
+    heads, lines = _heads_and_lines(got)
+    grouped = lines.filter(F.col("entry").isNotNull()).groupBy("path", "entry").agg(F.array_sort(F.collect_list(F.struct("no", "text"))).alias("all_lines"))
+    grouped = grouped.join(heads.select("path", F.col("no").alias("entry"), "last_line", "ts_ms", "severity", "component"), ["path", "entry"])
     return grouped.select(
         F.col("path").alias(spec.path),
         F.col("entry").alias("first_line"),
