@@ -98,5 +98,54 @@ FROM gone g FULL JOIN come c ON g.file_id = c.file_id AND g.family = c.family AN
 """
 
 
+# Layouts as regular expressions, with the groups of time, level and component (0: none).
+_LAYOUTS = (
+    ("iso", r"^\[(\d{4}-\d\d-\d\dT[^\]]+)\]\[[\d.]+s\]\[(\w+) *\]\[([^\]]*?) *\]", 1, 2, 3),
+    ("up", r"^\[(\d+\.\d+)s\]\[(\w+) *\]\[([^\]]*?) *\]", 1, 2, 3),
+    ("iso", r"^time=(\S+) level=(\w+) component=(\S+)", 1, 2, 3),
+    ("ms", r'^\{"ts": (\d+), "level": "(\w+)", "logger": "([^"]+)"', 1, 2, 3),
+    ("iso", r'^\{"@timestamp": "([^"]+)", "severity": "(\w+)", "logger": "([^"]+)"', 1, 2, 3),
+    ("iso", r"^(\d{4}-\d\d-\d\dT\S+): [\d.]+: \[", 1, 0, 0),
+    ("letter", r"^([A-Z]\d{4} \d\d:\d\d:\d\d\.\d+) +\d+ ([\w.]+):\d+\]", 1, 1, 2),
+    ("iso", r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d+) (\w+) +\[[^\]]*\] (\S+) -", 1, 2, 3),
+    ("iso", r"^(\d{4}-\d\d-\d\dT\S+) \[([^\]]*)\] (\w+):", 1, 3, 2),
+    ("month", r"^([A-Z][a-z]{2} +\d+ \d\d:\d\d:\d\d) \S+ ([^\[ ]+)\[\d+\]: <(\w+)>", 1, 3, 2),
+)
+
+
+def _p4_found_sql() -> str:
+    levels = ", ".join(f"('{k}', '{v}')" for k, v in log_templates.SEVERITIES.items())
+
+    def stamp(x: str) -> str:
+        zoned = f"regexp_replace(replace({x}, ',', '.'), '([+-]\\d\\d)(\\d\\d)$', '\\1:\\2')"
+        return f"epoch_us(CAST(CASE WHEN regexp_matches({zoned}, '(Z|[+-]\\d\\d:\\d\\d)$') THEN {zoned} ELSE {zoned} || 'Z' END AS TIMESTAMPTZ)) // 1000"
+
+    rows = []
+    for kind, pattern, ts, level, comp in _LAYOUTS:
+        q = pattern.replace("'", "''")
+        got = lambda i, q=q: f"regexp_extract(t, '{q}', {i})"
+        at = {
+            "iso": stamp(got(ts)),
+            "ms": f"CAST({got(ts)} AS BIGINT)",
+            "up": f"epoch_ms(started_at) + CAST(floor(CAST({got(ts)} AS DECIMAL(18, 6)) * 1000) AS BIGINT)",
+            "letter": stamp(f"(year(started_at) || '-' || substr({got(ts)}, 2, 2) || '-' || substr({got(ts)}, 4, 2) || ' ' || substr({got(ts)}, 7))"),
+            "month": f"epoch_ms(strptime(year(started_at) || ' ' || regexp_replace({got(ts)}, ' +', ' ', 'g'), '%Y %b %-d %H:%M:%S'))",
+        }[kind]
+        word = f"lower(substr({got(ts)}, 1, 1))" if kind == "letter" else f"lower({got(level)})" if level else "'-'"
+        rows.append(f"SELECT log_path, line_no, {at} AS ts_ms, {word} AS word, {got(comp) if comp else repr('-')} AS component FROM l WHERE regexp_matches(t, '{q}')")
+    return f"""
+WITH sev(word, severity) AS (VALUES {levels}),
+l AS (
+  SELECT DISTINCT log_path, line_no, started_at, regexp_replace(regexp_replace(line, '\\x1B\\[[0-9;]*m', '', 'g'), '^\\x{{FEFF}}|[\\r\\n]+$', '', 'g') AS t
+  FROM raw_log_lines LEFT JOIN log_meta USING (log_path)),
+h AS ({" UNION ALL ".join(rows)}),
+n AS (SELECT l.log_path, l.line_no, h.line_no IS NOT NULL AS begins, count(h.line_no) OVER (PARTITION BY l.log_path ORDER BY l.line_no) AS entry
+      FROM l LEFT JOIN h USING (log_path, line_no)),
+e AS (SELECT log_path, min(line_no) AS first_line, max(line_no) AS last_line FROM n WHERE entry > 0 GROUP BY log_path, entry)
+SELECT e.log_path, first_line, last_line, ts_ms, coalesce(severity, '-') AS severity, component
+FROM e JOIN h ON h.log_path = e.log_path AND h.line_no = e.first_line LEFT JOIN sev USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND_SQL, "p3_found": _p3_found_sql()}
+    return {"p2_found": P2_FOUND_SQL, "p3_found": _p3_found_sql(), "p4_found": _p4_found_sql()}
