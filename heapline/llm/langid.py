@@ -46,6 +46,8 @@ class LangSpec:
     #: Bounds of what the models are fitted on.
     max_samples: int = 5000
     max_docs: int = 4000
+    #: Longest document that the models are fitted on, in characters.
+    max_chars: int = 20_000
     #: Cost of a change of language between sentences, in nats.
     switch: float = 7.0
     #: A sentence of a confirmed document is left out of the fit when another model is better by this many nats a letter.
@@ -320,8 +322,8 @@ def calibrate(model: Models, samples: dict[str, list[str]]) -> None:
     model.limits = np.array(limits)
 
 
-def _bounded(df: DataFrame, text: str, label: str, key: str, limit: int) -> list[tuple[str | None, str]]:
-    rows = df.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(label, text).orderBy(F.xxhash64(F.col(text), F.col(label)), label).limit(limit)
+def _bounded(df: DataFrame, text: str, label: str, longest: int, limit: int) -> list[tuple[str | None, str]]:
+    rows = df.filter(F.col(text).isNotNull() & F.col(label).isNotNull() & (F.length(text) <= longest)).select(label, text).orderBy(F.xxhash64(F.col(text), F.col(label)), label).limit(limit)
     return [(r[0], r[1]) for r in rows.collect()]
 
 
@@ -329,14 +331,14 @@ def train(samples: DataFrame, docs: DataFrame, spec: LangSpec = LangSpec()) -> M
     """Models from at most ``max_samples`` labelled sentences and ``max_docs`` documents, both chosen by the hash of their text."""
     pieces: dict[str, list[str]] = {}
     held: dict[str, list[str]] = {}
-    for label, text in _bounded(samples, "text", "lang", "text", spec.max_samples):
+    for label, text in _bounded(samples, "text", "lang", spec.max_chars, spec.max_samples):
         code = label_code(label)
         if code:
             pieces.setdefault(code, []).extend(s for _, _, s in sentences(text, spec))
     if not pieces:
         raise ValueError("no labelled sample names a known language")
     model = fit(pieces, spec.order)
-    cut = [(label_code(label), sentences(text, spec)) for label, text in _bounded(docs, spec.text, spec.label, spec.doc, spec.max_docs)]
+    cut = [(label_code(label), sentences(text, spec)) for label, text in _bounded(docs, spec.text, spec.label, spec.max_chars, spec.max_docs)]
     cut = [(code, s) for code, s in cut if code in pieces and s]
     for _ in range(2):
         if not cut:
