@@ -313,12 +313,12 @@ def _grams_of_rows(rows: np.ndarray, n: int) -> np.ndarray:
 
 
 def calibrate(model: Models, samples: dict[str, list[str]]) -> None:
-    """Limit of each language: 0.3 nats a letter below the worst held-out sentence, within bounds that a few odd ones can't move."""
+    """Limit of each language: 0.3 nats a letter below the worst hundredth of the held-out sentences, above what random letters get."""
     limits = []
     for j, lang in enumerate(model.langs):
         pieces = [p for p in samples[lang] if len(p) >= 25] or samples[lang]
         mean = model.scores(pieces)[:, j] / np.array([len(p) + 1 for p in pieces])
-        limits.append(min(-1.8, max(-3.0, float(mean.min()) - 0.3)))
+        limits.append(min(-2.2, max(-7.0, float(np.quantile(mean, 0.01)) - 0.3)))
     model.limits = np.array(limits)
 
 
