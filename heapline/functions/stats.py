@@ -8,12 +8,12 @@ import numpy as np
 import pandas as pd
 
 # Coefficients of the rational approximation 7.1.26 of erf (Abramowitz and Stegun).
-_P, _A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+ERF_P, ERF_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
 
 def erf(x: float) -> float:
-    u = 1 / (1 + _P * abs(x))
-    poly = u * (_A[0] + u * (_A[1] + u * (_A[2] + u * (_A[3] + u * _A[4]))))
+    u = 1 / (1 + ERF_P * abs(x))
+    poly = u * (ERF_A[0] + u * (ERF_A[1] + u * (ERF_A[2] + u * (ERF_A[3] + u * ERF_A[4]))))
     return math.copysign(1 - poly * math.exp(-x * x), x)
 
 

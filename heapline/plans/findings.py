@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.cluster import shared_checkpoint
 from ..functions.ordered import with_previous, with_running_sum
-from ..functions.stats import trend_frame
-from .base import category, events, meta, pauses, query
+from ..functions.stats import ERF_A, ERF_P, trend_frame
+from .base import REGISTRY, category, events, meta, pauses, query
 from .summary import ANALYTICS_COLLECTOR
 from .views import survivors
 
@@ -83,8 +84,8 @@ def _from_facts(name: str, columns: str, where: str = "true") -> None:
     """A finding that follows from the facts of a log alone; its expressions hold in both dialects."""
     text = f"SELECT log_id, {columns} FROM {{facts}} WHERE {where}"
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(text, facts=facts(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
+        return spark.sql(text, facts=f if f is not None else facts(spark, sf_dir))
 
     query(name, _FACTS_SQL + text.replace("{facts}", "facts"))(run)
 
@@ -115,15 +116,17 @@ _from_facts("an_log_duration", f"dur AS duration_s, {_grade(f'dur < {DURATION[0]
 r AS (SELECT log_id, coalesce(records, 0) AS records, coalesce(premature, 0) AS premature, CASE WHEN records > 0 THEN premature * 1e0 / records ELSE 0e0 END AS ratio FROM facts LEFT JOIN s USING (log_id) WHERE collector = 'g1')
 SELECT *, {_grade(f"ratio >= {PROMOTION[1]}e0", f"ratio >= {PROMOTION[0]}e0")} FROM r""",
 )
-def an_premature(spark: SparkSession, sf_dir: str) -> DataFrame:
+def an_premature(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
     s = survivors(spark, sf_dir).groupBy("log_id").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("calculated_threshold") < F.col("max_threshold")).alias("premature"))
-    got = facts(spark, sf_dir).filter("collector = 'g1'").select("log_id").join(s, "log_id", "left").fillna(0, ["records", "premature"])
+    f = f if f is not None else facts(spark, sf_dir)
+    got = f.filter("collector = 'g1'").select("log_id").join(s, "log_id", "left").fillna(0, ["records", "premature"])
     got = got.withColumn("ratio", F.when(F.col("records") > 0, F.col("premature") * F.lit(1.0) / F.col("records")).otherwise(F.lit(0.0)))
     return got.withColumn("impact", F.expr(_grade(f"ratio >= {PROMOTION[1]}e0", f"ratio >= {PROMOTION[0]}e0").removesuffix(" AS impact")))
 
 
-def _graded_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pauses(spark, sf_dir).join(facts(spark, sf_dir).select("log_id", "collector", "dur"), "log_id")
+def _graded_pauses(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
+    f = f if f is not None else facts(spark, sf_dir)
+    return pauses(spark, sf_dir).join(f.select("log_id", "collector", "dur"), "log_id")
 
 
 _PAUSE_LIMITS = f", pl AS (SELECT pauses.*, collector, dur, {WARN_MS} AS warn_ms, {SIGNIFICANT_MS} AS sig_ms FROM pauses JOIN facts USING (log_id)) "
@@ -137,8 +140,8 @@ _PAUSE_LIMITS = f", pl AS (SELECT pauses.*, collector, dur, {WARN_MS} AS warn_ms
   count(*) FILTER (dur_us / 1e3 > warn_ms) AS over_warn, count(*) FILTER (dur_us / 1e3 > sig_ms) AS over_sig FROM pl GROUP BY log_id)
 SELECT *, {_grade("max_ms > sig_ms", "max_ms > warn_ms")} FROM a""",
 )
-def an_high_pause(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _graded_pauses(spark, sf_dir).withColumns({"warn_ms": F.expr(WARN_MS), "sig_ms": F.expr(SIGNIFICANT_MS), "ms": F.col("dur_us") / F.lit(1e3)})
+def an_high_pause(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
+    p = _graded_pauses(spark, sf_dir, f).withColumns({"warn_ms": F.expr(WARN_MS), "sig_ms": F.expr(SIGNIFICANT_MS), "ms": F.col("dur_us") / F.lit(1e3)})
     a = p.groupBy("log_id").agg(
         F.count(F.lit(1)).alias("n"), F.max("ms").alias("max_ms"), F.max("warn_ms").alias("warn_ms"), F.max("sig_ms").alias("sig_ms"),
         F.count_if(F.col("ms") > F.col("warn_ms")).alias("over_warn"), F.count_if(F.col("ms") > F.col("sig_ms")).alias("over_sig"),
@@ -156,11 +159,12 @@ _PCTS = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99}
     + f""", a AS (SELECT log_id, count(*) AS n, {", ".join(f"quantile_cont(CAST(dur_us AS DOUBLE), {q}) / 1e3 AS {k}" for k, q in _PCTS.items())}, max(dur_us) / 1e3 AS max_ms, any_value(warn_ms) AS warn_ms, any_value(sig_ms) AS sig_ms FROM pl GROUP BY log_id)
 SELECT log_id, n, {", ".join(f"round({k}, 6) AS {k}" for k in _PCTS)}, max_ms, {_grade("p99 > sig_ms", "p99 > warn_ms")} FROM a""",
 )
-def an_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+def an_distribution(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
     """Exact percentiles from the counts of distinct durations, which are added up before they meet in one task a log."""
     counted = pauses(spark, sf_dir).groupBy("log_id", "dur_us").agg(F.count(F.lit(1)).alias("k"))
     a = counted.groupBy("log_id").agg(F.sum("k").alias("n"), F.percentile(F.col("dur_us").cast("double"), list(_PCTS.values()), F.col("k")).alias("p"), (F.max("dur_us") / F.lit(1e3)).alias("max_ms"))
-    a = a.join(facts(spark, sf_dir).select("log_id", F.expr(WARN_MS).alias("warn_ms"), F.expr(SIGNIFICANT_MS).alias("sig_ms")), "log_id")
+    f = f if f is not None else facts(spark, sf_dir)
+    a = a.join(f.select("log_id", F.expr(WARN_MS).alias("warn_ms"), F.expr(SIGNIFICANT_MS).alias("sig_ms")), "log_id")
     p99 = F.col("p")[3] / F.lit(1e3)
     impact = F.when(p99 > F.col("sig_ms"), "SIGNIFICANT").when(p99 > F.col("warn_ms"), "CONCERNING").otherwise("OK")
     return a.select("log_id", "n", *(F.round(F.col("p")[i] / F.lit(1e3), 6).alias(k) for i, k in enumerate(_PCTS)), "max_ms", impact.alias("impact"))
@@ -194,8 +198,8 @@ def _worst(p: DataFrame, window: int, step: int) -> DataFrame:
 r AS (SELECT a.*, 100 * (1 - stw_s / duration_s) AS overall_pct, 100 * (1 - stw_us / {THROUGHPUT["window"]}e0) AS worst_pct, (t0 + k * {THROUGHPUT["step"]}) / 1e6 AS worst_start_s FROM a LEFT JOIN worst USING (log_id))
 SELECT *, {_grade("overall_pct < target_pct", "worst_pct < target_pct")} FROM r""",
 )
-def an_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _graded_pauses(spark, sf_dir)
+def an_throughput(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
+    p = _graded_pauses(spark, sf_dir, f)
     a = p.filter("dur > 0").groupBy("log_id").agg(F.max("dur").alias("duration_s"), F.max(F.expr(TARGET_PCT)).alias("target_pct"), (F.sum("dur_us") / F.lit(1e6)).alias("stw_s"))
     r = a.join(_worst(p, **THROUGHPUT), "log_id", "left").select(
         "log_id", "duration_s", "target_pct", "stw_s",
@@ -216,8 +220,8 @@ _CLUSTER_GRADE = _grade(f"worst_pct < {CLUSTER['significant']}e0", f"worst_pct <
     + f""", r AS (SELECT log_id, 100 * (1 - stw_us / {CLUSTER["window"]}e0) AS worst_pct, n, stw_us / 1e6 AS stw_s, (t0 + k * {CLUSTER["step"]}) / 1e6 AS start_s FROM worst JOIN facts USING (log_id) WHERE dur >= {2 * CLUSTER["window"] // 1000000})
 SELECT *, {_CLUSTER_GRADE} FROM r""",
 )
-def an_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _graded_pauses(spark, sf_dir).filter(F.col("dur") >= 2 * CLUSTER["window"] / 1e6)
+def an_clustering(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
+    p = _graded_pauses(spark, sf_dir, f).filter(F.col("dur") >= 2 * CLUSTER["window"] / 1e6)
     w = _worst(p, CLUSTER["window"], CLUSTER["step"])
     r = w.select("log_id", (F.lit(100) * (1 - F.col("stw_us") / F.lit(float(CLUSTER["window"])))).alias("worst_pct"), "n", (F.col("stw_us") / F.lit(1e6)).alias("stw_s"), ((F.col("t0") + F.col("k") * CLUSTER["step"]) / F.lit(1e6)).alias("start_s"))
     return r.withColumn("impact", F.expr(_CLUSTER_GRADE.removesuffix(" AS impact")))
@@ -234,8 +238,8 @@ s AS (SELECT log_id, (t_us - t0) // 1000000 AS sec, count(*) AS k, max(t_us - t0
 r AS (SELECT log_id, CAST(sum(k) AS BIGINT) AS n, max(k) AS most, count(*) FILTER (k > {FREQUENCY_PER_SEC}) AS violating, greatest(1, CAST(ceil(max(span) / 1e6) AS BIGINT) + 1) AS seconds FROM s GROUP BY log_id)
 SELECT *, {_FREQ_GRADE} FROM r WHERE n >= 5""",
 )
-def an_heap_small_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _graded_pauses(spark, sf_dir).filter("collector IN ('parallel', 'serial') AND dur >= 2").select("log_id", "t_us")
+def an_heap_small_frequency(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
+    p = _graded_pauses(spark, sf_dir, f).filter("collector IN ('parallel', 'serial') AND dur >= 2").select("log_id", "t_us")
     p = p.join(p.groupBy("log_id").agg(F.min("t_us").alias("t0")), "log_id").withColumn("dt", F.col("t_us") - F.col("t0"))
     s = p.groupBy("log_id", F.expr("dt div 1000000").alias("sec")).agg(F.count(F.lit(1)).alias("k"), F.max("dt").alias("span"))
     r = s.groupBy("log_id").agg(
@@ -251,7 +255,7 @@ def an_heap_small_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT log_id, count(*) AS calls, round(avg(dt), 6) AS mean_s, round(stddev_pop(dt) / nullif(avg(dt), 0), 6) AS cv FROM s GROUP BY log_id)
 SELECT *, 'SIGNIFICANT' AS impact FROM r WHERE calls >= {PERIODIC["calls"]} AND mean_s BETWEEN {PERIODIC["mean"][0]} AND {PERIODIC["mean"][1]} AND cv <= {PERIODIC["cv"]}""",
 )
-def an_periodic_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
+def an_periodic_gc(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
     ev = with_previous(events(spark, sf_dir, (), None, F.col("gc_cause") == "JAVA_LANG_SYSTEM"), F.col("t_us"), "prev")
     dt = (F.col("t_us") - F.col("prev")) / F.lit(1e6)
     r = ev.withColumn("dt", dt).groupBy("log_id").agg(F.count(F.lit(1)).alias("calls"), F.avg("dt").alias("m"), F.stddev_pop("dt").alias("sd"))
@@ -275,8 +279,30 @@ def an_mixed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.join(last, "log_id").filter("cycle < last").groupBy("log_id", "mixed").agg(F.count(F.lit(1)).alias("runs"))
 
 
-@query("an_heap_stability")
-def an_heap_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+_ERF = "(1 - u * ({a0}e0 + u * ({a1}e0 + u * ({a2}e0 + u * ({a3}e0 + u * {a4}e0)))) * exp(-x * x))".format(**{f"a{i}": a for i, a in enumerate(ERF_A)})
+_VERDICT = f"""CASE WHEN n IS NULL THEN 'not enough' WHEN p IS NULL THEN 'constant' WHEN p >= {STABILITY_P}e0 THEN 'stable'
+  WHEN mb_per_hour <= 0 THEN 'downward' WHEN mb_per_hour < {STABILITY_MB_PER_HOUR}e0 THEN 'trending' ELSE 'leaking' END"""
+_TREND_GRADE = _grade("verdict = 'leaking'", "verdict = 'trending'")
+_TREND_SQL = f""", raw AS (
+  SELECT log_id, t_us, seq, heap.occ_after / 1024e0 AS mb, row_number() OVER (PARTITION BY log_id ORDER BY t_us, seq) - 1 AS i, count(*) OVER (PARTITION BY log_id) AS total
+  FROM gg WHERE heap.valid AND heap.occ_after IS NOT NULL),
+s AS (
+  SELECT log_id, t_us / 1e6 AS t, mb, row_number() OVER (PARTITION BY log_id ORDER BY t_us, seq) AS k FROM raw
+  WHERE total >= {STABILITY_SAMPLES[0]} AND (total <= {STABILITY_SAMPLES[1]} OR (i * {STABILITY_SAMPLES[1]} + total - 1) // total < ((i + 1) * {STABILITY_SAMPLES[1]} + total - 1) // total)),
+ties AS (SELECT log_id, CAST(sum(c) AS INTEGER) AS n, sum(CASE WHEN c > 1 THEN c * (c - 1) * (2 * c + 5) ELSE 0 END) AS tie FROM (SELECT log_id, mb, count(*) AS c FROM s GROUP BY ALL) GROUP BY log_id),
+pr AS (SELECT a.log_id, CAST(sum(sign(b.mb - a.mb)) AS BIGINT) AS s, list_sort(list((b.mb - a.mb) / nullif(b.t - a.t, 0)) FILTER (b.t <> a.t)) AS slopes
+       FROM s a JOIN s b ON a.log_id = b.log_id AND b.k > a.k GROUP BY a.log_id),
+v AS (SELECT log_id, n, s, slopes, (n * (n - 1.0e0) * (2 * n + 5) - tie) / 18e0 AS var FROM ties JOIN pr USING (log_id)),
+z AS (SELECT *, CASE WHEN var > 0 THEN (s - sign(s)) / sqrt(var) END AS z FROM v),
+e AS (SELECT *, abs(z) / sqrt(2e0) AS x, 1 / (1 + {ERF_P}e0 * (abs(z) / sqrt(2e0))) AS u FROM z),
+r AS (SELECT log_id, n, s, round(z, 9) AS z, round(2 * (1 - 0.5e0 * (1 + {_ERF})), 9) AS p,
+       CASE WHEN var > 0 THEN coalesce(slopes[len(slopes) // 2 + 1], 0) * 3600 END AS mb_per_hour FROM e),
+j AS (SELECT log_id, n, s, z, p, mb_per_hour, {_VERDICT} AS verdict FROM (SELECT DISTINCT log_id FROM ev) LEFT JOIN r USING (log_id))
+SELECT *, {_TREND_GRADE} FROM j"""
+
+
+@query("an_heap_stability", _TREND_SQL)
+def an_heap_stability(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
     """Mann-Kendall and Theil-Sen over the occupancy after collections; logs beyond 5,000 samples are strided evenly, as the test demands.
 
     A group in Python holds at most 5,000 rows: ordinals come from sharded running sums, and the stride is applied before.
@@ -287,12 +313,9 @@ def an_heap_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = ev.groupBy("log_id").agg(F.count(F.lit(1)).alias("total"))
     ev = ev.join(n, "log_id").filter(f"total <= {most} OR (i * {most} + total - 1) div total < ((i + 1) * {most} + total - 1) div total")
     got = ev.filter(f"total >= {least}").select("log_id", "t_us", "seq", "mb").groupBy("log_id").applyInPandas(trend_frame, "log_id int, n int, s bigint, z double, p double, mb_per_hour double")
-    verdict = (
-        F.when(F.col("n").isNull(), "not enough").when(F.col("p").isNull(), "constant").when(F.col("p") >= STABILITY_P, "stable")
-        .when(F.col("mb_per_hour") <= 0, "downward").when(F.col("mb_per_hour") < STABILITY_MB_PER_HOUR, "trending").otherwise("leaking")
-    )
-    every = events(spark, sf_dir).select("log_id").distinct().join(got, "log_id", "left").withColumn("verdict", verdict)
-    return every.withColumn("impact", F.when(F.col("verdict") == "leaking", "SIGNIFICANT").when(F.col("verdict") == "trending", "CONCERNING").otherwise("OK"))
+    got = got.withColumns({"z": F.round("z", 9), "p": F.round("p", 9)})
+    every = (f if f is not None else facts(spark, sf_dir)).select("log_id").join(got, "log_id", "left").withColumn("verdict", F.expr(_VERDICT))
+    return every.withColumn("impact", F.expr(_TREND_GRADE.removesuffix(" AS impact")))
 
 
 #: Order of the findings of a log.
@@ -303,13 +326,16 @@ FINDINGS = (
 )
 
 
-@query("an_findings")
-def an_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(log_id, ord, finding, impact): all graded findings in their order."""
-    from .base import REGISTRY
+def _findings_sql() -> str:
+    parts = (f"SELECT log_id, {i} AS ord, '{name[3:]}' AS finding, impact FROM ({REGISTRY[name].sql})" for i, name in enumerate(FINDINGS))
+    return ", one AS (SELECT 1) " + " UNION ALL ".join(parts)
 
-    out = None
+
+@query("an_findings", _findings_sql())
+def an_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(log_id, ord, finding, impact): all graded findings in their order; the facts, a row a log, are made once."""
+    f, out = shared_checkpoint(facts(spark, sf_dir)), None
     for i, name in enumerate(FINDINGS):
-        one = REGISTRY[name].run(spark, sf_dir).select("log_id", F.lit(i).alias("ord"), F.lit(name[3:]).alias("finding"), "impact")
+        one = REGISTRY[name].run(spark, sf_dir, f).select("log_id", F.lit(i).alias("ord"), F.lit(name[3:]).alias("finding"), "impact")
         out = one if out is None else out.unionByName(one)
     return out

@@ -60,12 +60,8 @@ SELECT probe_id, slot FROM g ANTI JOIN u USING (probe_id, slot)
 """
 
 
-def _p3_found_sql() -> str:
-    alias = ", ".join(f"('{n}', '{c}')" for c, (_, names) in schema_drift.ALIASES.items() for n in dict.fromkeys((*names, c)))
-    return f"""
-WITH alias(name, family) AS (VALUES {alias}),
-files AS (
-  SELECT feed_id, file_id, row_number() OVER (PARTITION BY feed_id ORDER BY min(written_at), file_id) AS ord
+_P3_FIELDS_SQL = """files AS (
+  SELECT feed_id, file_id, row_number() OVER (PARTITION BY feed_id ORDER BY min(written_at), file_id) AS ord, count(*) OVER (PARTITION BY feed_id) AS files
   FROM harvest_records GROUP BY feed_id, file_id),
 kv AS (
   SELECT feed_id, file_id, j.key AS field, j.type AS t, j.value AS v
@@ -79,7 +75,20 @@ typed AS (
   FROM kv),
 f AS (
   SELECT feed_id, file_id, field, arg_max(kind, (n, kind)) AS kind
-  FROM (SELECT feed_id, file_id, field, kind, count(*) AS n FROM typed GROUP BY ALL) GROUP BY ALL),
+  FROM (SELECT feed_id, file_id, field, kind, count(*) AS n FROM typed GROUP BY ALL) GROUP BY ALL)"""
+
+
+def _p3_lifespans_sql() -> str:
+    return f"""WITH {_P3_FIELDS_SQL},
+fo AS (SELECT feed_id, field, kind, ord, files, ord - row_number() OVER (PARTITION BY feed_id, field, kind ORDER BY ord) AS island FROM f JOIN files USING (feed_id, file_id))
+SELECT feed_id AS producer, field, kind, CAST(min(ord) AS INTEGER) AS first_ord, CAST(max(ord) AS INTEGER) AS last_ord, CAST(max(files) AS INTEGER) AS files FROM fo GROUP BY feed_id, field, kind, island"""
+
+
+def _p3_found_sql() -> str:
+    alias = ", ".join(f"('{n}', '{c}')" for c, (_, names) in schema_drift.ALIASES.items() for n in dict.fromkeys((*names, c)))
+    return f"""
+WITH alias(name, family) AS (VALUES {alias}),
+{_P3_FIELDS_SQL},
 fo AS (SELECT feed_id, file_id, ord, field, kind, coalesce(family, '~' || regexp_replace(lower(field), '[^a-z0-9]', '', 'g')) AS family
        FROM f JOIN files USING (feed_id, file_id) LEFT JOIN alias ON alias.name = f.field),
 nxt AS (SELECT a.feed_id, a.ord AS ord, b.file_id FROM files a JOIN files b ON a.feed_id = b.feed_id AND b.ord = a.ord + 1),
@@ -113,7 +122,7 @@ _LAYOUTS = (
 )
 
 
-def _p4_found_sql() -> str:
+def _p4_sql(message: bool) -> str:
     levels = ", ".join(f"('{k}', '{v}')" for k, v in log_templates.SEVERITIES.items())
 
     def stamp(x: str) -> str:
@@ -139,13 +148,13 @@ l AS (
   SELECT DISTINCT log_path, line_no, started_at, regexp_replace(regexp_replace(line, '\\x1B\\[[0-9;]*m', '', 'g'), '^\\x{{FEFF}}|[\\r\\n]+$', '', 'g') AS t
   FROM raw_log_lines LEFT JOIN log_meta USING (log_path)),
 h AS ({" UNION ALL ".join(rows)}),
-n AS (SELECT l.log_path, l.line_no, h.line_no IS NOT NULL AS begins, count(h.line_no) OVER (PARTITION BY l.log_path ORDER BY l.line_no) AS entry
+n AS (SELECT l.log_path, l.line_no, l.t, h.line_no IS NOT NULL AS begins, count(h.line_no) OVER (PARTITION BY l.log_path ORDER BY l.line_no) AS entry
       FROM l LEFT JOIN h USING (log_path, line_no)),
-e AS (SELECT log_path, min(line_no) AS first_line, max(line_no) AS last_line FROM n WHERE entry > 0 GROUP BY log_path, entry)
-SELECT e.log_path, first_line, last_line, ts_ms, coalesce(severity, '-') AS severity, component
+e AS (SELECT log_path, min(line_no) AS first_line, max(line_no) AS last_line, string_agg(t, chr(10) ORDER BY line_no) AS message FROM n WHERE entry > 0 GROUP BY log_path, entry)
+SELECT e.log_path, first_line, last_line, ts_ms, coalesce(severity, '-') AS severity, component{", message" if message else ""}
 FROM e JOIN h ON h.log_path = e.log_path AND h.line_no = e.first_line LEFT JOIN sev USING (word)
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND_SQL, "p3_found": _p3_found_sql(), "p4_found": _p4_found_sql()}
+    return {"p2_found": P2_FOUND_SQL, "p3_found": _p3_found_sql(), "p3_lifespans": _p3_lifespans_sql(), "p4_found": _p4_sql(False), "p4_entries": _p4_sql(True)}

@@ -1,4 +1,4 @@
-from heapline.plans.base import REGISTRY
+from heapline.plans.catalogue import queries
 from heapline.streaming import live
 
 
@@ -17,7 +17,7 @@ def _drain(df, tmp_path, name, mode="append"):
 def test_pauses_as_a_stream(spark, sf_dir, tmp_path):
     events = _stream(spark, sf_dir, tmp_path)
     got = _drain(live.pause_time(live.once(events)), tmp_path, "live_pauses")
-    want = REGISTRY["pause_time"].run(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/gc_events.parquet").select("log_id", "seq", "family").distinct(), ["log_id", "seq"])
+    want = queries()["pause_time"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/gc_events.parquet").select("log_id", "seq", "family").distinct(), ["log_id", "seq"])
     assert got.count() == want.filter("family <> 'ZGC'").count()
     pct = _drain(live.percent_time_in_gc(live.once(_stream(spark, sf_dir, tmp_path / "b"))), tmp_path, "live_pct")
     assert 0 < pct.count() < got.count() + 100
