@@ -319,8 +319,8 @@ def _time_ms(kind: Column, a: Column, b: Column, c: Column, started: Column) ->
         .when(kind == "date_clock", stamp(zone(F.concat_ws(" ", F.regexp_replace(a, "[/.]", "-"), b))))
         .when(kind == "letter_date", stamp(F.concat_ws(" ", day, b)))
         .when(kind == "month_day", stamp(F.concat_ws(" ", month_day, c)))
-        .when(kind == "uptime", F.unix_millis(started) + uptime.cast("bigint"))
-        .when(kind == "epoch", epoch.cast("bigint"))
+        .when(kind == "uptime", F.unix_millis(started) + uptime.try_cast("bigint"))
+        .when(kind == "epoch", epoch.try_cast("bigint"))
     )
 
 

@@ -162,3 +162,29 @@ def summary_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     got = stw_classes(spark, sf_dir).groupBy("log_id").agg(*(F.expr(e).alias(k) for k, e in _NOTES.items()))
     return got.withColumns({"to_space_exhausted": zero, "cms_aborts": zero})
+
+
+_CONCURRENT = (*S.G1_CONCURRENT, *S.CMS_CONCURRENT)
+
+
+@query(
+    "summary_concurrent_table",
+    f""", c AS (SELECT log_id, event_class, count(*) AS n, CAST(sum(greatest(duration_us, 0)) AS BIGINT) AS us, greatest(max(duration_us), 0) AS most,
+  CAST(sum(CAST(round((coalesce(cpu.user, 0) + coalesce(cpu.kernel, 0)) * 1e6) AS BIGINT)) AS BIGINT) AS cpu_us, count(*) FILTER (aborted) AS aborted
+  FROM ev WHERE event_class IN {S.sql_in(_CONCURRENT)} GROUP BY ALL)
+SELECT log_id, event_class, n, us / 1e6 AS wall_sec, cpu_us / 1e6 AS cpu_sec, us / 1e6 / n AS avg_sec, most / 1e6 AS max_sec,
+  CASE WHEN est > 0 THEN us / 1e4 / est END AS pct_concurrent, aborted FROM c LEFT JOIN meta USING (log_id)""",
+)
+def summary_concurrent_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concurrent phases by class: an extension, the headline's concurrent totals stay 0."""
+    cpu = F.coalesce(F.col("cpu.user"), F.lit(0.0)) + F.coalesce(F.col("cpu.kernel"), F.lit(0.0))
+    ev = events(spark, sf_dir, [F.round(cpu * F.lit(1e6)).cast("bigint").alias("cpu_us"), "aborted"], _CONCURRENT)
+    c = ev.groupBy("log_id", "event_class").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.greatest("duration_us", F.lit(0))).alias("us"), F.greatest(F.max("duration_us"), F.lit(0)).alias("most"),
+        F.sum("cpu_us").alias("cpu_us"), F.count_if("aborted").alias("aborted"),
+    ).join(meta(spark, sf_dir), "log_id", "left")
+    return c.select(
+        "log_id", "event_class", "n", (F.col("us") / F.lit(1e6)).alias("wall_sec"), (F.col("cpu_us") / F.lit(1e6)).alias("cpu_sec"),
+        (F.col("us") / F.lit(1e6) / F.col("n")).alias("avg_sec"), (F.col("most") / F.lit(1e6)).alias("max_sec"),
+        F.when(F.col("est") > 0, F.col("us") / F.lit(1e4) / F.col("est")).alias("pct_concurrent"), "aborted",
+    )

@@ -517,3 +517,42 @@ def zgc_system_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir, [F.col("zgc.load").alias("load")], S.ZGC)
     at = lambda i: F.get("load", F.lit(i))
     return long_form(ev, KEYS, {k: F.when(at(i) >= 0, at(i)) for i, k in enumerate(("load1", "load5", "load15"))})
+
+
+# ---- order of series ---------------------------------------------------------------------------------------------
+
+_TYPE_ORD = "CASE event_class WHEN 'G1Mixed' THEN 2 WHEN 'G1YoungInitialMark' THEN 3 ELSE 1 END"
+_SERIES_ARRAYS = {"phase": "phases", **S.SUB_PHASES}
+_SERIES_SQL = (
+    ", x AS ("
+    + " UNION ALL ".join(f"SELECT log_id, '{k}' AS family, t_us, seq, {_TYPE_ORD} AS ty, unnest({a}) AS p, unnest(range(0, len({a}))) AS pos FROM young" for k, a in _SERIES_ARRAYS.items())
+    + f"""), s AS (
+  SELECT log_id, family, p.name AS name, CASE WHEN family = 'phase' THEN 0 ELSE ty END AS ty, (t_us, seq, pos) AS place FROM x WHERE {_USABLE_SQL}
+  UNION ALL SELECT log_id, 'concurrent', event_class, 0, (t_us, seq, 0) FROM ev WHERE event_class IN {S.sql_in(_CONCURRENT)} AND duration_us > 0),
+n AS (SELECT log_id, family, name, ty, min(min(place)) OVER (PARTITION BY log_id, family, name) AS f FROM s GROUP BY log_id, family, name, ty)
+SELECT log_id, family, CASE ty WHEN 0 THEN name WHEN 1 THEN name || '::Young' WHEN 2 THEN name || '::Mixed' ELSE name || '::InitialMark' END AS series,
+       CAST(row_number() OVER (PARTITION BY log_id, family ORDER BY f, name, ty) AS INTEGER) AS ord FROM n"""
+)
+
+
+@query("series_order", _SERIES_SQL)
+def series_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(log_id, family, series, ord): named series in the order in which their names first appear, then Young, Mixed, InitialMark.
+
+    The minimum of each name is taken before anything is ordered, so that only a row a series is sorted.
+    """
+    from pyspark.sql import Window
+
+    arrays = F.array(*(F.struct(F.lit(k).alias("family"), _usable(a).alias("p")) for k, a in _SERIES_ARRAYS.items()))
+    # the place in the array as it came, so that the filter for usable entries does not matter
+    ev = events(spark, sf_dir, [F.expr(_TYPE_ORD).alias("ty"), arrays.alias("a")], S.G1_YOUNG).select("log_id", "t_us", "seq", "ty", F.explode("a").alias("a"))
+    named = ev.select("log_id", F.col("a.family").alias("family"), "t_us", "seq", "ty", F.posexplode("a.p").alias("pos", "x"))
+    ty = F.when(F.col("family") == "phase", 0).otherwise(F.col("ty"))
+    named = named.select("log_id", "family", F.col("x.name").alias("name"), ty.alias("ty"), F.struct("t_us", "seq", "pos").alias("at"))
+    conc = events(spark, sf_dir, (), _CONCURRENT, F.col("duration_us") > 0)
+    conc = conc.select("log_id", F.lit("concurrent").alias("family"), F.col("event_class").alias("name"), F.lit(0).alias("ty"), F.struct("t_us", "seq", F.lit(0).alias("pos")).alias("at"))
+    first = named.unionByName(conc).groupBy("log_id", "family", "name", "ty").agg(F.min("at").alias("f"))
+    first = first.withColumn("f", F.min("f").over(Window.partitionBy("log_id", "family", "name")))
+    suffix = F.when(F.col("ty") == 0, "").when(F.col("ty") == 1, "::Young").when(F.col("ty") == 2, "::Mixed").otherwise("::InitialMark")
+    order = Window.partitionBy("log_id", "family").orderBy("f", "name", "ty")
+    return first.select("log_id", "family", F.concat("name", suffix).alias("series"), F.row_number().over(order).alias("ord"))
