@@ -21,5 +21,14 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Column that marks a table whose rows are known to be delivered once (sources.prepare).
+ONCE = "delivered_once"
+
+
+def once(df: DataFrame, keys: list[str], known: bool) -> DataFrame:
+    """Each key once, without work where the table is known to hold it once."""
+    return df if known else df.dropDuplicates(keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

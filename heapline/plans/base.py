@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.cluster import table
+from ..functions.cluster import ONCE, once, table
 
 
 @dataclass(frozen=True)
@@ -45,9 +45,12 @@ def events(spark: SparkSession, sf_dir: str, cols: Sequence[Column | str] = (),
     ev = table(spark, sf_dir, "gc_events").filter("log_id IS NOT NULL AND seq IS NOT NULL AND t_us IS NOT NULL AND event_class IS NOT NULL")
     if classes is not None:
         ev = ev.filter(F.col("event_class").isin(list(classes)))
+        if ONCE in ev.columns:  # a prepared table is partitioned by the family that its classes imply
+            ev = ev.filter(F.col("family").isin(sorted({S.family(c) for c in classes})))
     if where is not None:
         ev = ev.filter(where)
-    return ev.select("log_id", "seq", "t_us", "t_sec", "event_class", "duration_us", *cols).dropDuplicates(["log_id", "seq"])
+    known = ONCE in ev.columns
+    return once(ev.select("log_id", "seq", "t_us", "t_sec", "event_class", "duration_us", *cols), ["log_id", "seq"], known)
 
 
 def pauses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.cluster import table
+from ..functions.cluster import ONCE, once, table
 from ..functions.ordered import with_previous
 from .base import category, events, heaps, long_form, meta, pauses, query, sql_long
 
@@ -314,7 +314,8 @@ for _side in ("before", "after"):
 
 
 def survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "survivor_records").filter("log_id IS NOT NULL AND seq IS NOT NULL AND t_us IS NOT NULL").dropDuplicates(["log_id", "seq"])
+    rows = table(spark, sf_dir, "survivor_records").filter("log_id IS NOT NULL AND seq IS NOT NULL AND t_us IS NOT NULL")
+    return once(rows, ["log_id", "seq"], ONCE in rows.columns)
 
 
 def _ages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -441,7 +442,8 @@ for _what in ("count", "time"):
 
 
 def safepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "safepoints").filter("log_id IS NOT NULL AND seq IS NOT NULL AND t_us IS NOT NULL").dropDuplicates(["log_id", "seq"])
+    rows = table(spark, sf_dir, "safepoints").filter("log_id IS NOT NULL AND seq IS NOT NULL AND t_us IS NOT NULL")
+    return once(rows, ["log_id", "seq"], ONCE in rows.columns)
 
 
 @query("safepoint_duration", "SELECT log_id, seq, t_us / 1e6 AS t_sec, duration_us / 1e3 AS ms FROM sp WHERE duration_us > 0")

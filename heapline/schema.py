@@ -38,6 +38,10 @@ ZGC_PAUSES = ("mark_start", "mark_end", "relocate_start")
 SUB_PHASES = {"pre": "pre_phases", "evac": "evac_phases", "post": "post_phases"}
 
 
+def family(event_class: str) -> str:
+    return "ZGC" if event_class in ZGC else "G1GC" if event_class in (*G1_PAUSE, *G1_CONCURRENT) else "GENERATIONAL"
+
+
 def sql_in(names: tuple[str, ...]) -> str:
     return "(" + ", ".join(f"'{n}'" for n in names) + ")"
 

@@ -32,3 +32,14 @@ def test_every_view_has_its_queries(spark, sf_dir):
     assert eng.view("pause-time", log).count() == 0
     with pytest.raises(KeyError):
         eng.view("no-such-view")
+
+
+def test_views_over_prepared_tables(spark, sf_dir, tmp_path):
+    from heapline.sources.prepare import prepare
+
+    prepare(spark, sf_dir, str(tmp_path))
+    con = connect(sf_dir)
+    for name in ("pause_time", "allocation_rate", "summary_stw_table", "tenuring_breakdown", "safepoint_cause", "zgc_pause_time", "g1_evac_pct", "view_status"):
+        compare(catalogue.queries()[name](spark, str(tmp_path)), con.sql(SQL[name]))
+    plan = catalogue.queries()["zgc_pause_time"](spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "PartitionFilters: [family" in plan
