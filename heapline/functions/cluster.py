@@ -26,8 +26,12 @@ ONCE = "delivered_once"
 
 
 def once(df: DataFrame, keys: list[str], known: bool) -> DataFrame:
-    """Each key once, without work where the table is known to hold it once."""
-    return df if known else df.dropDuplicates(keys)
+    """Each key once, without work where the table is known to hold it once.
+
+    Copies are few, so the rows go to their partition as they are: looking for
+    copies before the shuffle would sort them twice.
+    """
+    return df if known else df.repartition(*keys).dropDuplicates(keys)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,28 +15,41 @@ from pyspark.sql import functions as F
 SHARD_US = 3_600_000_000
 
 
-def _sharded(df: DataFrame, shard_us: int) -> DataFrame:
+def with_shard(df: DataFrame, shard_us: int = SHARD_US) -> DataFrame:
+    """``_shard``: number of the time shard of ``t_us``."""
     return df.withColumn("_shard", F.floor(F.col("t_us") / F.lit(shard_us)).cast("bigint"))
 
 
-def with_previous(df: DataFrame, value: Column, name: str, by: Sequence[str] = ("log_id",), shard_us: int = SHARD_US) -> DataFrame:
-    """``name``: ``value`` of the row before this one in the order (t_us, seq) of its key; null in the first row."""
-    w = Window.partitionBy(*by, "_shard").orderBy("t_us", "seq")
+def sharded_once(df: DataFrame, keys: Sequence[str], known: bool = False, shard_us: int = SHARD_US) -> DataFrame:
+    """Each (log_id, keys) once, in the partitioning by (log_id, _shard) that the ordered functions need: one shuffle for both."""
+    df = with_shard(df, shard_us)
+    return df if known else df.repartition("log_id", "_shard").dropDuplicates(["log_id", "_shard", *keys])
+
+
+def with_previous(df: DataFrame, value: Column, name: str, by: Sequence[str] = ("log_id",), copies: DataFrame | None = None, shard_us: int = SHARD_US) -> DataFrame:
+    """``name``: ``value`` of the row before this one in the order (t_us, seq) of its key; null in the first row.
+
+    The last row of each shard is aggregated where the rows are read; ``copies``
+    is ``df`` before re-delivered rows were removed, which is all that this needs
+    and saves a second shuffle of the rows.
+    """
+    df = df if "_shard" in df.columns else with_shard(df, shard_us)
+    copies = df if copies is None else copies if "_shard" in copies.columns else with_shard(copies, shard_us)
     boxed = F.struct(value.alias("v"))
-    rows = _sharded(df, shard_us).withColumns({"_prev": F.lag(boxed).over(w), "_last": F.lead("seq").over(w).isNull()})
-    ends = rows.filter("_last").select(*by, "_shard", boxed.alias("_end"))
+    rows = df.withColumn("_prev", F.lag(boxed).over(Window.partitionBy(*by, "_shard").orderBy("t_us", "seq")))
+    ends = copies.groupBy(*by, "_shard").agg(F.max_by(boxed, F.struct("t_us", "seq")).alias("_end"))
     carry = ends.select(*by, "_shard", F.lag("_end").over(Window.partitionBy(*by).orderBy("_shard")).alias("_carry"))
     joined = rows.join(carry, [*by, "_shard"], "left")
-    return joined.withColumn(name, F.coalesce("_prev", "_carry")["v"]).drop("_prev", "_last", "_carry", "_shard")
+    return joined.withColumn(name, F.coalesce("_prev", "_carry")["v"]).drop("_prev", "_carry")
 
 
 def with_running_sum(df: DataFrame, value: Column, name: str, by: Sequence[str] = ("log_id",), shard_us: int = SHARD_US) -> DataFrame:
     """``name``: sum of ``value`` over the rows up to and including this one in the order (t_us, seq) of its key."""
+    df = df if "_shard" in df.columns else with_shard(df, shard_us)
     w = Window.partitionBy(*by, "_shard").orderBy("t_us", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*by, "_shard").orderBy("t_us", "seq")
-    rows = _sharded(df, shard_us).withColumns({"_sum": F.sum(value).over(w), "_last": F.lead("seq").over(after).isNull()})
-    ends = rows.filter("_last").select(*by, "_shard", F.col("_sum").alias("_total"))
+    rows = df.withColumn("_sum", F.sum(value).over(w))
+    ends = df.groupBy(*by, "_shard").agg(F.sum(value).alias("_total"))
     sooner = Window.partitionBy(*by).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(*by, "_shard", F.coalesce(F.sum("_total").over(sooner), F.lit(0)).alias("_carry"))
     joined = rows.join(carry, [*by, "_shard"], "left")
-    return joined.withColumn(name, F.col("_sum") + F.col("_carry")).drop("_sum", "_last", "_carry", "_shard")
+    return joined.withColumn(name, F.col("_sum") + F.col("_carry")).drop("_sum", "_carry")

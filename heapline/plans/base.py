@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.cluster import ONCE, once, table
+from ..functions.ordered import sharded_once
 
 
 @dataclass(frozen=True)
@@ -35,12 +36,23 @@ def category(column: str = "event_class") -> Column:
     return F.expr(S.sql_category(column))
 
 
-def events(spark: SparkSession, sf_dir: str, cols: Sequence[Column | str] = (), classes: Sequence[str] | None = None, where: Column | None = None) -> DataFrame:
+def events(
+    spark: SparkSession,
+    sf_dir: str,
+    cols: Sequence[Column | str] = (),
+    classes: Sequence[str] | None = None,
+    where: Column | None = None,
+    keep: str | None = None,
+    ordered: bool = False,
+    copies: bool = False,
+) -> DataFrame:
     """gc_events with each (log_id, seq) once: log_id, seq, t_us, t_sec, event_class, duration_us and ``cols``.
 
-    Class filters and column choice come before the removal of re-delivered
-    rows, so that they reach the scan; the rows of one event are the same but
-    for their arrival.  Rows without log, sequence, time or class are left out.
+    Class filters, column choice and ``keep`` (a predicate over the chosen
+    columns) come before the removal of re-delivered rows; the rows of one event
+    are the same but for their arrival.  Rows without log, sequence, time or class
+    are left out.  ``ordered`` leaves the rows partitioned by (log_id, _shard) for
+    the ordered functions; ``copies`` leaves re-delivered rows in.
     """
     ev = table(spark, sf_dir, "gc_events").filter("log_id IS NOT NULL AND seq IS NOT NULL AND t_us IS NOT NULL AND event_class IS NOT NULL")
     if classes is not None:
@@ -49,8 +61,10 @@ def events(spark: SparkSession, sf_dir: str, cols: Sequence[Column | str] = (),
             ev = ev.filter(F.col("family").isin(sorted({S.family(c) for c in classes})))
     if where is not None:
         ev = ev.filter(where)
-    known = ONCE in ev.columns
-    return once(ev.select("log_id", "seq", "t_us", "t_sec", "event_class", "duration_us", *cols), ["log_id", "seq"], known)
+    known = ONCE in ev.columns or copies
+    got = ev.select("log_id", "seq", "t_us", "t_sec", "event_class", "duration_us", *cols)
+    got = got.filter(keep) if keep else got
+    return sharded_once(got, ["seq"], known) if ordered else once(got, ["log_id", "seq"], known)
 
 
 def pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +109,8 @@ heaps AS (
 """
 
 
-def heaps(spark: SparkSession, sf_dir: str, classes: Sequence[str] = (*S.GG, *S.ZGC)) -> DataFrame:
-    """(log_id, seq, t_us, t_sec, event_class, category, valid, ob, oa, sb, sa, unit): pools of KB or bytes, ``unit`` of them a MB."""
+def heaps(spark: SparkSession, sf_dir: str, keep: str = "valid", ordered: bool = False, copies: bool = False) -> DataFrame:
+    """(log_id, seq, t_us, t_sec, event_class, category, valid, ob, oa, sb, sa, unit): pools of KB or bytes, ``unit`` of them a MB; ``keep`` chooses rows by valid, ob, oa, sb and sa."""
     z = F.col("event_class").isin(list(S.ZGC))
     pick = lambda a, b: F.when(z, F.col(b)).otherwise(F.col(a))
     cols = [
@@ -106,7 +120,7 @@ def heaps(spark: SparkSession, sf_dir: str, classes: Sequence[str] = (*S.GG, *S.
         pick("heap.size_before", "zgc.capacity.max_capacity").alias("sb"),
         pick("heap.size_after", "zgc.capacity.max_capacity").alias("sa"),
     ]
-    ev = events(spark, sf_dir, cols, classes)
+    ev = events(spark, sf_dir, cols, (*S.GG, *S.ZGC), keep=keep, ordered=ordered, copies=copies)
     return ev.withColumns({"category": category(), "unit": F.when(z, F.lit(1048576.0)).otherwise(F.lit(1024.0))}).drop("duration_us")
 
 

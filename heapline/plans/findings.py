@@ -256,7 +256,8 @@ r AS (SELECT log_id, count(*) AS calls, round(avg(dt), 6) AS mean_s, round(stdde
 SELECT *, 'SIGNIFICANT' AS impact FROM r WHERE calls >= {PERIODIC["calls"]} AND mean_s BETWEEN {PERIODIC["mean"][0]} AND {PERIODIC["mean"][1]} AND cv <= {PERIODIC["cv"]}""",
 )
 def an_periodic_gc(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
-    ev = with_previous(events(spark, sf_dir, (), None, F.col("gc_cause") == "JAVA_LANG_SYSTEM"), F.col("t_us"), "prev")
+    ev, copies = (events(spark, sf_dir, (), None, F.col("gc_cause") == "JAVA_LANG_SYSTEM", ordered=True, copies=c) for c in (False, True))
+    ev = with_previous(ev, F.col("t_us"), "prev", copies=copies)
     dt = (F.col("t_us") - F.col("prev")) / F.lit(1e6)
     r = ev.withColumn("dt", dt).groupBy("log_id").agg(F.count(F.lit(1)).alias("calls"), F.avg("dt").alias("m"), F.stddev_pop("dt").alias("sd"))
     r = r.select("log_id", "calls", F.round("m", 6).alias("mean_s"), F.round(F.try_divide("sd", "m"), 6).alias("cv"), F.lit("SIGNIFICANT").alias("impact"))
@@ -272,7 +273,7 @@ SELECT log_id, mixed, count(*) AS runs FROM d GROUP BY ALL""",
 )
 def an_mixed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram of mixed collections between two initial marks; the last, open cycle of a log is left out."""
-    ev = events(spark, sf_dir, (), S.G1_YOUNG)
+    ev = events(spark, sf_dir, (), S.G1_YOUNG, ordered=True)
     c = with_running_sum(ev, F.when(F.col("event_class") == "G1YoungInitialMark", 1).otherwise(0), "cycle")
     k = c.filter("cycle >= 1").groupBy("log_id", "cycle").agg(F.count_if(F.col("event_class") == "G1Mixed").alias("mixed"))
     last = k.groupBy("log_id").agg(F.max("cycle").alias("last"))
@@ -308,8 +309,8 @@ def an_heap_stability(spark: SparkSession, sf_dir: str, f: DataFrame | None = No
     A group in Python holds at most 5,000 rows: ordinals come from sharded running sums, and the stride is applied before.
     """
     least, most = STABILITY_SAMPLES
-    ev = events(spark, sf_dir, [F.col("heap.valid").alias("valid"), F.col("heap.occ_after").alias("oa")], S.GG).filter("valid AND oa IS NOT NULL")
-    ev = with_running_sum(ev.select("log_id", "seq", "t_us", (F.col("oa") / F.lit(1024.0)).alias("mb")), F.lit(1), "i").withColumn("i", F.col("i") - 1)
+    ev = events(spark, sf_dir, [F.col("heap.valid").alias("valid"), F.col("heap.occ_after").alias("oa")], S.GG, keep="valid AND oa IS NOT NULL", ordered=True)
+    ev = with_running_sum(ev.select("log_id", "_shard", "seq", "t_us", (F.col("oa") / F.lit(1024.0)).alias("mb")), F.lit(1), "i").withColumn("i", F.col("i") - 1)
     n = ev.groupBy("log_id").agg(F.count(F.lit(1)).alias("total"))
     ev = ev.join(n, "log_id").filter(f"total <= {most} OR (i * {most} + total - 1) div total < ((i + 1) * {most} + total - 1) div total")
     got = ev.filter(f"total >= {least}").select("log_id", "t_us", "seq", "mb").groupBy("log_id").applyInPandas(trend_frame, "log_id int, n int, s bigint, z double, p double, mb_per_hour double")

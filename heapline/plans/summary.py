@@ -41,16 +41,16 @@ def stw_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (log, event class): counts and sums of its stop-the-world events; everything else follows from it."""
     cols = ["gc_cause", F.expr(_PAUSE).alias("pause_us"), F.expr(_MOST).alias("most_us")]
     pool = [F.col(f"heap.{a}").alias(b) for a, b in (("valid", "valid"), ("occ_before", "ob"), ("occ_after", "oa"), ("size_after", "sa"))]
-    stw = events(spark, sf_dir, [*cols, *pool], (*S.GG, *S.ZGC))
-    hv = stw.filter(F.col("event_class").isin(list(S.GG)) & F.expr("valid AND ob IS NOT NULL AND oa IS NOT NULL AND sa IS NOT NULL"))
-    hv = with_previous(hv, F.struct("oa", "sa"), "prev")
+    stw, copies = (events(spark, sf_dir, [*cols, *pool], (*S.GG, *S.ZGC), ordered=True, copies=c) for c in (False, True))
+    usable = F.col("event_class").isin(list(S.GG)) & F.expr("valid AND ob IS NOT NULL AND oa IS NOT NULL AND sa IS NOT NULL")
+    hv = with_previous(stw.filter(usable), F.struct("oa", "sa"), "prev", copies=copies.filter(usable))
     kb = hv.groupBy("log_id", "event_class").agg(
         F.sum(F.greatest(F.col("ob") - F.col("prev.oa"), F.lit(0))).alias("alloc_kb"),
         F.sum(F.greatest(F.col("ob") - F.col("oa"), F.lit(0))).alias("recovered_kb"),
         F.count_if(F.abs(F.col("sa") - F.col("prev.sa")) > RESIZE_KB).alias("resized"),
     )
-    iv = with_previous(stw.drop("valid", "ob", "oa", "sa"), F.col("t_us") + F.col("pause_us"), "ended")
-    iv = with_previous(iv, F.col("t_us"), "same", ("log_id", "event_class"))
+    iv = with_previous(stw.drop("valid", "ob", "oa", "sa"), F.col("t_us") + F.col("pause_us"), "ended", copies=copies)
+    iv = with_previous(iv, F.col("t_us"), "same", ("log_id", "event_class"), copies=copies)
     dt, free = F.col("t_us") - F.col("same"), F.col("t_us") - F.col("ended")
     per = iv.groupBy("log_id", "event_class").agg(
         F.count(F.lit(1)).alias("n"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.cluster import ONCE, once, table
-from ..functions.ordered import with_previous
+from ..functions.ordered import sharded_once, with_previous
 from .base import category, events, heaps, long_form, meta, pauses, query, sql_long
 
 KEYS = ("log_id", "seq", "t_sec")
@@ -19,7 +19,7 @@ POSITIVE = lambda c: F.when(c > 0, c)
 
 def _occupancy(occ: str, size: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        h = heaps(spark, sf_dir).filter(f"valid AND category IS NOT NULL AND {occ} IS NOT NULL AND {size} IS NOT NULL")
+        h = heaps(spark, sf_dir, f"valid AND {occ} IS NOT NULL AND {size} IS NOT NULL").filter("category IS NOT NULL")
         cells = F.array(
             F.struct(F.lit("HEAP_CAPACITY").alias("category"), (F.col(size) / F.col("unit")).alias("mb")),
             F.struct(F.col("category"), (F.col(occ) / F.col("unit")).alias("mb")),
@@ -33,7 +33,7 @@ UNION ALL SELECT log_id, seq, t_sec, category, {occ} / unit FROM heaps WHERE val
 
 def _occupancy_percent(occ: str, size: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        h = heaps(spark, sf_dir).filter(f"valid AND category IS NOT NULL AND {occ} IS NOT NULL AND {size} > 0")
+        h = heaps(spark, sf_dir, f"valid AND {occ} IS NOT NULL AND {size} > 0").filter("category IS NOT NULL")
         return h.select(*KEYS, "category", (F.lit(100.0) * F.col(occ) / F.col(size)).alias("pct"))
 
     return run, f"SELECT log_id, seq, t_sec, category, 100e0 * {occ} / {size} AS pct FROM heaps WHERE valid AND category IS NOT NULL AND {occ} IS NOT NULL AND {size} > 0"
@@ -42,7 +42,7 @@ def _occupancy_percent(occ: str, size: str):
 def _tenured(side: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         cols = [F.col("tenured.valid").alias("valid"), F.col(f"tenured.occ_{side}").alias("occ"), F.col(f"tenured.size_{side}").alias("size")]
-        ev = events(spark, sf_dir, cols, S.GEN_PAUSE).filter("valid AND occ IS NOT NULL AND size IS NOT NULL")
+        ev = events(spark, sf_dir, cols, S.GEN_PAUSE, keep="valid AND occ IS NOT NULL AND size IS NOT NULL")
         cells = F.array(
             F.struct(F.lit("HEAP_CAPACITY").alias("category"), (F.col("size") / F.lit(1024.0)).alias("mb")),
             F.struct(category().alias("category"), (F.col("occ") / F.lit(1024.0)).alias("mb")),
@@ -77,7 +77,7 @@ def metaspace_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = F.col("event_class").isin(list(S.ZGC))
     size = F.when(z, F.col("zgc.metaspace.committed")).when(F.col("metaspace.valid"), F.col("metaspace.size_after"))
     occ = F.when(z, F.col("zgc.metaspace.used")).when(F.col("metaspace.valid"), F.col("metaspace.occ_after"))
-    ev = events(spark, sf_dir, [size.alias("size"), occ.alias("occ")], (*S.GG, *S.ZGC))
+    ev = events(spark, sf_dir, [size.alias("size"), occ.alias("occ")], (*S.GG, *S.ZGC), keep="size IS NOT NULL OR occ IS NOT NULL")
     cells = F.array(
         F.struct(F.lit("METASPACE_CAPACITY").alias("category"), (F.col("size") / F.lit(1024.0)).alias("mb")),
         F.struct(category().alias("category"), (F.col("occ") / F.lit(1024.0)).alias("mb")),
@@ -108,10 +108,12 @@ SELECT log_id, seq, t_us / 1e6 AS t_sec, category, 100e0 * dur_us / (t_us - prev
 def percent_time_in_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.array(F.struct(F.col("t_us").alias("t"), F.greatest(F.col("duration_us"), F.lit(0)).alias("d")))
     sub = F.array(*(F.struct(F.col(f"zgc.pauses.{p}.t_us").alias("t"), F.when(F.col(f"zgc.pauses.{p}.dur_us") > 0, F.col(f"zgc.pauses.{p}.dur_us")).alias("d")) for p in S.ZGC_PAUSES))
-    ev = events(spark, sf_dir, [F.when(F.col("event_class").isin(list(S.ZGC)), sub).otherwise(own).alias("p")], (*S.GG, *S.ZGC))
+    ev = events(spark, sf_dir, [F.when(F.col("event_class").isin(list(S.ZGC)), sub).otherwise(own).alias("p")], (*S.GG, *S.ZGC), copies=True)
     rows = ev.select("log_id", F.col("seq").alias("at"), category().alias("category"), F.posexplode("p").alias("sub", "x"))
-    rows = rows.select("log_id", "at", "category", F.col("x.t").alias("t_us"), F.col("x.d").alias("d"), F.struct("at", "sub").alias("seq"))
-    rows = with_previous(rows.filter("t_us IS NOT NULL AND d IS NOT NULL"), F.col("t_us"), "prev").filter("t_us > prev AND category IS NOT NULL")
+    rows = rows.select("log_id", "at", "sub", "category", F.col("x.t").alias("t_us"), F.col("x.d").alias("d")).filter("t_us IS NOT NULL AND d IS NOT NULL")
+    place = F.struct("at", "sub")
+    once_each = sharded_once(rows, ["at", "sub"]).withColumn("seq", place)
+    rows = with_previous(once_each, F.col("t_us"), "prev", copies=rows.withColumn("seq", place)).filter("t_us > prev AND category IS NOT NULL")
     return rows.select("log_id", F.col("at").alias("seq"), (F.col("t_us") / F.lit(1e6)).alias("t_sec"), "category", (F.lit(100.0) * F.col("d") / (F.col("t_us") - F.col("prev"))).alias("pct"))
 
 
@@ -174,8 +176,8 @@ def concurrent_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cpu_breakouts", sql_long("gg WHERE (coalesce(cpu.user, 0) > 0 OR coalesce(cpu.kernel, 0) > 0 OR coalesce(cpu.wall, 0) > 0)", "log_id, seq, t_sec", {"user": "cpu.user", "kernel": "cpu.kernel", "wall": "cpu.wall"}))
 def cpu_breakouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir, [F.col(f"cpu.{k}").alias(k) for k in ("user", "kernel", "wall")], S.GG)
-    return long_form(ev.filter("user > 0 OR kernel > 0 OR wall > 0"), KEYS, {k: F.col(k) for k in ("user", "kernel", "wall")})
+    ev = events(spark, sf_dir, [F.col(f"cpu.{k}").alias(k) for k in ("user", "kernel", "wall")], S.GG, keep="user > 0 OR kernel > 0 OR wall > 0")
+    return long_form(ev, KEYS, {k: F.col(k) for k in ("user", "kernel", "wall")})
 
 
 # ---- allocation and recovery -------------------------------------------------------------------------------------
@@ -188,8 +190,8 @@ _ALLOC_SQL = f""", a AS (
 
 def _allocated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid heaps with ``mb`` allocated since the one before, and the time ``dt_us`` between."""
-    h = heaps(spark, sf_dir).filter(_VALID)
-    h = with_previous(h, F.struct(F.col("t_us"), (F.col("oa") / F.col("unit")).alias("mb")), "prev")
+    chosen = [heaps(spark, sf_dir, "valid AND ob IS NOT NULL AND oa IS NOT NULL", ordered=True, copies=c).filter(_VALID) for c in (False, True)]
+    h = with_previous(chosen[0], F.struct(F.col("t_us"), (F.col("oa") / F.col("unit")).alias("mb")), "prev", copies=chosen[1])
     return h.withColumns({"mb": F.col("ob") / F.col("unit") - F.col("prev.mb"), "dt_us": F.col("t_us") - F.col("prev.t_us")})
 
 
@@ -206,7 +208,7 @@ def allocation_per_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("recovered", f"SELECT log_id, seq, t_sec, category, ob / unit - oa / unit AS mb FROM heaps WHERE {_VALID} AND ob >= oa")
 def recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = heaps(spark, sf_dir).filter(f"{_VALID} AND ob >= oa")
+    h = heaps(spark, sf_dir, "valid AND ob >= oa").filter("category IS NOT NULL")
     return h.select(*KEYS, "category", (F.col("ob") / F.col("unit") - F.col("oa") / F.col("unit")).alias("mb"))
 
 
@@ -235,7 +237,7 @@ ph AS (SELECT log_id, seq, t_sec, p.name AS phase, CAST(sum({_NS_SQL.format("p.s
 
 
 def _phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir, [_usable("phases").alias("p")], S.G1_YOUNG).select(*KEYS, F.explode("p").alias("x"))
+    ev = events(spark, sf_dir, [_usable("phases").alias("p")], S.G1_YOUNG, keep="size(p) > 0").select(*KEYS, F.explode("p").alias("x"))
     return ev.groupBy(*KEYS, F.col("x.name").alias("phase")).agg((F.sum(_ns(F.col("x.sec"))) / F.lit(1e6)).alias("ms"))
 
 
@@ -247,7 +249,7 @@ def g1_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("g1_phase_pct", _PHASES_SQL + "SELECT log_id, seq, t_sec, phase, CASE WHEN sum(ns) OVER w > 0 THEN 100e0 * ns / CAST(sum(ns) OVER w AS BIGINT) ELSE 0e0 END AS pct FROM ph WINDOW w AS (PARTITION BY log_id, seq)")
 def g1_phase_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentages inside the event's own array: no shuffle beyond that of the phases."""
-    ev = events(spark, sf_dir, [_usable("phases").alias("p")], S.G1_YOUNG)
+    ev = events(spark, sf_dir, [_usable("phases").alias("p")], S.G1_YOUNG, keep="size(p) > 0")
     rows = ev.select(*KEYS, _total_ns("p").alias("total"), F.explode("p").alias("x")).groupBy(*KEYS, F.col("x.name").alias("phase"))
     got = rows.agg(F.sum(_ns(F.col("x.sec"))).alias("ns"), F.first("total").alias("total"))
     return got.select(*KEYS, "phase", F.when(F.col("total") > 0, F.lit(100.0) * F.col("ns") / F.col("total")).otherwise(F.lit(0.0)).alias("pct"))
@@ -263,7 +265,7 @@ def _sub_phase(kind: str, percent: bool):
             p = F.filter(scalars, lambda x: x["sec"].isNotNull() & ~F.isnan(x["sec"]) & (x["sec"] > 0) & (x["sec"] < 1e9))
         else:
             p = _usable(S.SUB_PHASES[kind])
-        ev = events(spark, sf_dir, [p.alias("p")], S.G1_YOUNG).filter(F.size("p") > 0)
+        ev = events(spark, sf_dir, [p.alias("p")], S.G1_YOUNG, keep="size(p) > 0")
         label = F.when(F.col("event_class") == "G1Mixed", "Mixed").when(F.col("event_class") == "G1YoungInitialMark", "InitialMark").otherwise("Young")
         rows = ev.select(*KEYS, label.alias("type"), _total_ns("p").alias("total"), F.explode("p").alias("x"))
         got = rows.groupBy(*KEYS, F.concat("x.name", F.lit("::"), "type").alias("series")).agg(F.sum(_ns(F.col("x.sec"))).alias("ns"), F.first("total").alias("total"))
@@ -295,7 +297,7 @@ def _regions(side: str, percent: bool):
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         cols = [F.expr(sides[r, side]).alias(r) for r in S.REGIONS]
-        ev = events(spark, sf_dir, [*cols, F.expr(every).alias("every"), F.expr(here).alias("total")], S.G1_PAUSE, F.col("regions").isNotNull()).filter("every > 0")
+        ev = events(spark, sf_dir, [*cols, F.expr(every).alias("every"), F.expr(here).alias("total")], S.G1_PAUSE, F.col("regions").isNotNull(), keep="every > 0")
         if percent:
             return ev.select(*KEYS, *(F.when(F.col("total") > 0, F.lit(100.0) * F.col(r) / F.col("total")).otherwise(F.lit(0.0)).alias(r) for r in S.REGIONS))
         return ev.select(*KEYS, *S.REGIONS)
@@ -464,7 +466,7 @@ def safepoint_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _live(side: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ev = events(spark, sf_dir, [F.col(f"zgc.live.live_relocate_{side}").alias("b")], S.ZGC).filter("b IS NOT NULL")
+        ev = events(spark, sf_dir, [F.col(f"zgc.live.live_relocate_{side}").alias("b")], S.ZGC, keep="b IS NOT NULL")
         return ev.select(*KEYS, category().alias("category"), (F.col("b") / F.lit(1048576.0)).alias("mb"))
 
     return run, f"SELECT log_id, seq, t_sec, category, zgc.live.live_relocate_{side} / 1048576e0 AS mb FROM zg WHERE zgc.live.live_relocate_{side} IS NOT NULL"
@@ -503,7 +505,8 @@ SELECT log_id, seq, t_sec, 'duration' AS series, duration_us / 1e6 AS y FROM l W
 UNION ALL SELECT log_id, seq, t_sec, 'interval', dt / 1e6 FROM l WHERE dt > 0""",
 )
 def zgc_durations_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = with_previous(events(spark, sf_dir, (), S.ZGC), F.col("t_us"), "prev")
+    ev, copies = (events(spark, sf_dir, (), S.ZGC, ordered=True, copies=c) for c in (False, True))
+    ev = with_previous(ev, F.col("t_us"), "prev", copies=copies)
     return long_form(ev, KEYS, {"duration": POSITIVE(F.col("duration_us") / F.lit(1e6)), "interval": POSITIVE((F.col("t_us") - F.col("prev")) / F.lit(1e6))})
 
 
