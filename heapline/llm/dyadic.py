@@ -188,7 +188,8 @@ def sub_phase_values(df: DataFrame) -> DataFrame:
     rows = df.select("log_id", "seq", F.to_date("arrived_at").alias("day"), collection_kind().alias("collection_type"), usable.alias("s"))
     rows = rows.filter(F.col("collection_type").isNotNull() & (F.size("s") > 0))
     keyed = F.col("log_id").isNotNull() & F.col("seq").isNotNull()
-    once = rows.filter(keyed).dropDuplicates(["log_id", "seq"]).unionByName(rows.filter(~keyed))
+    # copies are few: looking for them before the shuffle would only sort the rows once more
+    once = rows.filter(keyed).repartition("log_id", "seq").dropDuplicates(["log_id", "seq"]).unionByName(rows.filter(~keyed))
     return once.select("log_id", "day", "collection_type", F.explode("s").alias("x")).select(
         "log_id", "day", "collection_type", F.col("x.name").alias("sub_phase"), F.col("x.sec").alias("sec")
     )
