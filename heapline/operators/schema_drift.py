@@ -229,7 +229,7 @@ def unify(df: DataFrame, spec: DriftSpec = DriftSpec()) -> DataFrame:
                 x = F.try_variant_get(v, f"$.{n}", target)
                 got.append(x * F.lit(unit_factor(n)) if target == "double" and unit_factor(n) != 1.0 else x)
         out.append(F.coalesce(*got).alias(canonical))
-    once = rows.dropDuplicates(["producer", "file", "line"]) if spec.line else rows
+    once = rows.repartition("producer", "file", "line").dropDuplicates(["producer", "file", "line"])
     return once.select(
         F.col("producer").alias(spec.producer), F.col("file").alias(spec.file), F.col("line").alias(spec.line), *out
     )
