@@ -324,8 +324,12 @@ def _time_ms(kind: Column, a: Column, b: Column, c: Column, started: Column) ->
     )
 
 
-def parsed_lines(df: DataFrame, meta: DataFrame, spec: LogSpec = LogSpec()) -> tuple[DataFrame, DataFrame]:
-    """(lines, templates): every line with ``ts_ms``, ``severity``, ``component`` (null ``kind``: no entry begins here)."""
+def parsed_lines(df: DataFrame, meta: DataFrame, spec: LogSpec = LogSpec(), text: bool = False) -> DataFrame:
+    """Every line (path, shard, no, begins, ts_ms, severity, component), with its ``text`` if wanted.
+
+    ``begins``: an entry begins here.  The result is read twice, so it is written
+    once instead of being parsed again.
+    """
     lines = shared_checkpoint(shards(df, spec))
     mined, roles = resolved_templates(lines, spec)
     by_shape = mined.select("shape_id", "leaf").join(roles.filter("kind <> ''").drop("lines", "template"), "leaf").drop("leaf")
@@ -340,14 +344,14 @@ def parsed_lines(df: DataFrame, meta: DataFrame, spec: LogSpec = LogSpec()) -> t
         "path",
         "shard",
         "no",
-        "text",
+        *(["text"] if text else []),
         "kind",
         _time_ms(F.col("kind"), tok(ts), tok(ts + 1), tok(ts + 2), F.col("started")).alias("ts_ms"),
         F.when(F.col("level_pos") < 0, "-").otherwise(F.coalesce(severity, F.lit("-"))).alias("severity"),
         F.when(F.col("comp_pos") < 0, "-").otherwise(F.coalesce(F.nullif(component, F.lit("")), F.lit("-"))).alias("component"),
     )
     begins = F.col("kind").isNotNull() & (F.col("ts_ms").isNotNull() | F.col("kind").isin("letter_date", "month_day", "uptime"))
-    return got.withColumn("begins", begins), roles
+    return shared_checkpoint(got.withColumn("begins", begins).drop("kind"))
 
 
 def _heads_and_lines(got: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -393,8 +397,7 @@ def entry_heads(df: DataFrame, meta: DataFrame, spec: LogSpec = LogSpec()) -> Da
     without row in ``meta`` gives null times where the layout needs its start;
     an empty table gives an empty result.
     """
-    got, _ = parsed_lines(df, meta, spec)
-    heads, _ = _heads_and_lines(got)
+    heads, _ = _heads_and_lines(parsed_lines(df, meta, spec))
     return heads.select(
         F.col("path").alias(spec.path), F.col("no").alias("first_line"), F.col("last_line"), "ts_ms", "severity", "component"
     )
@@ -402,8 +405,7 @@ def entry_heads(df: DataFrame, meta: DataFrame, spec: LogSpec = LogSpec()) -> Da
 
 def entries(df: DataFrame, meta: DataFrame, spec: LogSpec = LogSpec()) -> DataFrame:
     """As :func:`entry_heads`, with the whole ``message``: all lines of the entry as they were, joined by line feeds."""
-    got, _ = parsed_lines(df, meta, spec)
-    heads, lines = _heads_and_lines(got)
+    heads, lines = _heads_and_lines(parsed_lines(df, meta, spec, text=True))
     grouped = lines.filter(F.col("entry").isNotNull()).groupBy("path", "entry").agg(F.array_sort(F.collect_list(F.struct("no", "text"))).alias("all_lines"))
     grouped = grouped.join(heads.select("path", F.col("no").alias("entry"), "last_line", "ts_ms", "severity", "component"), ["path", "entry"])
     return grouped.select(
