@@ -84,6 +84,14 @@ class Engine:
         self.spark, self.folder = spark, folder
         self._dropped: set[int] = set()
 
+    @classmethod
+    def load_log(cls, spark: SparkSession, logs: str, target: str) -> Engine:
+        """An engine over the log files under ``logs``, whose tables are written to ``target``."""
+        from ..sources.ingest import ingest
+
+        ingest(spark, logs, target)
+        return cls(spark, target)
+
     def views(self) -> list[str]:
         return list(VIEWS)
 

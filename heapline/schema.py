@@ -49,3 +49,27 @@ def sql_in(names: tuple[str, ...]) -> str:
 def sql_category(column: str = "event_class") -> str:
     whens = " ".join(f"WHEN {column} IN {sql_in(classes)} THEN '{cat}'" for cat, classes in CATEGORY.items())
     return f"CASE {whens} END"
+
+
+_POOL = "struct<valid:boolean,occ_before:bigint,occ_after:bigint,size_before:bigint,size_after:bigint>"
+_SUB = "array<struct<name:string,sec:double>>"
+_SPAN = "struct<t_us:bigint,dur_us:bigint>"
+#: Tables that the views read, in DDL.
+DDL: dict[str, str] = {
+    "gc_events": ", ".join([
+        "log_id int, seq bigint, t_us bigint, t_sec double, event_class string, family string, gc_type string, gc_cause string, duration_us bigint",
+        f"heap {_POOL}, tenured {_POOL}, metaspace {_POOL}, cpu struct<user:double,kernel:double,wall:double>",
+        "refs struct<" + ",".join(f"{r}:struct<n:int,sec:double>" for r in REFERENCES) + ">",
+        "regions struct<" + ",".join(f"{r}:struct<before:int,after:int>" for r in REGIONS) + ">",
+        f"phases {_SUB}, pre_phases {_SUB}, evac_phases {_SUB}, post_phases {_SUB}",
+        "other_phases struct<" + ",".join(f"{k}:double" for k in OTHER_PHASES) + ">",
+        "aborted boolean, to_space_exhausted boolean",
+        "zgc struct<pauses:struct<" + ",".join(f"{p}:{_SPAN}" for p in ZGC_PAUSES) + ">,concurrent:struct<" + ",".join(f"{c}:double" for c in ZGC_CONCURRENT) + ">"
+        ",memory:struct<occ_before:bigint,occ_after:bigint>,capacity:struct<max_capacity:bigint>,live:struct<live_relocate_start:bigint,live_relocate_end:bigint>"
+        ",metaspace:struct<used:bigint,committed:bigint>,load:array<double>>",
+        "arrived_at timestamp",
+    ]),
+    "safepoints": "log_id int, seq bigint, t_us bigint, duration_us bigint, vm_operation string",
+    "survivor_records": "log_id int, seq bigint, t_us bigint, calculated_threshold int, max_threshold int, desired_occupancy bigint, bytes_at_age array<bigint>",
+    "log_meta": "log_id int, estimated_runtime_sec double, filename string, log_path string, collector string, started_at timestamp, created_at timestamp",
+}

@@ -180,3 +180,19 @@ def test_text_source(spark, tmp_path):
     meta = spark.createDataFrame([], "log_path string, started_at timestamp")
     (row,) = pauses_of_entries(lt.entries(lines, meta)).collect()
     assert row.event_class == "G1Young" and row.duration_us == 3250 and row.heap.occ_before == 12288
+
+
+def test_engine_over_log_files(spark, tmp_path, sf_dir):
+    from heapline.plans.registry import Engine
+    from heapline.schema import DDL
+
+    for name, ddl in DDL.items():
+        want = spark.createDataFrame([], ddl).schema
+        assert [(f.name, f.dataType.simpleString()) for f in spark.read.parquet(f"{sf_dir}/{name}.parquet").schema if f.name in want.fieldNames()] == [(f.name, f.dataType.simpleString()) for f in want]
+    (tmp_path / "in").mkdir()
+    gc = "[2031-03-01T12:00:0{0}.500+0000][{0}.500s][info][gc] GC({0}) Pause Young (Normal) (G1 Evacuation Pause) {1}M->4M(64M) 3.250ms"
+    (tmp_path / "in" / "gc.log").write_text("\n".join(["start", *(gc.format(i, 10 + i) for i in range(4)), "[2031-03-01T12:00:09.000+0000][9.000s][info][gc] GC(9) Concurrent Mark Cycle"]))
+    engine = Engine.load_log(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert sorted(r.t_sec for r in engine.view("pause-time").collect()) == [0.0, 1.0, 2.0, 3.0]
+    assert sorted(r.mb_per_sec for r in engine.view("allocation-rate").collect()) == [7.0, 8.0, 9.0]
+    assert {r.status for r in engine.status().filter("view_id = 'summary'").collect()} == {"OK"}
