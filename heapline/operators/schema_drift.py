@@ -101,9 +101,14 @@ def footers(df: DataFrame, spec: DriftSpec = DriftSpec()) -> DataFrame:
         .groupBy("producer", "file", "written", F.when(F.col("real"), F.col("field")).alias("field"))
         .agg(F.max_by(F.col("kind"), F.struct("n", "kind")).alias("kind"), F.sum("n").alias("n"))
     )
-    by_producer = Window.partitionBy("producer").orderBy("written", "file")
-    ordered = one.withColumn("ord", F.dense_rank().over(by_producer))
-    return ordered.withColumn("files", F.max("ord").over(Window.partitionBy("producer")))
+    one = shared_checkpoint(one)
+    # files are numbered apart from their fields: a busy producer's window holds a row a file
+    by_producer = Window.partitionBy("producer")
+    files = one.select("producer", "file", "written").distinct()
+    files = files.withColumns({"ord": F.row_number().over(by_producer.orderBy("written", "file")), "files": F.count(F.lit(1)).over(by_producer)})
+    numbered = files.select(F.col("producer").alias("p"), F.col("file").alias("f"), "ord", F.col("files").cast("int").alias("files"))
+    same = F.col("producer").eqNullSafe(F.col("p")) & F.col("file").eqNullSafe(F.col("f"))
+    return one.join(numbered, same).drop("p", "f")
 
 
 def lifespans(foot: DataFrame) -> DataFrame:
@@ -133,7 +138,7 @@ def changes(df: DataFrame, spec: DriftSpec = DriftSpec()) -> DataFrame:
     line has no fields.  Null producers or files form a producer of their own;
     re-delivered lines change nothing; an empty table gives an empty report.
     """
-    foot = shared_checkpoint(footers(df, spec))  # read three times below; of the size of files x fields
+    foot = footers(df, spec)
     files = foot.select(F.col("producer").alias("at_producer"), F.col("ord").alias("at_ord"), F.col("file").alias("at_file")).distinct()
     spans = lifespans(foot)
     starts = spans.filter(F.col("first_ord") > 1).select(
