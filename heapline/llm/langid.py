@@ -47,7 +47,9 @@ class LangSpec:
     max_samples: int = 5000
     max_docs: int = 4000
     #: Longest document that the models are fitted on, in characters.
-    max_chars: int = 20_000
+    max_chars: int = 5_000
+    #: Characters that the models are fitted on in all, which bounds their size.
+    max_total_chars: int = 3_000_000
     #: Cost of a change of language between sentences, in nats.
     switch: float = 7.0
     #: A sentence of a confirmed document is left out of the fit when another model is better by this many nats a letter.
@@ -327,6 +329,14 @@ def _bounded(df: DataFrame, text: str, label: str, longest: int, limit: int) ->
     return [(r[0], r[1]) for r in rows.collect()]
 
 
+def _within(chars: int, rows: list[tuple[str | None, str]]) -> Iterator[tuple[str | None, str]]:
+    for row in rows:
+        chars -= len(row[1])
+        if chars < 0:
+            return
+        yield row
+
+
 def train(samples: DataFrame, docs: DataFrame, spec: LangSpec = LangSpec()) -> Models:
     """Models from at most ``max_samples`` labelled sentences and ``max_docs`` documents, both chosen by the hash of their text."""
     pieces: dict[str, list[str]] = {}
@@ -338,7 +348,7 @@ def train(samples: DataFrame, docs: DataFrame, spec: LangSpec = LangSpec()) -> M
     if not pieces:
         raise ValueError("no labelled sample names a known language")
     model = fit(pieces, spec.order)
-    cut = [(label_code(label), sentences(text, spec)) for label, text in _bounded(docs, spec.text, spec.label, spec.max_chars, spec.max_docs)]
+    cut = [(label_code(label), sentences(text, spec)) for label, text in _within(spec.max_total_chars, _bounded(docs, spec.text, spec.label, spec.max_chars, spec.max_docs))]
     cut = [(code, s) for code, s in cut if code in pieces and s]
     for _ in range(2):
         if not cut:
