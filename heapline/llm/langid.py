@@ -57,7 +57,7 @@ class LangSpec:
     #: A segment counts as a language of the text from this many letters on (ideographs count three times).
     min_letters: int = 10
     #: Least confidence of a language beside the text's main one.
-    min_confidence: float = 0.95
+    min_confidence: float = 0.98
     #: Longest quotation without a sentence's end that counts as a phrase, in characters.
     max_phrase: int = 60
 
@@ -80,10 +80,16 @@ _QUOTED = re.compile("|".join(f"{re.escape(a)}[^{re.escape(a + b)}]*(?:[{re.esca
 _SENTENCE = re.compile(rf"[^\n{_ENDS}|]*(?:[{_ENDS}]+(?=\w)(?<![。！？])[^\n{_ENDS}|]*)*(?:[{_ENDS}]+[\"”“»’')\]」』]*|\n|\|+|$)")
 
 
+# A quotation that is no phrase is a sentence of its own, wherever it stands.
+_QUOTE_ENDS = re.compile("[«»„“”‹›「」『』]")
+
+
 def _mask(text: str, spec: LangSpec) -> str:
-    """Same length: markup, addresses and quoted phrases blanked, entities replaced."""
-    text = _BLANK.sub(lambda m: " " * len(m[0]), text)
-    text = _ENTITY.sub(lambda m: (html.unescape(m[0]) + " " * len(m[0]))[: len(m[0])] if len(html.unescape(m[0])) <= len(m[0]) else m[0], text)
+    """Same length: markup, addresses and quoted phrases blanked, entities replaced, other quotation marks as line ends."""
+    if "<" in text or "@" in text or "://" in text or "www." in text:
+        text = _BLANK.sub(lambda m: " " * len(m[0]), text)
+    if "&" in text:
+        text = _ENTITY.sub(lambda m: (html.unescape(m[0]) + " " * len(m[0]))[: len(m[0])] if len(html.unescape(m[0])) <= len(m[0]) else m[0], text)
 
     def phrase(m: re.Match) -> str:
         s = m[0]
@@ -93,22 +99,28 @@ def _mask(text: str, spec: LangSpec) -> str:
         cut = not closed and (s[0] not in "“„" or "\n" in inner)
         return s if not short or cut or inner.count(".") else " " * len(s)
 
-    return _QUOTED.sub(phrase, text)
+    if '"' not in text and text.isascii():
+        return text
+    return _QUOTE_ENDS.sub("\n", _QUOTED.sub(phrase, text))
 
 
 def sentences(text: str, spec: LangSpec = LangSpec()) -> list[tuple[int, int, str]]:
     """(start, end, letters): sentences with what of them is scored, lower-case letters and single spaces."""
     masked = _mask(text, spec)
+    plain = masked.isascii()
+    rough = not plain and (not unicodedata.is_normalized("NFKC", masked) or _UNSEEN.search(masked) is not None)
+    one_script = plain or _NOT_LATIN.search(masked) is None
     out = []
     for m in _SENTENCE.finditer(masked):
         if m.end() > m.start():
-            for a, b in _scripts(masked, m.start(), m.end()):
-                letters = bare(masked[a:b])
+            for a, b in [(m.start(), m.end())] if one_script else _scripts(masked, m.start(), m.end()):
+                letters = bare(masked[a:b], rough)
                 if letters and not _monotonous(letters):
                     out.append((a, b, letters))
     return out
 
 
+_NOT_LATIN = re.compile("[㐀-鿿豈-﫿Ѐ-ӿ]")
 _SCRIPT = re.compile(r"(?P<h>[㐀-鿿豈-﫿]+)|(?P<c>[Ѐ-ӿ]+)|(?P<l>[A-Za-zÀ-ɏ]+)")
 
 
@@ -140,10 +152,15 @@ def _monotonous(letters: str) -> bool:
 
 
 _NOT_LETTER = re.compile(r"[\W\d_]+")
+# Characters without a shape (soft hyphen, joiners, directions, byte order mark).
+_UNSEEN = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]")
 
 
-def bare(s: str) -> str:
-    return _NOT_LETTER.sub(" ", unicodedata.normalize("NFKC", s).lower()).strip()
+def bare(s: str, rough: bool = True) -> str:
+    """Lower-case letters and single spaces; ``rough``: there may be compatibility forms or unseen characters."""
+    if rough:
+        s = unicodedata.normalize("NFKC", _UNSEEN.sub("", s))
+    return _NOT_LETTER.sub(" ", s.lower()).strip()
 
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -187,6 +204,7 @@ class Models:
     base: float = 1 / 8000
     first: np.ndarray | None = None  # weight of the base under no context
     limits: np.ndarray | None = None  # least mean log-probability of a sentence of each language
+    beside: np.ndarray | None = None  # the same where the text's main language is another one
     rows: list[np.ndarray] = field(default_factory=list)
     prefix: list[tuple[np.ndarray, int]] = field(default_factory=list)
 
@@ -316,12 +334,13 @@ def _grams_of_rows(rows: np.ndarray, n: int) -> np.ndarray:
 
 def calibrate(model: Models, samples: dict[str, list[str]]) -> None:
     """Limit of each language: 0.3 nats a letter below the worst hundredth of the held-out sentences, above what random letters get."""
-    limits = []
+    worst = []
     for j, lang in enumerate(model.langs):
         pieces = [p for p in samples[lang] if len(p) >= 25] or samples[lang]
         mean = model.scores(pieces)[:, j] / np.array([len(p) + 1 for p in pieces])
-        limits.append(min(-2.2, max(-7.0, float(np.quantile(mean, 0.01)) - 0.3)))
-    model.limits = np.array(limits)
+        worst.append(float(np.quantile(mean, 0.01)))
+    model.limits = np.array([min(-2.2, max(-7.0, q - 0.3)) for q in worst])
+    model.beside = np.array([min(-1.6, max(-7.0, q - 0.1)) for q in worst])
 
 
 def _bounded(df: DataFrame, text: str, label: str, longest: int, limit: int) -> list[tuple[str | None, str]]:
@@ -373,8 +392,8 @@ def _weight(letters: str) -> int:
     return plain if letters.isascii() else plain + 2 * sum("㐀" <= c <= "鿿" for c in letters)
 
 
-def segments_of(model: Models, texts: list[str | None], spec: LangSpec = LangSpec()) -> list[list[tuple[int, int, str, float, int]]]:
-    """For each text its segments (start, end, language or 'und', confidence, letters)."""
+def segments_of(model: Models, texts: list[str | None], spec: LangSpec = LangSpec()) -> list[list[tuple[int, int, str, float, int, bool]]]:
+    """For each text its segments (start, end, language or 'und', confidence, letters, whether it is clear enough to count beside another language)."""
     cut = [sentences(t, spec) if t else [] for t in texts]
     flat = [s for doc in cut for _, _, s in doc]
     scores = model.scores(flat) if flat else np.zeros((0, len(model.langs)))
@@ -405,7 +424,9 @@ def segments_of(model: Models, texts: list[str | None], spec: LangSpec = LangSpe
             # one nat a few letters is what neighbouring letters tell again: the posterior is tempered by it
             z = (total - total.max()) / max(1.0, math.sqrt(length) / 2)
             p = np.exp(z) / np.exp(z).sum()
-            rows.append((start, end, "und" if lang == len(model.langs) else model.langs[lang], float(p[lang]), letters))
+            known = lang < len(model.langs)
+            clear = known and total[lang] >= model.beside[lang] * length
+            rows.append((start, end, model.langs[lang] if known else "und", float(p[lang]), letters, bool(clear)))
         out.append(rows)
         at += n
     return out
@@ -426,16 +447,19 @@ def _viterbi(e: np.ndarray, switch: float) -> list[int]:
     return path[::-1]
 
 
-def languages_in(segs: list[tuple[int, int, str, float, int]], spec: LangSpec = LangSpec()) -> list[tuple[str, float]]:
+def languages_in(segs: list[tuple[int, int, str, float, int, bool]], spec: LangSpec = LangSpec()) -> list[tuple[str, float]]:
     """(language, confidence) of the text, the most letters first; a text whose only segment is short still has its language."""
     letters: dict[str, int] = {}
     conf: dict[str, float] = {}
-    for _, _, lang, p, n in segs:
+    clear: dict[str, float] = {}
+    for _, _, lang, p, n, plain in segs:
         if lang != "und":
             letters[lang] = letters.get(lang, 0) + n
             conf[lang] = max(conf.get(lang, 0.0), p)
+            if plain and n >= spec.min_letters:
+                clear[lang] = max(clear.get(lang, 0.0), p)
     order = sorted(letters, key=lambda k: (-letters[k], k))
-    return [(k, conf[k]) for i, k in enumerate(order) if i == 0 and letters[k] >= 4 or letters[k] >= spec.min_letters and conf[k] >= spec.min_confidence]
+    return [(k, conf[k]) for i, k in enumerate(order) if (i == 0 and letters[k] >= 4) or clear.get(k, 0.0) >= spec.min_confidence]
 
 
 def _over(docs: DataFrame, model: Models, spec: LangSpec, make, ddl: str, names: list[str], kinds: list[pa.DataType]) -> DataFrame:
@@ -481,7 +505,7 @@ def segments(docs: DataFrame, model: Models, spec: LangSpec = LangSpec()) -> Dat
     """
 
     def make(segs, _):
-        return [(k, s, e, lang, p) for k, (s, e, lang, p, _) in enumerate(segs)]
+        return [(k, s, e, lang, p) for k, (s, e, lang, p, *_) in enumerate(segs)]
 
     ddl = "segment int, start_char int, end_char int, lang string, confidence double"
     return _over(docs, model, spec, make, ddl, ["segment", "start_char", "end_char", "lang", "confidence"], [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64()])

@@ -51,6 +51,15 @@ def test_held_out_accuracy(spark, sf_dir):
     assert right >= 0.95 * len(test)
 
 
+def test_sentences_and_noise(model):
+    inside = "The young gardener hides the broke «Onze buurvrouw controleert drie glazen schalen onder de trap.»"
+    noisy = "Der Nacht\u200bwächter prü\u00adft die Turm\u200buhr auf dem Markt\u2060platz."
+    named = "Der Nachtwächter prüft die Turmuhr auf dem Marktplatz. Xo Velit."
+    got = [{k for k, _ in langid.languages_in(s)} for s in langid.segments_of(model, [inside, noisy, named])]
+    assert got == [{"en", "nl"}, {"de"}, {"de"}]
+    assert all(t[a:b].strip() for t in (inside, noisy) for a, b, _ in langid.sentences(t))
+
+
 def test_documents(spark, model):
     en, de, zh = "The old watchmaker cleans the water pump behind the mill every evening.", "Der Nachtwächter prüft die Turmuhr auf dem Marktplatz.", "我们的邻居每天晚上在湖边检查两只空桶。"
     rows = [
