@@ -3,13 +3,13 @@
 Method: shape-preserving monotone cubic (Fritsch-Carlson/Butland) interpolation
 inside each source segment.  A source is cut into time shards of
 ``shard_slots`` steps so that a hot source is spread over many tasks; each
-shard receives the two observed neighbours on either side ("halo readings"),
-which is all a cubic Hermite interval needs, so sharding does not change the
-result.  Gaps longer than ``max_gap_slots`` split a source into segments: they
+shard receives the observed reading before it and the two after it ("halo
+readings"), which is all that the cubic Hermite intervals it owns need, so
+sharding does not change the result.  Gaps longer than ``max_gap_slots`` split a source into segments: they
 are left unfilled and marked.
 
 Everything is built from column expressions: one shuffle of the usable
-readings by (source, shard), plus a window over at most four edge rows a shard.
+readings by (source, shard), plus a window over at most three edge rows a shard.
 """
 
 from __future__ import annotations
@@ -66,7 +66,8 @@ def _observed(df: DataFrame, spec: GridSpec) -> DataFrame:
     rows = rows.withColumn("shard", F.floor(F.col("slot") / F.lit(spec.shard_slots)).cast("bigint"))
     rows = rows.repartition("source", "shard")
     values = [f"v{i}" for i in range(len(spec.values))]
-    once = rows.dropDuplicates(["source", "shard", "slot", "reading", "t", *values])
+    # every column is a key, so that both uses of the rows share one shuffle, whatever they need of them later
+    once = rows.dropDuplicates(["source", "shard", "step", "slot", "reading", "t", *values])
     return once.groupBy("source", "shard", "slot").agg(
         F.min("step").alias("step"),
         F.count(F.lit(1)).alias("n"),
@@ -76,34 +77,27 @@ def _observed(df: DataFrame, spec: GridSpec) -> DataFrame:
 
 
 def _halo(obs: DataFrame, values: list[str]) -> DataFrame:
-    """For each shard the two observed rows before it and the two after it, tagged with that shard."""
+    """(source, shard, before, after1, after2): for each shard the observed point before it and the two after it."""
     inside = Window.partitionBy("source", "shard").orderBy("slot")
-    edges = (
-        obs.withColumn("b1", F.lag("slot", 1).over(inside))
-        .withColumn("b2", F.lag("slot", 2).over(inside))
-        .withColumn("a1", F.lead("slot", 1).over(inside))
-        .withColumn("a2", F.lead("slot", 2).over(inside))
-        .filter(F.col("b2").isNull() | F.col("a2").isNull())
-    )
+    point = F.struct("slot", "t", *values)
+    edges = obs.select(
+        "source",
+        "shard",
+        "slot",
+        point.alias("point"),
+        F.lag("slot", 1).over(inside).isNull().alias("first"),
+        F.lag("slot", 2).over(inside).isNull().alias("early"),
+        F.lead("slot", 1).over(inside).isNull().alias("last"),
+    ).filter("early OR last")
     across = Window.partitionBy("source").orderBy("slot")
-    row = F.struct("slot", "step", "n", "t", *values)
     near = edges.select(
         "source",
         "shard",
-        "b1",
-        "a1",
-        *(F.lag(row, k).over(across).alias(f"lag{k}") for k in (1, 2)),
-        *(F.lead(row, k).over(across).alias(f"lead{k}") for k in (1, 2)),
-    )
-    none = F.lit(None)
-    wanted = F.array(
-        F.when(F.col("b1").isNull(), F.col("lag1")).otherwise(none),
-        F.when(F.col("b1").isNull(), F.col("lag2")).otherwise(none),
-        F.when(F.col("a1").isNull(), F.col("lead1")).otherwise(none),
-        F.when(F.col("a1").isNull(), F.col("lead2")).otherwise(none),
+        F.when(F.col("first"), F.lag("point", 1).over(across)).alias("before"),
+        F.when(F.col("last"), F.lead("point", 1).over(across)).alias("after1"),
+        F.when(F.col("last"), F.lead("point", 2).over(across)).alias("after2"),
     )
-    flat = near.filter(F.col("b1").isNull() | F.col("a1").isNull()).select("source", "shard", F.explode(wanted).alias("h"))
-    return flat.filter(F.col("h").isNotNull()).select("source", "shard", "h.*")
+    return near.groupBy("source", "shard").agg(*(F.max(c).alias(c) for c in ("before", "after1", "after2")))
 
 
 def _interior(h0: Column, h1: Column, d0: Column, d1: Column) -> Column:
@@ -133,16 +127,16 @@ def regular_grid(df: DataFrame, spec: GridSpec = GridSpec()) -> DataFrame:
     """
     values = [f"v{i}" for i in range(len(spec.values))]
     obs = _observed(df, spec)
-    both = obs.withColumn("own", F.lit(True)).unionByName(_halo(obs, values).withColumn("own", F.lit(False)))
     w = Window.partitionBy("source", "shard").orderBy("slot")
     point = F.struct("slot", "t", *values)
-    seq = both.withColumns(
+    near = obs.withColumns({"p0": F.lag(point, 1).over(w), "q0": F.lead(point, 1).over(w), "r0": F.lead(point, 2).over(w)})
+    seq = near.join(_halo(obs, values), ["source", "shard"], "left").withColumns(
         {
-            "p": F.lag(point, 1).over(w),
-            "q": F.lead(point, 1).over(w),
-            "r": F.lead(point, 2).over(w),
+            "p": F.coalesce("p0", "before"),
+            "q": F.coalesce("q0", "after1"),
+            "r": F.coalesce("r0", F.when(F.col("q0").isNotNull(), F.col("after1")).otherwise(F.col("after2"))),
         }
-    ).filter("own")
+    )
     short = lambda a, b: (F.col(b) - F.col(a) - 1) <= spec.max_gap_slots
     has_p = F.coalesce(short("p.slot", "slot"), F.lit(False))
     has_r = F.coalesce(short("q.slot", "r.slot"), F.lit(False))
