@@ -41,3 +41,12 @@ def test_normalisation_and_offsets(spark):
 def test_one_word_less_is_no_leak():
     a = leak.Automaton([(1, "a b c d e f g h i j k l m n")], 13)
     assert a.hits("x a b c d e f g h i j k l y") == [] and a.hits("x a b c d e f g h i j k l m y") == [(1, 1, 13)]
+
+
+def test_very_long_text(spark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    long = "lorem ipsum " * 200000 + passage + " dolor" * 200000
+    ddf = spark.createDataFrame([(1, long, "x", 1), (2, "lorem " * 100000, "x", 1)], DOCS)
+    idf = spark.createDataFrame([(5, "a b " + passage, "y")], ITEMS)
+    (r,) = leak.leaked_spans(ddf, idf).collect()
+    assert (r.doc_id, r.n_words) == (1, 20) and long[r.start_char : r.end_char] == passage
