@@ -73,7 +73,7 @@ def label_code(label: str | None) -> str | None:
 
 
 _ENDS = ".!?…。！？．"
-_BLANK = re.compile(r"</?[A-Za-z!][^<>]{0,300}>|https?://\S+|www\.\S+|\S+@\S+\.\S+")
+_BLANK = re.compile(r"</?[A-Za-z!][^<>]{0,300}>|https?://\S+|www\.\S+|[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,8}")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});")
 _QUOTES = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』", '"': '"', "‹": "›"}
 _QUOTED = re.compile("|".join(f"{re.escape(a)}[^{re.escape(a + b)}]*(?:[{re.escape(b)}]|$)" for a, b in _QUOTES.items()))
