@@ -41,8 +41,8 @@ LEVEL_KEYS = {"level", "severity", "lvl", "loglevel", "levelname"}
 COMPONENT_KEYS = {"component", "logger", "tag", "module", "program", "name", "logger_name", "category", "source", "file"}
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
-#: Tokens: words that may hold . , : + / - inside, or a single other character.
-TOKEN = r"[\p{L}\p{N}_$]+(?:[.,:+/-]+[\p{L}\p{N}_$]+)*|[^\s]"
+#: Tokens: words that may hold . , : + / - inside (some dozens of times, for the engine recurses), or a single other character.
+TOKEN = r"[\p{L}\p{N}_$]+(?:[.,:+/-]+[\p{L}\p{N}_$]+){0,48}|[^\s]"
 #: Positions that decide a layout; the message behind them only counts tokens.
 HEADER = 24
 

@@ -52,7 +52,7 @@ def pauses_of_entries(entries: DataFrame) -> DataFrame:
 
     ``entries`` has log_path, first_line, ts_ms and message.
     """
-    head = F.regexp_replace(F.split("message", "\n")[0], r"^(\[[^\]]*\])+\s*(GC\(\d+\)\s*)?", "")
+    head = F.regexp_replace(F.split("message", "\n")[0], r"^(\[[^\]]*\]){1,12}\s*(GC\(\d+\)\s*)?", "")
     kind = F.lit(None).cast("string")
     for pattern, name in reversed(_PAUSES):
         kind = F.when(head.rlike(pattern), name).otherwise(kind)

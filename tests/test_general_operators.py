@@ -196,3 +196,9 @@ def test_engine_over_log_files(spark, tmp_path, sf_dir):
     assert sorted(r.t_sec for r in engine.view("pause-time").collect()) == [0.0, 1.0, 2.0, 3.0]
     assert sorted(r.mb_per_sec for r in engine.view("allocation-rate").collect()) == [7.0, 8.0, 9.0]
     assert {r.status for r in engine.status().filter("view_id = 'summary'").collect()} == {"OK"}
+
+
+def test_very_long_lines(spark):
+    text = ["[1.000s][info][gc] " + "a." * 300000, "b-" * 200000, "[2.000s][info][gc] " + "word " * 100000]
+    df, meta = _log(spark, {"p": text})
+    assert sorted((r.first_line, r.last_line) for r in lt.entry_heads(df, meta).collect()) == [(1, 2), (3, 3)]
