@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cluster import ship_package
 from .catalogue import queries
 
 
@@ -81,6 +82,7 @@ class Engine:
     """Views over the tables of one folder; a log is dropped by leaving it out of every later view."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        ship_package(spark)
         self.spark, self.folder = spark, folder
         self._dropped: set[int] = set()
 
@@ -89,6 +91,7 @@ class Engine:
         """An engine over the log files under ``logs``, whose tables are written to ``target``."""
         from ..sources.ingest import ingest
 
+        ship_package(spark)
         ingest(spark, logs, target)
         return cls(spark, target)
 
