@@ -7,7 +7,9 @@ positions, then by the bijection or one-to-many relation between the two
 positions of the most common cardinality.  Leaf partitions are templates:
 positions with one value are constants, the others are variable slots.  The
 slots and constants of a template's header decide which of them hold time,
-level and component; lines are then parsed through their template.
+level and component; lines are then parsed through their template.  The
+templates themselves (:func:`templates`) are mined over all tokens, by
+relations between positions alone, until no leaf splits.
 
 A file is cut into shards of ``shard_lines`` line numbers, so that a hot file
 is spread over tasks; what an entry needs from later shards (where the next
@@ -43,7 +45,7 @@ MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 
 #: Tokens: words that may hold . , : + / - inside (some dozens of times, for the engine recurses), or a single other character.
 TOKEN = r"[\p{L}\p{N}_$]+(?:[.,:+/-]+[\p{L}\p{N}_$]+){0,48}|[^\s]"
-#: Positions that decide a layout; the message behind them only counts tokens.
+#: Positions that decide a layout; the message behind them only counts tokens, except for the templates themselves.
 HEADER = 24
 
 
@@ -64,10 +66,10 @@ def _clean(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(line, "\\x1B\\[[0-9;]*m", ""), "^\\x{FEFF}|[\\r\\n]+$", "")
 
 
-def shards(df: DataFrame, spec: LogSpec = LogSpec()) -> DataFrame:
+def shards(df: DataFrame, spec: LogSpec = LogSpec(), whole: bool = False) -> DataFrame:
     """Distinct lines (path, shard, no, text, toks, n, shape_id): a line delivered again counts once, the first id is kept.
 
-    Rows without path, number or text belong to no file and are left out.
+    ``toks`` are the first HEADER tokens, or all of them if ``whole``.  Rows without path, number or text belong to no file and are left out.
     """
     rows = df.filter(F.col(spec.path).isNotNull() & F.col(spec.line_no).isNotNull() & F.col(spec.line).isNotNull()).select(
         F.col(spec.path).alias("path"),
@@ -86,7 +88,8 @@ def shards(df: DataFrame, spec: LogSpec = LogSpec()) -> DataFrame:
     # U+0001 joins tokens below, so it cannot be one
     all_toks = F.regexp_extract_all(F.translate("text", "\u0001", " "), F.lit(TOKEN), F.lit(0))
     toks = once.withColumn("all_toks", all_toks)
-    toks = toks.select("path", "shard", "no", "text", F.slice("all_toks", 1, HEADER).alias("toks"), F.size("all_toks").alias("n"))
+    kept = F.col("all_toks") if whole else F.slice("all_toks", 1, HEADER)
+    toks = toks.select("path", "shard", "no", "text", kept.alias("toks"), F.size("all_toks").alias("n"))
     indented = F.col("text").rlike("^\\s") | (F.col("n") == 0)
     masked = F.regexp_replace(F.array_join("toks", "\u0001"), "[0-9]+", "0")
     return toks.withColumn("shape_id", F.when(~indented, F.xxhash64("n", masked)))
@@ -130,8 +133,46 @@ def _split_by_bijection(leaves: DataFrame) -> DataFrame:
     return both.withColumn("leaf", F.concat_ws("\u0001", "leaf", F.coalesce(one, many, F.lit("*")))).select("shape_id", "shape", "n", "lines", "leaf")
 
 
-def mine_templates(lines: DataFrame, spec: LogSpec = LogSpec()) -> DataFrame:
-    """(shape_id, shape, n, lines, leaf): every distinct shape with its leaf partition.  ``lines`` as from :func:`shards`.
+def _relation_position(leaves: DataFrame, spec: LogSpec) -> DataFrame:
+    """(leaf, pos): where each leaf that still splits is split; positions with more than ``max_split`` values split nothing.
+
+    Two positions are one-to-one where they group the shapes alike, so a hash of
+    the grouping finds them without comparing pairs; the largest such set of a
+    leaf is taken.  Without one, of two positions of which one decides the other
+    (one-to-many) the decided one is taken, with the fewest values.
+    """
+    cells = leaves.select("leaf", "shape_id", F.posexplode("shape").alias("pos", "tok"))
+    groups = cells.groupBy("leaf", "pos", "tok").agg(F.bit_xor("shape_id").alias("members"))
+    slots = groups.groupBy("leaf", "pos").agg(F.count(F.lit(1)).alias("values"), F.bit_xor(F.xxhash64("members")).alias("grouping"))
+    slots = slots.filter((F.col("values") > 1) & (F.col("values") <= spec.max_split))
+    alike = shared_checkpoint(slots.groupBy("leaf", "values", "grouping").agg(F.count(F.lit(1)).alias("k"), F.min("pos").alias("pos")))
+    one = alike.filter("k > 1").groupBy("leaf").agg(F.min_by("pos", F.struct(-F.col("k"), "values", "pos")).alias("pos"))
+    rest = leaves.join(alike.join(one, "leaf", "left_anti"), "leaf").select("leaf", "shape_id", "pos", "values", F.get("shape", F.col("pos")).alias("tok"))
+    other = rest.select("leaf", "shape_id", F.col("pos").alias("by"), F.col("values").alias("by_values"), F.col("tok").alias("by_tok"))
+    pairs = rest.join(other, ["leaf", "shape_id"]).filter("values < by_values").groupBy("leaf", "pos", "values", "by", "by_values")
+    decided = pairs.agg(F.count_distinct("tok", "by_tok").alias("pairs")).filter("pairs = by_values")
+    many = decided.groupBy("leaf").agg(F.min_by("pos", F.struct("values", "pos")).alias("pos"))
+    return shared_checkpoint(one.unionByName(many))
+
+
+def _split_by_relations(leaves: DataFrame, spec: LogSpec) -> DataFrame:
+    """Partition again and again, until no leaf holds two positions that depend on each other.
+
+    Positions that vary independently of all others (levels, components, values)
+    stay variable slots, as does the only open position of a leaf.
+    """
+    done = leaves.limit(0)
+    while True:
+        at = _relation_position(leaves, spec)
+        if at.isEmpty():
+            return done.unionByName(leaves)
+        done = done.unionByName(leaves.join(at, "leaf", "left_anti"))
+        step = F.concat_ws("\u0001", "leaf", F.col("pos").cast("string"), F.get("shape", F.col("pos")))
+        leaves = shared_checkpoint(leaves.join(at, "leaf").withColumn("leaf", step).drop("pos"))
+
+
+def _shapes(lines: DataFrame) -> DataFrame:
+    """(shape_id, shape, n, lines, leaf): every distinct shape, in one partition with those of its token count.
 
     A shape is known by a 64-bit hash of its masked tokens and their number; two
     of a million shapes share one with a probability below 1e-7.
@@ -139,9 +180,21 @@ def mine_templates(lines: DataFrame, spec: LogSpec = LogSpec()) -> DataFrame:
     kept = lines.filter(F.col("shape_id").isNotNull())
     shapes = kept.groupBy("shape_id").agg(F.min("n").alias("n"), F.min(F.array_join("toks", "\u0001")).alias("toks"), F.count(F.lit(1)).alias("lines"))
     masked = F.split(F.regexp_replace("toks", "[0-9]+", "0"), "\u0001")
-    shapes = shapes.select("shape_id", masked.alias("shape"), "n", "lines")
+    return shapes.select("shape_id", masked.alias("shape"), "n", "lines", F.col("n").cast("string").alias("leaf"))
+
+
+def _opening() -> Column:
+    """The leaf parted by the tokens that open the line."""
+    return F.concat_ws("\u0001", "leaf", F.lit("^"), F.slice("shape", 1, 3))
+
+
+def mine_templates(lines: DataFrame, spec: LogSpec = LogSpec()) -> DataFrame:
+    """(shape_id, shape, n, lines, leaf): every distinct header with its leaf partition, fine enough to tell its slots.
+
+    ``lines`` as from :func:`shards`.
+    """
     # each round reads the shapes twice, so its result is written before the next one begins
-    leaves = shared_checkpoint(shapes.withColumn("leaf", F.col("n").cast("string")))
+    leaves = shared_checkpoint(_shapes(lines))
     return _split_by_bijection(_split_by_least_variable(leaves, spec))
 
 
@@ -254,7 +307,8 @@ def _roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def template_roles(mined: DataFrame) -> DataFrame:
     """One row per leaf: its template and the slots of time, level and component (-1: none).
 
-    What is handed to Python is at most HEADER cells a leaf, whatever the leaf's size.
+    What is handed to Python is a cell for each position of a leaf (at most HEADER
+    of them, except for :func:`templates`), whatever the leaf's size.
     """
     tok = F.col("tok")
     level_words = F.lower(tok).isin([k for k in SEVERITIES if len(k) > 1])
@@ -290,8 +344,7 @@ def resolved_templates(lines: DataFrame, spec: LogSpec = LogSpec()) -> tuple[Dat
     mined = shared_checkpoint(mine_templates(lines, spec))
     roles = shared_checkpoint(template_roles(mined))
     unclear = roles.filter("kind = ''").select("leaf")
-    opening = F.concat_ws("\u0001", "leaf", F.lit("^"), F.slice("shape", 1, 3))
-    again = shared_checkpoint(mined.join(unclear, "leaf", "left_semi").withColumn("leaf", opening))
+    again = shared_checkpoint(mined.join(unclear, "leaf", "left_semi").withColumn("leaf", _opening()))
     kept = mined.join(unclear, "leaf", "left_anti")
     roles_again = template_roles(again)
     return kept.unionByName(again), shared_checkpoint(roles.filter("kind <> ''").unionByName(roles_again))
@@ -420,6 +473,12 @@ def entries(df: DataFrame, meta: DataFrame, spec: LogSpec = LogSpec()) -> DataFr
 
 
 def templates(df: DataFrame, spec: LogSpec = LogSpec()) -> DataFrame:
-    """(template, tokens, lines, kind): the mined leaf templates and the kind of time their header carries."""
-    _, roles = resolved_templates(shared_checkpoint(shards(df, spec)), spec)
+    """(template, tokens, lines, kind): the mined leaf templates over all tokens, and the kind of time their header carries."""
+    shapes = shared_checkpoint(_shapes(shards(df, spec, whole=True)))
+    mined = shared_checkpoint(_split_by_relations(shapes, spec))
+    roles = shared_checkpoint(template_roles(mined))
+    # as in resolved_templates; the parts are partitioned on until none splits
+    unclear = mined.join(roles.filter("kind = ''").select("leaf"), "leaf", "left_semi")
+    again = _split_by_relations(shared_checkpoint(unclear.withColumn("leaf", _opening())), spec)
+    roles = roles.filter("kind <> ''").unionByName(template_roles(again))
     return roles.select("template", F.split("leaf", "\u0001").getItem(0).cast("int").alias("tokens"), "lines", "kind")

@@ -202,3 +202,24 @@ def test_very_long_lines(spark):
     text = ["[1.000s][info][gc] " + "a." * 300000, "b-" * 200000, "[2.000s][info][gc] " + "word " * 100000]
     df, meta = _log(spark, {"p": text})
     assert sorted((r.first_line, r.last_line) for r in lt.entry_heads(df, meta).collect()) == [(1, 2), (3, 3)]
+
+
+def test_templates_cover_the_whole_line(spark):
+    def line(level, name, message):
+        return f'{{"@timestamp": "2031-03-01T12:00:00Z", "severity": "{level}", "logger": "{name}", "message": "{message}"}}'
+
+    messages = ["queue depth is low", "user said stop now", "slot was given back"]
+    text = [line(level, name, m) for level in ("info", "warn", "error") for name in ("a.B", "c.D") for m in messages]
+    df, _ = _log(spark, {"p": text})
+    got = {(r.template, r.tokens, r.lines, r.kind) for r in lt.templates(df).collect()}
+    assert got == {(f'{{ " @ timestamp " : " 0-0-0T0:0:0Z " , " severity " : " <*> " , " logger " : " <*> " , " message " : " {m} " }}', 37, 6, "stamp") for m in messages}
+
+
+def test_templates_split_until_none_splits(spark):
+    """Shapes that differ in several places, also behind token 24, or in a word that another one decides."""
+    words = [f"{'a b ' * i}x{chr(97 + i)} y{chr(97 + i)} {'z z ' * (9 - i)}" for i in range(9)]
+    df, _ = _log(spark, {"p": [f"[1.000s][info][gc] {w}" for w in words]})
+    assert sorted(r.template for r in lt.templates(df).collect()) == sorted(f"[ 0.0s ] [ info ] [ gc ] {w.strip()}" for w in words)
+    many, _ = _log(spark, {"p": ["[1.000s][info][gc] a b c", "[1.000s][info][gc] a d e", "[1.000s][info][gc] f d g"]})
+    assert {r.template.split("] ")[-1] for r in lt.templates(many).collect()} == {"a b c", "a d e", "f d g"}
+    assert lt.templates(df.limit(0)).count() == 0
