@@ -215,12 +215,20 @@ def _as_map(v: Column, path: str, factor: float) -> Column:
     return plain if factor == 1.0 else F.transform_values(plain, lambda _, x: x * F.lit(factor))
 
 
+def _other_fields(v: Column) -> Column:
+    """The fields under names that the alias table does not know, with their values as JSON."""
+    known = [n for _, names in ALIASES.values() for n in names]
+    fields = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~k.isin(known))
+    return F.transform_values(fields, lambda _, x: F.coalesce(F.to_json(x), F.lit("null")))
+
+
 def unify(df: DataFrame, spec: DriftSpec = DriftSpec()) -> DataFrame:
     """Every readable line in one schema, durations in seconds; a line delivered twice comes out once.
 
     Unreadable lines are left out; values that cannot be cast are null; when a
     line carries two names of one column, the first in alias order with a value
-    is taken.
+    is taken.  Fields of names outside the alias table are kept in ``other_fields``,
+    a map from name to the value as JSON, empty where there are none.
     """
     rows = _parsed(df, spec).filter(F.col("v").isNotNull())
     v = F.col("v")
@@ -234,6 +242,7 @@ def unify(df: DataFrame, spec: DriftSpec = DriftSpec()) -> DataFrame:
                 x = F.try_variant_get(v, f"$.{n}", target)
                 got.append(x * F.lit(unit_factor(n)) if target == "double" and unit_factor(n) != 1.0 else x)
         out.append(F.coalesce(*got).alias(canonical))
+    out.append(_other_fields(v).alias("other_fields"))
     once = rows.repartition("producer", "file", "line").dropDuplicates(["producer", "file", "line"])
     return once.select(
         F.col("producer").alias(spec.producer), F.col("file").alias(spec.file), F.col("line").alias(spec.line), *out

@@ -223,3 +223,10 @@ def test_templates_split_until_none_splits(spark):
     many, _ = _log(spark, {"p": ["[1.000s][info][gc] a b c", "[1.000s][info][gc] a d e", "[1.000s][info][gc] f d g"]})
     assert {r.template.split("] ")[-1] for r in lt.templates(many).collect()} == {"a b c", "a d e", "f d g"}
     assert lt.templates(df.limit(0)).count() == 0
+
+
+def test_drift_unify_keeps_unknown_fields(spark):
+    rows = _files([{"tSec": 1.5, "evacParts": {"a": 1, "b": "x"}, "note": "4", "n": 4, "gone": None}], [{"tSec": 2.5}])
+    got = {r.file_id: r for r in sd.unify(spark.createDataFrame(rows, DRIFT)).collect()}
+    assert {k: json.loads(x) for k, x in got[0].other_fields.items()} == {"evacParts": {"a": 1, "b": "x"}, "note": "4", "n": 4, "gone": None}
+    assert got[0].t_sec == 1.5 and got[1].other_fields == {}
