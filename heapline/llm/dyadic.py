@@ -11,7 +11,8 @@ counts of both children are estimated (median over the rows, then fitted to the
 parent's count), and the side that holds the wanted rank is entered.
 
 Error: every value lies within a factor ``gamma`` of its code's value (relative
-error at most ``value_error``, about 0.03 % for 16 bits); the rank is off by at
+error at most ``value_error``, about 0.03 % for 16 bits; zero and infinity are exact,
+and a row with a percentile outside ``low`` to ``high`` states an error of 1); the rank is off by at
 most about ``rank_error`` (a share of n), computed from the sketch itself as
 three standard errors of its estimates.
 
@@ -47,7 +48,7 @@ class SketchSpec:
 
     @property
     def log_gamma(self) -> float:
-        return (math.log(self.high) - math.log(self.low)) / ((1 << self.bits) - 2)
+        return (math.log(self.high) - math.log(self.low)) / ((1 << self.bits) - 4)
 
     @property
     def value_error(self) -> float:
@@ -64,14 +65,27 @@ class SketchSpec:
 
 
 def encode(value: Column, spec: SketchSpec) -> Column:
-    """Code of a value that is not negative; values below ``low`` are code 0, those above ``high`` the last."""
+    """Code of a value that is not negative.
+
+    Zero is the first code and infinity the last; the codes beside them are all
+    other values below ``low``, and all finite ones from ``high`` on.
+    """
     top = (1 << spec.bits) - 1
-    code = F.floor((F.log(value) - F.lit(math.log(spec.low))) / F.lit(spec.log_gamma)) + 1
-    return F.when(value < F.lit(spec.low), F.lit(0)).otherwise(F.least(F.greatest(code, F.lit(1)), F.lit(top))).cast("int")
+    code = F.floor((F.log(value) - F.lit(math.log(spec.low))) / F.lit(spec.log_gamma)) + 2
+    ends = F.when(value == 0, 0).when(value < F.lit(spec.low), 1).when(value == F.lit(math.inf), top).when(value >= F.lit(spec.high), top - 1)
+    return ends.otherwise(F.least(F.greatest(code, F.lit(2)), F.lit(top - 2))).cast("int")
 
 
 def decode(code: int, spec: SketchSpec) -> float:
-    return 0.0 if code == 0 else spec.low * math.exp((code - 0.5) * spec.log_gamma)
+    top = (1 << spec.bits) - 1
+    ends = {0: 0.0, 1: 0.0, top - 1: spec.high, top: math.inf}
+    return ends[code] if code in ends else spec.low * math.exp((code - 1.5) * spec.log_gamma)
+
+
+def code_error(code: int, spec: SketchSpec) -> float:
+    """Relative error of the decoded value: none for zero and infinity, up to 1 outside ``low`` to ``high``."""
+    top = (1 << spec.bits) - 1
+    return {0: 0.0, 1: 1.0, top - 1: 1.0, top: 0.0}.get(code, spec.value_error)
 
 
 def _keys(code: Column, spec: SketchSpec) -> Column:
@@ -84,17 +98,17 @@ def _keys(code: Column, spec: SketchSpec) -> Column:
     return F.array(*out)
 
 
-def build_sketch(df: DataFrame, groups: Sequence[str], value: str, weight: str | None = None, spec: SketchSpec = SketchSpec()) -> DataFrame:
+def build_sketch(df: DataFrame, groups: Sequence[str], value: str, weight: str | None = None, spec: SketchSpec = SketchSpec(), infinite: bool = False) -> DataFrame:
     """Sketch (groups..., cell, value) of ``value`` per group.
 
-    Null, NaN, infinite and negative values are left out; ``weight`` (default 1)
-    may be negative.  Equal codes are added up before the shuffle, so that a hot
+    Null, NaN and negative values are left out, infinite ones unless ``infinite``;
+    ``weight`` (default 1) may be negative.  Equal codes are added up before the shuffle, so that a hot
     group moves no more rows than it has distinct codes in a task.  An empty
     table gives an empty sketch.
     """
     v = F.col(value).cast("double")
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    ok = v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v < F.lit(float("inf")))
+    ok = v.isNotNull() & ~F.isnan(v) & (v >= 0) & (F.lit(infinite) | (v < F.lit(math.inf)))
     codes = df.filter(ok).select(*groups, encode(v, spec).alias("code"), w.alias("w")).groupBy(*groups, "code").agg(F.sum("w").alias("w"))
     keys = codes.filter("w <> 0").select(*groups, F.explode(_keys(F.col("code").cast("bigint"), spec)).alias("key"), "w")
     level_row = F.col("key").bitwiseAND(F.lit(~_PLACE))
@@ -147,7 +161,8 @@ class _Inverter:
                 total += float(np.median((table.astype(float) ** 2).sum(axis=1))) / self.spec.width / self.spec.depth * (math.pi / 2)
         return 3 * math.sqrt(total) / max(self.n, 1)
 
-    def quantile(self, q: float) -> float | None:
+    def quantile(self, q: float) -> int | None:
+        """Code of the value."""
         if self.n <= 0:
             return None
         rank, node, here = min(max(math.ceil(q * self.n), 1), self.n), 0, float(self.n)
@@ -158,7 +173,7 @@ class _Inverter:
                 node, here = 2 * node, left
             else:
                 node, here, rank = 2 * node + 1, here - left, rank - left
-        return decode(node, self.spec)
+        return node
 
 
 def quantiles(sketch: DataFrame, groups: Sequence[str], qs: Sequence[float], names: Sequence[str], spec: SketchSpec = SketchSpec()) -> DataFrame:
@@ -168,9 +183,11 @@ def quantiles(sketch: DataFrame, groups: Sequence[str], qs: Sequence[float], nam
 
     def invert(rows: pd.DataFrame) -> pd.DataFrame:
         inv = _Inverter(rows, spec)
-        got = [inv.quantile(q) for q in qs]
+        codes = [inv.quantile(q) for q in qs]
+        got = [None if c is None else decode(c, spec) for c in codes]
+        error = max([spec.value_error, *(code_error(c, spec) for c in codes if c is not None)])
         key = [rows[g].iloc[0] for g in groups]
-        return pd.DataFrame([[*key, inv.n, *got, inv.rank_error(), spec.value_error]], columns=[*groups, "n_values", *names, "rank_error", "value_error"])
+        return pd.DataFrame([[*key, inv.n, *got, inv.rank_error(), error]], columns=[*groups, "n_values", *names, "rank_error", "value_error"])
 
     return sketch.select(*groups, "cell", "value").groupBy(*groups).applyInPandas(invert, ddl)
 

@@ -33,13 +33,13 @@ def p1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = dyadic.sub_phase_values(table(spark, sf_dir, "g1_event_rows"))
-    return dyadic.quantiles(dyadic.build_sketch(values, GROUPS, "sec"), GROUPS, QS, QNAMES)
+    return dyadic.quantiles(dyadic.build_sketch(values, GROUPS, "sec", infinite=True), GROUPS, QS, QNAMES)
 
 
 def p5_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from the sum of one sketch a day."""
     values = dyadic.sub_phase_values(table(spark, sf_dir, "g1_event_rows"))
-    days = dyadic.build_sketch(values, ("day", *GROUPS), "sec")
+    days = dyadic.build_sketch(values, ("day", *GROUPS), "sec", infinite=True)
     return dyadic.quantiles(dyadic.merge(days, GROUPS), GROUPS, QS, QNAMES)
 
 

@@ -52,3 +52,16 @@ def test_sub_phase_values_count_redelivered_rows_once(spark):
     rows = [(1, 1, "Young", [("x", 1.0), ("x", None), (None, 1.0), ("y", -1.0)], at, 0.0)] * 2 + [(1, 2, None, [("x", 1.0)], at, 0.0), (1, 3, "G1 mixed", None, at, 0.0), (1, None, "Mixed", [("x", 2.0)], at, 0.0)]
     got = sorted((r.collection_type, r.sub_phase, r.sec) for r in dyadic.sub_phase_values(spark.createDataFrame(rows, schema)).collect())
     assert got == [("Mixed", "x", 2.0), ("Young", "x", 1.0)]
+
+
+def test_values_outside_the_range_have_codes_and_a_stated_error(spark):
+    data = {"inf": [1.0] * 6 + [math.inf] * 4, "big": [1.0] * 6 + [5e12] * 4, "tiny": [1e-12] * 6 + [1.0] * 4, "zero": [0.0, -0.0] * 3 + [1.0] * 4}
+    df = spark.createDataFrame([(g, 1, v, 1, 0, 0) for g, vs in data.items() for v in vs], SCHEMA)
+    got = {r.g: r for r in dyadic.quantiles(dyadic.build_sketch(df, ["g"], "v", infinite=True), ["g"], QS, NAMES).collect()}
+    for g, vs in data.items():
+        assert got[g].n_values == 10
+        for q, name in zip(QS, NAMES):
+            want = sorted(vs)[math.ceil(q * 10) - 1]
+            assert got[g][name] == want or abs(got[g][name] - want) <= got[g].value_error * want
+    assert got["inf"].p99 == math.inf and got["zero"].p50 == 0.0
+    assert [got[g].value_error < 0.001 for g in data] == [True, False, False, True]
