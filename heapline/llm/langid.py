@@ -146,9 +146,13 @@ def _scripts(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 
 def _monotonous(letters: str) -> bool:
-    """A few letters again and again: no language."""
-    head = letters[:200]
-    return len(head) >= 20 and len(set(head)) < 8 and len({head[i : i + 3] for i in range(len(head) - 2)}) * 5 < len(head)
+    """A few letters again and again, from the first to the last: no language."""
+
+    def same(part: str) -> bool:
+        return len(part) >= 20 and len(set(part)) < 8 and len({part[i : i + 3] for i in range(len(part) - 2)}) * 5 < len(part)
+
+    last = max(len(letters) - 200, 0)
+    return all(same(letters[i : i + 200]) for i in (*range(0, last, 200), last))
 
 
 _NOT_LETTER = re.compile(r"[\W\d_]+")

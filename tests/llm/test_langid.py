@@ -73,3 +73,9 @@ def test_documents(spark, model):
     assert [(s.lang, rows[4][1][s.start_char : s.end_char].strip()) for s in sorted(segs, key=lambda s: s.segment)] == [("en", en), ("de", de)]
     assert langid.documents(df, model).count() == len(rows)
     assert langid.wrong_labels(df.limit(0), model).count() == 0
+
+
+def test_monotony_is_judged_over_the_whole_sentence():
+    words = "the reader opened the window and looked over the quiet harbour before the morning boats came in "
+    assert langid._monotonous("ha" * 300) and langid._monotonous("ha" * 105)
+    assert not langid._monotonous("ha" * 150 + words.replace(" ", "") * 3)
