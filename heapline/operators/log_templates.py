@@ -43,10 +43,8 @@ LEVEL_KEYS = {"level", "severity", "lvl", "loglevel", "levelname"}
 COMPONENT_KEYS = {"component", "logger", "tag", "module", "program", "name", "logger_name", "category", "source", "file"}
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
-#: Tokens: words that may hold . , : + / - inside (some dozens of times, for the engine recurses), or a single other character.
-TOKEN = r"[\p{L}\p{N}_$]+(?:[.,:+/-]+[\p{L}\p{N}_$]+){0,48}|[^\s]"
-#: Positions that decide a layout; the message behind them only counts tokens, except for the templates themselves.
-HEADER = 24
+#: Tokens: words that may hold . , : + / - inside, or a single other character.  Possessive, so that the engine loops instead of recursing.
+TOKEN = r"[\p{L}\p{N}_$]++(?:[.,:+/-]++[\p{L}\p{N}_$]++)*+|[^\s]"
 
 
 @dataclass(frozen=True)
@@ -59,6 +57,8 @@ class LogSpec:
     shard_lines: int = 4096
     #: A position with more values than this splits no partition (it is a variable slot).
     max_split: int = 48
+    #: Tokens behind a placed time among which its level stands; a level word further on belongs to the message.
+    level_within: int = 12
 
 
 def _clean(line: Column) -> Column:
@@ -66,75 +66,42 @@ def _clean(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(line, "\\x1B\\[[0-9;]*m", ""), "^\\x{FEFF}|[\\r\\n]+$", "")
 
 
-def shards(df: DataFrame, spec: LogSpec = LogSpec(), whole: bool = False) -> DataFrame:
-    """Distinct lines (path, shard, no, text, toks, n, shape_id): a line delivered again counts once, the first id is kept.
-
-    ``toks`` are the first HEADER tokens, or all of them if ``whole``.  Rows without path, number or text belong to no file and are left out.
-    """
-    rows = df.filter(F.col(spec.path).isNotNull() & F.col(spec.line_no).isNotNull() & F.col(spec.line).isNotNull()).select(
+def _lines(df: DataFrame, spec: LogSpec) -> DataFrame:
+    """(path, no, id, text).  Rows without path, number or text belong to no file and are left out."""
+    return df.filter(F.col(spec.path).isNotNull() & F.col(spec.line_no).isNotNull() & F.col(spec.line).isNotNull()).select(
         F.col(spec.path).alias("path"),
-        F.floor(F.col(spec.line_no) / F.lit(spec.shard_lines)).cast("int").alias("shard"),
         F.col(spec.line_no).alias("no"),
         F.col(spec.line_id).alias("id"),
         _clean(F.col(spec.line)).alias("text"),
     )
-    w = Window.partitionBy("path", "shard").orderBy("no", "id", "text")
-    once = (
-        rows.repartition("path", "shard")
-        .withColumn("before", F.lag("no").over(w))
-        .filter(F.col("before").isNull() | (F.col("before") != F.col("no")))
-        .drop("before", "id")
-    )
+
+
+def _masked(text: Column) -> Column:
+    """The text with each run of digits as 0, which moves no token."""
+    return F.regexp_replace(text, "[0-9]+", "0")
+
+
+def _forms(masked: DataFrame) -> DataFrame:
+    """(form_id, shape_id, shape, lines) of every distinct masked text that holds a token.
+
+    Texts that differ in white space only have one shape.  Forms and shapes are
+    known by 64-bit hashes; two of a million share one with a probability below 1e-7.
+    """
+    forms = masked.groupBy("masked").agg(F.count(F.lit(1)).alias("lines"))
     # U+0001 joins tokens below, so it cannot be one
-    all_toks = F.regexp_extract_all(F.translate("text", "\u0001", " "), F.lit(TOKEN), F.lit(0))
-    toks = once.withColumn("all_toks", all_toks)
-    kept = F.col("all_toks") if whole else F.slice("all_toks", 1, HEADER)
-    toks = toks.select("path", "shard", "no", "text", kept.alias("toks"), F.size("all_toks").alias("n"))
-    indented = F.col("text").rlike("^\\s") | (F.col("n") == 0)
-    masked = F.regexp_replace(F.array_join("toks", "\u0001"), "[0-9]+", "0")
-    return toks.withColumn("shape_id", F.when(~indented, F.xxhash64("n", masked)))
-
-
-def _split_by_least_variable(leaves: DataFrame, spec: LogSpec, rounds: int = 3) -> DataFrame:
-    """Partition again and again at the open position with the fewest (but several) values, at most ``max_split``."""
-    for _ in range(rounds):
-        cells = leaves.select("leaf", F.posexplode("shape").alias("pos", "tok"))
-        card = cells.groupBy("leaf", "pos").agg(F.count_distinct("tok").alias("values"), F.count(F.lit(1)).alias("rows"))
-        best = (
-            card.filter((F.col("values") > 1) & (F.col("values") <= spec.max_split))
-            .groupBy("leaf")
-            .agg(F.min_by("pos", F.struct("values", "pos")).alias("pos"))
-        )
-        at = F.coalesce(F.get("shape", F.col("pos")), F.lit(""))
-        step = F.when(F.col("pos").isNull(), F.col("leaf")).otherwise(F.concat_ws("\u0001", "leaf", F.col("pos").cast("string"), at))
-        leaves = shared_checkpoint(leaves.join(best, "leaf", "left").withColumn("leaf", step).drop("pos"))
-    return leaves
-
-
-def _split_by_bijection(leaves: DataFrame) -> DataFrame:
-    """Step 3: the two positions of the commonest cardinality; one-to-one and one-to-many values give a partition each."""
-    cells = leaves.select("leaf", F.posexplode("shape").alias("pos", "tok"))
-    card = cells.groupBy("leaf", "pos").agg(F.count_distinct("tok").alias("values")).filter("values > 1")
-    common = card.groupBy("leaf", "values").agg(F.count(F.lit(1)).alias("k"), F.sort_array(F.collect_list("pos")).alias("at"))
-    pair = (
-        common.filter("k >= 2")
-        .groupBy("leaf")
-        .agg(F.max_by("at", F.struct("k", -F.col("values"))).alias("at"))
-        .select("leaf", F.get("at", F.lit(0)).alias("p1"), F.get("at", F.lit(1)).alias("p2"))
-    )
-    both = leaves.join(pair, "leaf", "left")
-    both = both.withColumn("a", F.get("shape", F.col("p1"))).withColumn("b", F.get("shape", F.col("p2")))
-    pairs = both.filter("p1 IS NOT NULL").select("leaf", "a", "b").distinct()
-    fan_a = pairs.groupBy("leaf", "a").agg(F.count(F.lit(1)).alias("fan_a"))
-    fan_b = pairs.groupBy("leaf", "b").agg(F.count(F.lit(1)).alias("fan_b"))
-    both = both.join(fan_a, ["leaf", "a"], "left").join(fan_b, ["leaf", "b"], "left")
-    one = F.when((F.col("fan_a") == 1) & (F.col("fan_b") == 1), F.concat(F.lit("="), "a", F.lit("\u0002"), "b"))
-    many = F.when(F.col("fan_a") == 1, F.concat(F.lit(">"), "b")).when(F.col("fan_b") == 1, F.concat(F.lit("<"), "a"))
-    return both.withColumn("leaf", F.concat_ws("\u0001", "leaf", F.coalesce(one, many, F.lit("*")))).select("shape_id", "shape", "n", "lines", "leaf")
+    toks = F.transform(F.regexp_extract_all("masked", F.lit(TOKEN), F.lit(0)), lambda x: F.translate(x, "\u0001", "\ufffd"))
+    forms = forms.select(F.xxhash64("masked").alias("form_id"), toks.alias("shape"), "lines").filter(F.size("shape") > 0)
+    return forms.select("form_id", F.xxhash64(F.array_join("shape", "\u0001")).alias("shape_id"), "shape", "lines")
+
+
+def _shapes(forms: DataFrame) -> DataFrame:
+    """(shape_id, shape, n, lines, leaf): every distinct shape, in one partition with those of its token count."""
+    shapes = forms.groupBy("shape_id", "shape").agg(F.sum("lines").alias("lines"))
+    return shapes.select("shape_id", "shape", F.size("shape").alias("n"), "lines", F.size("shape").cast("string").alias("leaf"))
 
 
-def _relation_position(leaves: DataFrame, spec: LogSpec) -> DataFrame:
-    """(leaf, pos): where each leaf that still splits is split; positions with more than ``max_split`` values split nothing.
+def _with_split(leaves: DataFrame, spec: LogSpec) -> DataFrame:
+    """``leaves`` with ``pos``: where each leaf splits, null if it does not; positions with more than ``max_split`` values split nothing.
 
     Two positions are one-to-one where they group the shapes alike, so a hash of
     the grouping finds them without comparing pairs; the largest such set of a
@@ -145,14 +112,21 @@ def _relation_position(leaves: DataFrame, spec: LogSpec) -> DataFrame:
     groups = cells.groupBy("leaf", "pos", "tok").agg(F.bit_xor("shape_id").alias("members"))
     slots = groups.groupBy("leaf", "pos").agg(F.count(F.lit(1)).alias("values"), F.bit_xor(F.xxhash64("members")).alias("grouping"))
     slots = slots.filter((F.col("values") > 1) & (F.col("values") <= spec.max_split))
-    alike = shared_checkpoint(slots.groupBy("leaf", "values", "grouping").agg(F.count(F.lit(1)).alias("k"), F.min("pos").alias("pos")))
-    one = alike.filter("k > 1").groupBy("leaf").agg(F.min_by("pos", F.struct(-F.col("k"), "values", "pos")).alias("pos"))
-    rest = leaves.join(alike.join(one, "leaf", "left_anti"), "leaf").select("leaf", "shape_id", "pos", "values", F.get("shape", F.col("pos")).alias("tok"))
-    other = rest.select("leaf", "shape_id", F.col("pos").alias("by"), F.col("values").alias("by_values"), F.col("tok").alias("by_tok"))
-    pairs = rest.join(other, ["leaf", "shape_id"]).filter("values < by_values").groupBy("leaf", "pos", "values", "by", "by_values")
-    decided = pairs.agg(F.count_distinct("tok", "by_tok").alias("pairs")).filter("pairs = by_values")
-    many = decided.groupBy("leaf").agg(F.min_by("pos", F.struct("values", "pos")).alias("pos"))
-    return shared_checkpoint(one.unionByName(many))
+    alike = slots.groupBy("leaf", "values", "grouping").agg(F.count(F.lit(1)).alias("k"), F.min("pos").alias("pos"))
+    per = alike.groupBy("leaf").agg(
+        F.min(F.when(F.col("k") > 1, F.struct((-F.col("k")).alias("k"), "values", "pos"))).alias("one"),
+        F.array_sort(F.collect_list(F.struct("values", "pos"))).alias("open"),
+    )
+    got = leaves.join(per, "leaf", "left")
+    # a row of a leaf holds no more pairs than its line has pairs of tokens
+    at = lambda x: F.get("shape", x["pos"])
+    pair = lambda a, b: F.struct(a["pos"].alias("pos"), a["values"].alias("values"), b["pos"].alias("by"), b["values"].alias("by_values"), at(a).alias("tok"), at(b).alias("by_tok"))
+    pairs = F.flatten(F.transform("open", lambda a: F.transform(F.filter("open", lambda b: b["values"] > a["values"]), lambda b: pair(a, b))))
+    pairs = got.filter("one IS NULL AND size(open) > 1").select("leaf", F.explode(pairs).alias("x")).select("leaf", "x.*").distinct()
+    decided = pairs.groupBy("leaf", "pos", "values", "by", "by_values").agg(F.count(F.lit(1)).alias("pairs")).filter("pairs = by_values")
+    many = decided.groupBy("leaf").agg(F.min(F.struct("values", "pos")).alias("many"))
+    got = got.join(many, "leaf", "left")
+    return got.withColumn("pos", F.coalesce("one.pos", "many.pos")).drop("one", "many", "open")
 
 
 def _split_by_relations(leaves: DataFrame, spec: LogSpec) -> DataFrame:
@@ -161,49 +135,24 @@ def _split_by_relations(leaves: DataFrame, spec: LogSpec) -> DataFrame:
     Positions that vary independently of all others (levels, components, values)
     stay variable slots, as does the only open position of a leaf.
     """
-    done = leaves.limit(0)
+    done = None
     while True:
-        at = _relation_position(leaves, spec)
-        if at.isEmpty():
-            return done.unionByName(leaves)
-        done = done.unionByName(leaves.join(at, "leaf", "left_anti"))
+        leaves = shared_checkpoint(_with_split(leaves, spec))
+        stay = leaves.filter("pos IS NULL").drop("pos")
+        done = stay if done is None else done.unionByName(stay)
+        leaves = leaves.filter("pos IS NOT NULL")
+        if leaves.isEmpty():
+            return done
         step = F.concat_ws("\u0001", "leaf", F.col("pos").cast("string"), F.get("shape", F.col("pos")))
-        leaves = shared_checkpoint(leaves.join(at, "leaf").withColumn("leaf", step).drop("pos"))
-
-
-def _shapes(lines: DataFrame) -> DataFrame:
-    """(shape_id, shape, n, lines, leaf): every distinct shape, in one partition with those of its token count.
-
-    A shape is known by a 64-bit hash of its masked tokens and their number; two
-    of a million shapes share one with a probability below 1e-7.
-    """
-    kept = lines.filter(F.col("shape_id").isNotNull())
-    shapes = kept.groupBy("shape_id").agg(F.min("n").alias("n"), F.min(F.array_join("toks", "\u0001")).alias("toks"), F.count(F.lit(1)).alias("lines"))
-    masked = F.split(F.regexp_replace("toks", "[0-9]+", "0"), "\u0001")
-    return shapes.select("shape_id", masked.alias("shape"), "n", "lines", F.col("n").cast("string").alias("leaf"))
-
+        leaves = leaves.withColumn("leaf", step).drop("pos")
 
-def _opening() -> Column:
-    """The leaf parted by the tokens that open the line."""
-    return F.concat_ws("\u0001", "leaf", F.lit("^"), F.slice("shape", 1, 3))
 
-
-def mine_templates(lines: DataFrame, spec: LogSpec = LogSpec()) -> DataFrame:
-    """(shape_id, shape, n, lines, leaf): every distinct header with its leaf partition, fine enough to tell its slots.
-
-    ``lines`` as from :func:`shards`.
-    """
-    # each round reads the shapes twice, so its result is written before the next one begins
-    leaves = shared_checkpoint(_shapes(lines))
-    return _split_by_bijection(_split_by_least_variable(leaves, spec))
-
-
-_KINDS = ("level", "month", "letter_date", "word", "stamp", "date", "clock", "uptime", "num")
+_KINDS = ("level", "month", "letter_date", "word", "stamp", "date", "clock", "uptime", "num", "plain")
 _ROLE_FIELDS = "leaf string, template string, lines bigint, kind string, ts_pos int, level_pos int, comp_pos int"
 
 
 class _Slots:
-    """Header of one template: constant token or None for each position, and what all its values have in common."""
+    """One template: constant token or None for each position, and what all its values have in common."""
 
     def __init__(self, cells: list[dict]):
         self.size = max(c["pos"] for c in cells) + 1
@@ -222,37 +171,87 @@ class _Slots:
         return self.const[p] if 0 <= p < self.size else None
 
 
+class _Unclear(Exception):
+    """A position that decides the structure of a keyed layout is a variable slot."""
+
+
+def _skip(s: _Slots, p: int, until: tuple[str, ...]) -> int:
+    """First position from p that holds one of ``until``; those between must hold none of the structure's characters in any line."""
+    while p < s.size:
+        tok = s.at(p)
+        if tok in until:
+            return p
+        if tok is None and not s.has("plain", p):
+            raise _Unclear
+        p += 2 if tok == "\\" else 1
+    return p
+
+
+def _value_end(s: _Slots, p: int) -> int:
+    """Position behind the value that begins at p: a quoted text, an object or array, or bare tokens."""
+    if s.at(p) == '"':
+        return _skip(s, p + 1, ('"',)) + 1
+    depth = 0
+    while p < s.size:
+        tok = s.at(p)
+        if tok is None and not s.has("plain", p):
+            raise _Unclear
+        if tok == '"':
+            p = _skip(s, p + 1, ('"',))
+        elif tok in ("{", "["):
+            depth += 1
+        elif tok in ("}", "]", ","):
+            if depth == 0:
+                return p
+            depth -= tok != ","
+        p += 1
+    return p
+
+
+def _named_values(s: _Slots) -> Iterator[tuple[str, int]]:
+    """(key, first position of its value) of {"key": value, ...} or key=value ..., wherever they stand."""
+    if s.at(0) == "{":
+        p = 1
+        while p < s.size and s.at(p) == '"':
+            close = _skip(s, p + 1, ('"',))
+            if s.at(close + 1) != ":":
+                raise _Unclear
+            key, q = s.at(close - 1), close + 2
+            if key is not None:
+                yield key.lower(), q + (s.at(q) == '"')
+            p = _value_end(s, q) + 1
+    elif s.at(1) == "=":
+        p = 0
+        while p < s.size:
+            key = s.at(p)
+            if key is not None and key[:1].isalpha() and s.at(p + 1) == "=":
+                quoted = s.at(p + 2) == '"'
+                yield key.lower(), p + 2 + quoted
+                p = _skip(s, p + 3, ('"',)) + 1 if quoted else p + 3
+            elif key is None and not s.has("plain", p):
+                raise _Unclear
+            else:
+                p = _skip(s, p + 1, ('"',)) + 1 if key == '"' else p + 1
+
+
 def _keyed(s: _Slots) -> tuple[str, int, int, int] | None:
-    """Layouts of named fields: {"key": "value", ...} or key=value ..."""
-    if not (s.at(0) == "{" or (s.at(1) == "=" and s.at(0) is not None)):
+    """Layouts of named fields; None where there is no time or where it is not the same place in all lines."""
+    kind, ts, level, comp = "", -1, -1, -1
+    try:
+        for key, q in _named_values(s):
+            if key in TIME_KEYS and ts < 0:
+                ts = q
+                kind = "stamp" if s.has("stamp", q) else "date_clock" if s.has("date", q) and s.has("clock", q + 1) else "epoch" if s.has("num", q) else ""
+            elif key in LEVEL_KEYS and level < 0:
+                level = q
+            elif key in COMPONENT_KEYS and comp < 0:
+                comp = q
+    except _Unclear:
         return None
-    kind, ts, level, comp, p = "", -1, -1, -1, 0
-    while p < s.size:
-        name = s.at(p)
-        if name is None or not name[:1].isalpha():
-            p += 1
-            continue
-        q = p + 1 + (s.at(p + 1) == '"')
-        if s.at(q) not in (":", "="):
-            p += 1
-            continue
-        q += 1
-        q += s.at(q) == '"'
-        key = name.lower()
-        if key in TIME_KEYS and ts < 0:
-            ts = q
-            kind = "stamp" if s.has("stamp", q) else "date_clock" if s.has("date", q) and s.has("clock", q + 1) else "epoch" if s.has("num", q) else ""
-            if not kind:
-                return None
-        elif key in LEVEL_KEYS and level < 0:
-            level = q
-        elif key in COMPONENT_KEYS and comp < 0:
-            comp = q
-        p = q + 1
-    return (kind, ts, level, comp) if ts >= 0 else None
-
-
-def _placed(s: _Slots) -> tuple[str, int, int, int] | None:
+    return (kind, ts, level, comp) if kind else None
+
+
+def _placed(s: _Slots, within: int) -> tuple[str, int, int, int] | None:
     """Layouts of placed fields: the time comes first, perhaps in a bracket."""
     p = 1 if s.at(0) in ("[", "(", "<") else 0
     if s.has("letter_date", p) and s.has("clock", p + 1):
@@ -263,7 +262,7 @@ def _placed(s: _Slots) -> tuple[str, int, int, int] | None:
         kind, end = "date_clock", p + 2
     elif s.has("month", p) and s.has("num", p + 1) and s.has("clock", p + 2):
         kind, end = "month_day", p + 3
-    elif s.has("uptime", p):
+    elif s.has("uptime", p) and (p or s.at(1) in (":", "[", "|", "-")):
         kind, end = "uptime", p + 1
     elif p == 0 and s.has("num", 0) and s.at(1) == ":" and s.at(2) == "[":
         return "uptime", 0, -1, -1
@@ -272,7 +271,7 @@ def _placed(s: _Slots) -> tuple[str, int, int, int] | None:
     if kind == "letter_date":
         close = next((i for i in range(end, s.size) if s.at(i) == "]"), -1)
         return kind, p, p, (close - 1 if close > end else -1)
-    level = next((i for i in range(end, min(s.size, end + 12)) if s.has("level", i)), -1)
+    level = next((i for i in range(end, min(s.size, end + within)) if s.has("level", i)), -1)
     if level < 0:
         return kind, p, -1, -1
     comp = -1
@@ -292,28 +291,25 @@ def _placed(s: _Slots) -> tuple[str, int, int, int] | None:
     return kind, p, level, comp
 
 
-def _roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for leaf, lines, cells in zip(*(batch.column(c).to_pylist() for c in ("leaf", "lines", "cells")), strict=True):
-            s = _Slots(cells)
-            text = " ".join("<*>" if c is None else c for c in s.const)
-            out.append((leaf, text, lines, *(_keyed(s) or _placed(s) or ("", -1, -1, -1))))
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-        names = [f.split()[0] for f in _ROLE_FIELDS.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+def _roles(within: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for leaf, lines, cells in zip(*(batch.column(c).to_pylist() for c in ("leaf", "lines", "cells")), strict=True):
+                s = _Slots(cells)
+                text = " ".join("<*>" if c is None else c for c in s.const)
+                out.append((leaf, text, lines, *(_keyed(s) or _placed(s, within) or ("", -1, -1, -1))))
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+            names = [f.split()[0] for f in _ROLE_FIELDS.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
+    return run
 
-def template_roles(mined: DataFrame) -> DataFrame:
-    """One row per leaf: its template and the slots of time, level and component (-1: none).
 
-    What is handed to Python is a cell for each position of a leaf (at most HEADER
-    of them, except for :func:`templates`), whatever the leaf's size.
-    """
-    tok = F.col("tok")
-    level_words = F.lower(tok).isin([k for k in SEVERITIES if len(k) > 1])
-    facts = {
-        "level": level_words,
+def _facts(tok: Column) -> dict[str, Column]:
+    """What a masked token may be."""
+    return {
+        "level": F.lower(tok).isin([k for k in SEVERITIES if len(k) > 1]),
         "month": tok.isin(list(MONTHS)),
         "letter_date": tok.rlike("^[TDIWEFNCV]0$"),
         "word": tok.rlike("^[\\p{L}_]"),
@@ -322,32 +318,59 @@ def template_roles(mined: DataFrame) -> DataFrame:
         "clock": tok.rlike("^0:0:0([.,]0)?(Z|[+-]0(:0)?)?$"),
         "uptime": tok.rlike("^0([.,]0)?(s|ms)$"),
         "num": tok.rlike("^0(\\.0)?$"),
+        "plain": ~tok.isin('"', "\\", "{", "}", "[", "]", ",", "="),
     }
-    cells = mined.select("leaf", "lines", F.posexplode("shape").alias("pos", "tok"))
+
+
+def template_roles(mined: DataFrame, spec: LogSpec = LogSpec()) -> DataFrame:
+    """One row per leaf: its template and the slots of time, level and component (-1: none).
+
+    What is handed to Python is a cell for each position of a leaf, whatever the leaf's size.
+    """
+    cells = mined.select("leaf", "lines", F.posexplode("shape").alias("pos", "tok")).groupBy("leaf", "pos", "tok").agg(F.sum("lines").alias("lines"))
+    facts = _facts(F.col("tok"))
     stats = cells.groupBy("leaf", "pos").agg(
         F.min("tok").alias("tok"),
-        (F.min("tok") == F.max("tok")).alias("one"),
+        (F.count(F.lit(1)) == 1).alias("one"),
         F.sum("lines").alias("lines"),
         *(F.min(facts[k]).alias(k) for k in _KINDS),
     )
     leaves = stats.groupBy("leaf").agg(F.max("lines").alias("lines"), F.collect_list(F.struct("pos", "tok", "one", *_KINDS)).alias("cells"))
-    return leaves.mapInArrow(_roles, _ROLE_FIELDS)
+    return leaves.mapInArrow(_roles(spec.level_within), _ROLE_FIELDS)
 
 
-def resolved_templates(lines: DataFrame, spec: LogSpec = LogSpec()) -> tuple[DataFrame, DataFrame]:
-    """(shapes with their leaf, roles of the leaves).
+def _roles_alone(shapes: DataFrame, spec: LogSpec) -> DataFrame:
+    """The roles of leaves of one shape each, without a shuffle."""
+    cell = lambda tok, i: F.struct(i.alias("pos"), tok.alias("tok"), F.lit(True).alias("one"), *(c.alias(k) for k, c in _facts(tok).items()))
+    return shapes.select("leaf", "lines", F.transform("shape", cell).alias("cells")).mapInArrow(_roles(spec.level_within), _ROLE_FIELDS)
 
-    A leaf in which no time is found may still hold several layouts; it is
-    partitioned once more, by the tokens that open the line, before it is taken
-    for text that begins no entry.
+
+def resolved_templates(shapes: DataFrame, spec: LogSpec = LogSpec()) -> tuple[DataFrame, DataFrame]:
+    """(shapes of the leaves with a time, roles of all leaves), ``shapes`` as from :func:`_shapes`.
+
+    A leaf in which no time is found may still hold several layouts: each of its
+    shapes that carries a time by itself (the finest partition there is) becomes
+    a leaf.  What is left begins no entry.
     """
-    mined = shared_checkpoint(mine_templates(lines, spec))
-    roles = shared_checkpoint(template_roles(mined))
-    unclear = roles.filter("kind = ''").select("leaf")
-    again = shared_checkpoint(mined.join(unclear, "leaf", "left_semi").withColumn("leaf", _opening()))
-    kept = mined.join(unclear, "leaf", "left_anti")
-    roles_again = template_roles(again)
-    return kept.unionByName(again), shared_checkpoint(roles.filter("kind <> ''").unionByName(roles_again))
+    mined = _split_by_relations(shapes, spec)
+    roles = shared_checkpoint(template_roles(mined, spec))
+    unclear = mined.join(roles.filter("kind = ''").select("leaf"), "leaf", "left_semi")
+    alone = unclear.withColumn("leaf", F.concat_ws("\u0001", "leaf", F.col("shape_id").cast("string")))
+    roles_alone = shared_checkpoint(_roles_alone(alone, spec).filter("kind <> ''"))
+    own = alone.join(roles_alone.select("leaf"), "leaf", "left_semi")
+    timed = mined.join(roles.filter("kind <> ''").select("leaf"), "leaf", "left_semi").unionByName(own)
+    if not roles_alone.isEmpty():  # the others of their leaves are described without them
+        rest = unclear.join(own.select("shape_id"), "shape_id", "left_anti")
+        roles = roles.filter("kind <> ''").unionByName(template_roles(rest, spec))
+    return timed, roles.unionByName(roles_alone)
+
+
+def _slots_of_forms(masked: DataFrame, spec: LogSpec) -> DataFrame:
+    """(form_id, kind, ts_pos, level_pos, comp_pos) of the forms that begin an entry."""
+    forms = shared_checkpoint(_forms(masked))
+    leaves, roles = resolved_templates(_shapes(forms), spec)
+    by_shape = leaves.select("shape_id", "leaf").join(roles.filter("kind <> ''").drop("lines", "template"), "leaf").drop("leaf")
+    return forms.select("form_id", "shape_id").join(by_shape, "shape_id").drop("shape_id")
 
 
 def _time_ms(kind: Column, a: Column, b: Column, c: Column, started: Column) -> Column:
@@ -378,33 +401,40 @@ def _time_ms(kind: Column, a: Column, b: Column, c: Column, started: Column) ->
 
 
 def parsed_lines(df: DataFrame, meta: DataFrame, spec: LogSpec = LogSpec(), text: bool = False) -> DataFrame:
-    """Every line (path, shard, no, begins, ts_ms, severity, component), with its ``text`` if wanted.
+    """Every line once (path, shard, no, begins, ts_ms, severity, component), with its ``text`` if wanted.
 
-    ``begins``: an entry begins here.  The result is read twice, so it is written
-    once instead of being parsed again.
+    ``begins``: an entry begins here.  Lines are read twice, for their forms and
+    for their fields, and never written; tokens are taken of lines that begin an
+    entry only.  A line delivered again counts once, the first id is kept.
     """
-    lines = shared_checkpoint(shards(df, spec))
-    mined, roles = resolved_templates(lines, spec)
-    by_shape = mined.select("shape_id", "leaf").join(roles.filter("kind <> ''").drop("lines", "template"), "leaf").drop("leaf")
+    lines = _lines(df, spec)
+    slots = _slots_of_forms(lines.select(_masked(F.col("text")).alias("masked")), spec)
     started = meta.filter(F.col(spec.path).isNotNull()).groupBy(F.col(spec.path).alias("path")).agg(F.min(spec.started).alias("started"))
-    got = lines.join(by_shape, "shape_id", "left").join(started, "path", "left")
+    got = lines.withColumn("form_id", F.xxhash64(_masked(F.col("text")))).join(slots, "form_id", "left").join(started, "path", "left")
+    got = got.withColumn("toks", F.when(F.col("kind").isNotNull(), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))))
     tok = lambda p: F.get("toks", p)
     ts = F.col("ts_pos")
     level = F.when(F.col("kind") == "letter_date", F.lower(F.substring(tok(ts), 1, 1))).otherwise(F.lower(tok(F.col("level_pos"))))
     severity = F.try_element_at(F.create_map(*[F.lit(x) for kv in SEVERITIES.items() for x in kv]), level)
     component = F.regexp_replace(tok(F.col("comp_pos")), ":[0-9]+$", "")
+    begins = F.col("kind").isNotNull() & (F.col("ts_ms").isNotNull() | F.col("kind").isin("letter_date", "month_day", "uptime"))
     got = got.select(
         "path",
-        "shard",
+        F.floor(F.col("no") / F.lit(spec.shard_lines)).cast("int").alias("shard"),
         "no",
+        "id",
         *(["text"] if text else []),
         "kind",
         _time_ms(F.col("kind"), tok(ts), tok(ts + 1), tok(ts + 2), F.col("started")).alias("ts_ms"),
         F.when(F.col("level_pos") < 0, "-").otherwise(F.coalesce(severity, F.lit("-"))).alias("severity"),
         F.when(F.col("comp_pos") < 0, "-").otherwise(F.coalesce(F.nullif(component, F.lit("")), F.lit("-"))).alias("component"),
     )
-    begins = F.col("kind").isNotNull() & (F.col("ts_ms").isNotNull() | F.col("kind").isin("letter_date", "month_day", "uptime"))
-    return shared_checkpoint(got.withColumn("begins", begins).drop("kind"))
+    got = got.withColumn("begins", begins).drop("kind")
+    # every column is a key, so that all uses of the rows share one shuffle, whatever they need of them later
+    got = got.repartition("path", "shard").dropDuplicates()
+    w = Window.partitionBy("path", "shard").orderBy("no", "id", F.desc("begins"), "ts_ms")
+    got = got.withColumn("before", F.lag("no").over(w)).filter(F.col("before").isNull() | (F.col("before") != F.col("no")))
+    return got.drop("before", "id")
 
 
 def _heads_and_lines(got: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -473,12 +503,8 @@ def entries(df: DataFrame, meta: DataFrame, spec: LogSpec = LogSpec()) -> DataFr
 
 
 def templates(df: DataFrame, spec: LogSpec = LogSpec()) -> DataFrame:
-    """(template, tokens, lines, kind): the mined leaf templates over all tokens, and the kind of time their header carries."""
-    shapes = shared_checkpoint(_shapes(shards(df, spec, whole=True)))
-    mined = shared_checkpoint(_split_by_relations(shapes, spec))
-    roles = shared_checkpoint(template_roles(mined))
-    # as in resolved_templates; the parts are partitioned on until none splits
-    unclear = mined.join(roles.filter("kind = ''").select("leaf"), "leaf", "left_semi")
-    again = _split_by_relations(shared_checkpoint(unclear.withColumn("leaf", _opening())), spec)
-    roles = roles.filter("kind <> ''").unionByName(template_roles(again))
+    """(template, tokens, lines, kind): the leaf templates from which entries are parsed, and the kind of time they carry."""
+    once = _lines(df, spec).select("path", "no", F.struct("id", _masked(F.col("text")).alias("masked")).alias("line"))
+    masked = once.groupBy("path", "no").agg(F.min("line").alias("line")).select("line.masked")
+    _, roles = resolved_templates(_shapes(_forms(masked)), spec)
     return roles.select("template", F.split("leaf", "\u0001").getItem(0).cast("int").alias("tokens"), "lines", "kind")

@@ -230,3 +230,31 @@ def test_drift_unify_keeps_unknown_fields(spark):
     got = {r.file_id: r for r in sd.unify(spark.createDataFrame(rows, DRIFT)).collect()}
     assert {k: json.loads(x) for k, x in got[0].other_fields.items()} == {"evacParts": {"a": 1, "b": "x"}, "note": "4", "n": 4, "gone": None}
     assert got[0].t_sec == 1.5 and got[1].other_fields == {}
+
+
+def test_time_behind_a_long_message(spark):
+    """The key of the time comes last, behind messages of different lengths that look like keys themselves."""
+    rng = random.Random(7)
+    words = ["time: 5", "level = warn", "a", "bc", "{x}", "[y], z", '\\"q\\"', "done"]
+    text = []
+    for i in range(40):
+        message = " ".join(rng.choice(words) for _ in range(rng.choice([3, 60, 200])))
+        text.append(f'{{"message": "{message}", "level": "INFO", "logger": "x.y", "held": {{"ts": "no", "n": [1, 2]}}, "ts": {1700000000000 + i}}}')
+    got = sorted(tuple(r) for r in lt.entry_heads(*_log(spark, {"p": text})).collect())
+    assert got == [("p", i + 1, i + 1, 1700000000000 + i, "INFO", "x.y") for i in range(40)]
+
+
+def test_indented_heads_and_quotations(spark):
+    text = ["   1.123: [GC pause (young) 1.0 secs]", "  12.250: [GC pause (young) 1.0 secs]", " | 13.000: [GC pause quoted]", " 123.500: [GC pause (young) 1.0 secs]"]
+    t0 = int(np.datetime64("2031-03-01T12:00:00", "ms").astype(int))
+    got = sorted(tuple(r) for r in lt.entry_heads(*_log(spark, {"p": text})).collect())
+    assert got == [("p", 1, 1, t0 + 1123, "-", "-"), ("p", 2, 3, t0 + 12250, "-", "-"), ("p", 4, 4, t0 + 123500, "-", "-")]
+
+
+def test_layouts_that_only_their_own_shape_shows(spark):
+    """Heads among free text of as many tokens are found one by one."""
+    rng = random.Random(3)
+    free = [" ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(8)) for _ in range(30)]
+    text = ["[1.000s][info][gc] x", *free, "[2.000s][warning][gc] y", "[3.000s][info][gc] z"]
+    got = sorted((r.first_line, r.severity) for r in lt.entry_heads(*_log(spark, {"p": text})).collect())
+    assert got == [(1, "INFO"), (32, "WARN"), (33, "INFO")]
