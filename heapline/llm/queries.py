@@ -31,18 +31,55 @@ def p1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.collapse_runs(rows, runs.RunSpec(features=("log_total",), penalty=2.0))
 
 
+def _sub_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dyadic.sub_phase_values(table(spark, sf_dir, "g1_event_rows"))
+
+
 def p5_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = dyadic.sub_phase_values(table(spark, sf_dir, "g1_event_rows"))
-    return dyadic.quantiles(dyadic.build_sketch(values, GROUPS, "sec", infinite=True), GROUPS, QS, QNAMES)
+    return dyadic.quantiles(dyadic.build_sketch(_sub_phases(spark, sf_dir), GROUPS, "sec"), GROUPS, QS, QNAMES)
 
 
 def p5_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from the sum of one sketch a day."""
-    values = dyadic.sub_phase_values(table(spark, sf_dir, "g1_event_rows"))
-    days = dyadic.build_sketch(values, ("day", *GROUPS), "sec", infinite=True)
+    days = dyadic.build_sketch(_sub_phases(spark, sf_dir), ("day", *GROUPS), "sec")
     return dyadic.quantiles(dyadic.merge(days, GROUPS), GROUPS, QS, QNAMES)
 
 
+def _within(values: DataFrame, got: DataFrame) -> DataFrame:
+    """(groups, percentile, n_values, within): whether the ranks of the value found, widened by its error, enclose the wanted one up to the stated error."""
+    stack = ", ".join(f"'{name}', CAST({q} AS DOUBLE), {name}" for name, q in zip(QNAMES, QS, strict=True))
+    long = got.select(*GROUPS, "n_values", "rank_error", "value_error", F.expr(f"stack({len(QS)}, {stack}) AS (percentile, q, found)"))
+    bounds = long.groupBy(*GROUPS).agg(F.collect_list(F.struct("percentile", "q", "found", "n_values", "rank_error", "value_error")).alias("b"))
+    pairs = values.join(bounds, list(GROUPS)).select(*GROUPS, "sec", F.explode("b").alias("b"))
+    slack = F.abs(F.col("b.found")) * F.col("b.value_error") * 1.01
+    ranks = pairs.groupBy(*GROUPS, "b").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("sec") < F.col("b.found") - slack).alias("below"), F.count_if(F.col("sec") <= F.col("b.found") + slack).alias("upto")
+    )
+    wanted = F.ceil(F.col("b.q") * F.col("n"))
+    room = F.col("b.rank_error") * F.col("n") + 1
+    ok = (F.col("b.n_values") == F.col("n")) & (F.col("below") < wanted + room) & (F.col("upto") >= wanted - room)
+    return ranks.select(*GROUPS, F.col("b.percentile").alias("percentile"), F.col("n").alias("n_values"), ok.alias("within"))
+
+
+def p5_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of the sketch against exact ranks of all values."""
+    return _within(_sub_phases(spark, sf_dir), p5_quantiles(spark, sf_dir))
+
+
+def p5_days_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the merged days."""
+    return _within(_sub_phases(spark, sf_dir), p5_merged_days(spark, sf_dir))
+
+
+def p5_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of even logs added and taken away again: the percentiles of the odd ones, against their exact ranks."""
+    values = _sub_phases(spark, sf_dir)
+    even = values.filter("log_id % 2 = 0")
+    both = values.withColumn("w", F.lit(1)).unionByName(even.withColumn("w", F.lit(-1)))
+    got = dyadic.quantiles(dyadic.build_sketch(both, GROUPS, "sec", "w"), GROUPS, QS, QNAMES)
+    return _within(values.filter("log_id IS NULL OR log_id % 2 <> 0"), got)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -73,7 +110,7 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_runs, p5_quantiles, p5_merged_days, p6_ids, p7_found, p7_spans, p8_found, p8_segments, p8_documents)
+    found = (p1_found, p1_runs, p5_quantiles, p5_merged_days, p5_within, p5_days_within, p5_deleted, p6_ids, p7_found, p7_spans, p8_found, p8_segments, p8_documents)
     return {f.__name__: f for f in found}
 
 
@@ -93,5 +130,23 @@ FROM r GROUP BY log_id, run HAVING count(*) >= 2
 """
 
 
+def _p5_sql(where: str = "true") -> str:
+    rows = ", ".join(f"('{name}')" for name in QNAMES)
+    return f"""
+WITH r AS (
+  SELECT DISTINCT ON (log_id, seq) log_id, regexp_replace(regexp_replace(lower(collection_type), '[^a-z0-9]', '', 'g'), '^g1', '') AS kind, sub_phase_seconds
+  FROM g1_event_rows WHERE log_id IS NOT NULL AND seq IS NOT NULL
+  UNION ALL
+  SELECT log_id, regexp_replace(regexp_replace(lower(collection_type), '[^a-z0-9]', '', 'g'), '^g1', ''), sub_phase_seconds
+  FROM g1_event_rows WHERE log_id IS NULL OR seq IS NULL),
+x AS (SELECT kind, unnest(sub_phase_seconds) AS p FROM r WHERE kind IN ('young', 'mixed', 'initialmark') AND {where}),
+n AS (
+  SELECT CASE kind WHEN 'young' THEN 'Young' WHEN 'mixed' THEN 'Mixed' ELSE 'InitialMark' END AS collection_type, p.name AS sub_phase, count(*) AS n_values
+  FROM x WHERE p.name IS NOT NULL AND p.sec IS NOT NULL AND NOT isnan(p.sec) AND p.sec >= 0 GROUP BY ALL)
+SELECT collection_type, sub_phase, percentile, n_values, true AS within FROM n, (VALUES {rows}) AS v(percentile)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND_SQL}
+    odd = _p5_sql("(log_id IS NULL OR log_id % 2 <> 0)")
+    return {"p1_found": P1_FOUND_SQL, "p5_within": _p5_sql(), "p5_days_within": _p5_sql(), "p5_deleted": odd}
