@@ -1,21 +1,27 @@
 """Evaluation passages in training text.
 
 Method: one Aho-Corasick automaton over the normalised words of the held-out
-items.  Its patterns are the items' windows of ``min_words`` consecutive words,
-so that a text holds a window exactly if it holds that many consecutive words
-of the item; a text is scanned once, whatever the number of items, and each hit
-is mapped back to characters of the original text.
-
-Items are broadcast in blocks of at most ``block_bytes`` (a measured size); a
-larger set takes several passes over the corpus.  The corpus is never shuffled.
+items.  Its patterns are the items' consecutive blocks of ``(min_words + 1) // 2``
+words: every passage of ``min_words`` words of an item holds a whole block, so a
+text is scanned once, whatever the number of items, and each hit is extended to
+both sides, word by word, to the whole passage.  The automaton has no more nodes
+than the items have words (windows of ``min_words`` words would share hardly a
+node and take thirteen times as many).  Passages are mapped back to characters of
+the original text.
+
+Items are broadcast in blocks of at most ``block_words`` words, which bounds the
+automaton of a Python worker (measured: 130 bytes a word); a larger set takes several
+passes over the corpus.  The driver holds one block at a time.  The corpus is
+never shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -30,7 +36,7 @@ _FILLERS = "ᅟᅠㅤﾠ"
 @dataclass(frozen=True)
 class LeakSpec:
     min_words: int = 13
-    block_bytes: int = 16 << 20
+    block_words: int = 1_000_000
     item: str = "item_id"
     item_text: str = "text"
     doc: str = "doc_id"
@@ -75,62 +81,115 @@ def _spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
+#: Two characters for a word of no item.
+_OTHER = "\uffff\uffff"
+
+
 class Automaton:
-    """Word-level automaton: words are numbered, words of no item are 0."""
+    """Automaton over words that are written as two characters each.
+
+    The first and the second character come from alphabets of their own, so that
+    a match begins and ends with a word; each is as large as the root of the
+    number of words, for the automaton searches a node's branches one by one.
+    """
 
     def __init__(self, items: list[tuple[int, str]], min_words: int):
         import ahocorasick
 
-        self.n, self.ids = min_words, {}
-        windows: dict[tuple, set] = {}
+        self.n, self.block = min_words, (min_words + 1) // 2
+        vocabulary: dict[str, str] = {}
+        cut = []
         for item, text in items:
-            seq = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
-            for k in range(len(seq) - min_words + 1):
-                windows.setdefault(tuple(seq[k : k + min_words]), set()).add(item)
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for window, owners in windows.items():
-            self.machine.add_word(window, sorted(owners))
-        self.empty = not windows
+            mine = words(text)
+            if len(mine) >= min_words:
+                cut.append((item, mine))
+                vocabulary.update(dict.fromkeys(mine, ""))
+        base = math.isqrt(len(vocabulary)) + 1
+        for i, w in enumerate(vocabulary):
+            vocabulary[w] = chr(256 + i // base) + chr(256 + base + i % base)
+        self.chars = vocabulary
+        self.items = [item for item, _ in cut]
+        self.seqs = ["".join([vocabulary[w] for w in mine]) for _, mine in cut]
+        del cut
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING)
+        for which, seq in enumerate(self.seqs):
+            for k in range(0, len(seq) // 2 - self.block + 1, self.block):
+                key, place = seq[2 * k : 2 * (k + self.block)], which << 32 | k
+                held = self.machine.get(key, None)
+                if held is None:
+                    self.machine.add_word(key, [place])
+                else:
+                    held.append(place)
+        self.empty = not self.items
         if not self.empty:
             self.machine.make_automaton()
 
+    def _extended(self, seq: str, mine: str, at: int, k: int) -> tuple[int, int]:
+        """First and last word in the text of the passage that holds the block at ``at``, which is the item's at ``k``."""
+        left, right = 0, self.block
+        most = min(at, k)
+        while left < most and seq[2 * (at - left - 1) : 2 * (at - left)] == mine[2 * (k - left - 1) : 2 * (k - left)]:
+            left += 1
+        most = min(len(seq) // 2 - at, len(mine) // 2 - k)
+        while right < most and seq[2 * (at + right) : 2 * (at + right + 1)] == mine[2 * (k + right) : 2 * (k + right + 1)]:
+            right += 1
+        return at - left, at + right - 1
+
     def hits(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(item, first word, last word) of every maximal passage of at least ``min_words`` words."""
+        """(item, first word, last word) of every passage of at least ``min_words`` words; passages of one item that share all but one of so many words are one."""
         if self.empty or not text:
             return []
-        get = self.ids.get
-        seq = [get(w, 0) for w in words(text)]
-        if len(seq) - seq.count(0) < self.n:
+        get = self.chars.get
+        seq = "".join([get(w, _OTHER) for w in words(text)])
+        if len(seq) < 2 * self.n:
             return []
-        runs: dict[int, list[list[int]]] = {}
-        for end, owners in self.machine.iter(tuple(seq)):
-            for item in owners:
-                mine = runs.setdefault(item, [])
-                if mine and mine[-1][1] >= end - 1:
-                    mine[-1][1] = end
+        seen: dict[tuple[int, int], int] = {}  # (item, place of the text against it) -> last word known to match
+        found: dict[int, list[tuple[int, int]]] = {}
+        for end, owners in self.machine.iter(seq):
+            at = (end + 1) // 2 - self.block
+            for packed in owners:
+                which, k = packed >> 32, packed & 0xFFFFFFFF
+                if seen.get((which, at - k), -1) >= at:
+                    continue
+                a, z = self._extended(seq, self.seqs[which], at, k)
+                seen[which, at - k] = z
+                if z - a + 1 >= self.n:
+                    found.setdefault(which, []).append((a, z))
+        out = []
+        for which, spans in found.items():
+            spans.sort()
+            merged = [list(spans[0])]
+            for a, z in spans[1:]:
+                if a + self.n - 2 <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], z)
                 else:
-                    mine.append([end - self.n + 1, end])
-        return [(item, a, b) for item, mine in runs.items() for a, b in mine]
+                    merged.append([a, z])
+            out += [(self.items[which], a, z) for a, z in merged]
+        return out
 
 
 _MACHINES: dict[str, Automaton] = {}
 
 
-def _machine(key: str, items: list[tuple[int, str]], min_words: int) -> Automaton:
+def _machine(key: str, items: Callable[[], list[tuple[int, str]]], min_words: int) -> Automaton:
+    """The automaton of a block; a worker keeps those of the last two blocks it met."""
     if key not in _MACHINES:
-        _MACHINES.clear()
-        _MACHINES[key] = Automaton(items, min_words)
+        while len(_MACHINES) > 1:
+            del _MACHINES[next(iter(_MACHINES))]
+        _MACHINES[key] = Automaton(items(), min_words)
     return _MACHINES[key]
 
 
 def _blocks(items: DataFrame, spec: LeakSpec) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most ``block_bytes``, read one row at a time."""
+    """The items in blocks of at most ``block_words`` words, read one row at a time; shorter ones than ``min_words`` hold nothing."""
     block: list[tuple[int, str]] = []
     size = 0
     rows = items.filter(F.col(spec.item).isNotNull() & F.col(spec.item_text).isNotNull()).select(spec.item, spec.item_text)
     for item, text in rows.toLocalIterator():
-        more = len(text.encode("utf-8", "ignore")) + 64
-        if block and size + more > spec.block_bytes:
+        more = len(words(text))
+        if more < spec.min_words:
+            continue
+        if block and size + more > spec.block_words:
             yield block
             block, size = [], 0
         block.append((item, text))
@@ -158,7 +217,7 @@ def leaked_spans(docs: DataFrame, items: DataFrame, spec: LeakSpec = LeakSpec())
         shared = sc.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], key=key, shared=shared) -> Iterator[pa.RecordBatch]:
-            machine = _machine(key, shared.value, spec.min_words)
+            machine = _machine(key, lambda: shared.value, spec.min_words)
             for batch in batches:
                 rows: list[tuple] = []
                 for at in range(0, batch.num_rows, 1024):
