@@ -18,9 +18,10 @@ from __future__ import annotations
 
 import html
 import math
+import random
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,12 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Two-letter codes with their three-letter codes and English name.
+# Two-letter codes with their three-letter codes and English name, which fold spellings of labels; the
+# languages that are told apart are those of the samples.
 LANGUAGES: dict[str, tuple[str, ...]] = {
     "en": ("eng", "english"), "de": ("deu", "ger", "german"), "fr": ("fra", "fre", "french"),
     "es": ("spa", "spanish", "castilian"), "pt": ("por", "portuguese"), "it": ("ita", "italian"),
     "nl": ("nld", "dut", "dutch", "flemish"), "sv": ("swe", "swedish"), "ru": ("rus", "russian"),
-    "zh": ("zho", "chi", "chinese", "mandarin"),
+    "zh": ("zho", "chi", "chinese", "mandarin"), "ar": ("ara", "arabic"), "bg": ("bul", "bulgarian"),
+    "ca": ("cat", "catalan"), "cs": ("ces", "cze", "czech"), "da": ("dan", "danish"), "el": ("ell", "gre", "greek"),
+    "fi": ("fin", "finnish"), "he": ("heb", "hebrew"), "hi": ("hin", "hindi"), "hr": ("hrv", "croatian"),
+    "hu": ("hun", "hungarian"), "id": ("ind", "indonesian"), "ja": ("jpn", "japanese"), "ko": ("kor", "korean"),
+    "no": ("nor", "norwegian"), "pl": ("pol", "polish"), "ro": ("ron", "rum", "romanian"), "sk": ("slk", "slo", "slovak"),
+    "tr": ("tur", "turkish"), "uk": ("ukr", "ukrainian"), "vi": ("vie", "vietnamese"),
 }
 
 
@@ -54,6 +61,9 @@ class LangSpec:
     switch: float = 7.0
     #: A sentence of a confirmed document is left out of the fit when another model is better by this many nats a letter.
     foreign: float = 1.0
+    #: Where the limits lie between held-out sentences (0) and their letters in random order (1): of a known language, and beside another one.
+    reject: float = 0.5
+    beside: float = 0.25
     #: A segment counts as a language of the text from this many letters on (ideographs count three times).
     min_letters: int = 10
     #: Least confidence of a language beside the text's main one.
@@ -62,18 +72,29 @@ class LangSpec:
     max_phrase: int = 60
 
 
-def label_code(label: str | None) -> str | None:
-    """Two-letter code of a label in any usual spelling (case, region, three letters, English name); None if it names no known language."""
+def label_code(label: str | None, known: Collection[str] = ()) -> str | None:
+    """Two-letter code of a label in any usual spelling (case, region, three letters, English name), or the label itself if it is in ``known``.
+
+    None if it names no language.
+    """
     if label is None:
         return None
     head = re.split(r"[-_ ,;(/]", label.strip().lower(), maxsplit=1)[0]
-    if head in LANGUAGES:
+    if head in LANGUAGES or head in known:
         return head
     return next((code for code, names in LANGUAGES.items() if head in names), None)
 
 
+def sample_code(label: str | None) -> str | None:
+    """Language of a labelled sample: as for any label, and a name outside the table is a language of its own."""
+    code = label_code(label)
+    if code or label is None:
+        return code
+    return re.split(r"[-_ ,;(/]", label.strip().lower(), maxsplit=1)[0] or None
+
+
 _ENDS = ".!?…。！？．"
-_BLANK = re.compile(r"</?[A-Za-z!][^<>]{0,300}>|https?://\S+|www\.\S+|[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,8}")
+_BLANK = re.compile(r"</?[A-Za-z!][^<>]*>|https?://\S+|www\.\S+|[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,8}")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});")
 _QUOTES = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』", '"': '"', "‹": "›"}
 _QUOTED = re.compile("|".join(f"{re.escape(a)}[^{re.escape(a + b)}]*(?:[{re.escape(b)}]|$)" for a, b in _QUOTES.items()))
@@ -336,15 +357,29 @@ def _grams_of_rows(rows: np.ndarray, n: int) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def calibrate(model: Models, samples: dict[str, list[str]]) -> None:
-    """Limit of each language: 0.3 nats a letter below the worst hundredth of the held-out sentences, above what random letters get."""
-    worst = []
+def _shuffled(piece: str, rng: random.Random) -> str:
+    """The letters of a sentence in random order: what a model gives to no language."""
+    letters = list(piece)
+    rng.shuffle(letters)
+    return " ".join("".join(letters).split())
+
+
+def calibrate(model: Models, samples: dict[str, list[str]], spec: LangSpec) -> None:
+    """Limits of each language, between the worst hundredth of its held-out sentences and the best hundredth of the same letters in random order.
+
+    ``reject`` and ``beside`` say how far from the one to the other.
+    """
+    limits, beside = [], []
+    rng = random.Random(0)
     for j, lang in enumerate(model.langs):
         pieces = [p for p in samples[lang] if len(p) >= 25] or samples[lang]
-        mean = model.scores(pieces)[:, j] / np.array([len(p) + 1 for p in pieces])
-        worst.append(float(np.quantile(mean, 0.01)))
-    model.limits = np.array([min(-2.2, max(-7.0, q - 0.3)) for q in worst])
-    model.beside = np.array([min(-1.6, max(-7.0, q - 0.1)) for q in worst])
+        noise = [_shuffled(p, rng) for p in pieces]
+        real, random_ = ((model.scores(x)[:, j] / np.array([len(p) + 1 for p in x])) for x in (pieces, noise))
+        worst, best = float(np.quantile(real, 0.01)), float(np.quantile(random_, 0.99))
+        room = max(worst - best, 0.0)
+        limits.append(worst - spec.reject * room)
+        beside.append(worst - spec.beside * room)
+    model.limits, model.beside = np.array(limits), np.array(beside)
 
 
 def _bounded(df: DataFrame, text: str, label: str, longest: int, limit: int) -> list[tuple[str | None, str]]:
@@ -365,13 +400,13 @@ def train(samples: DataFrame, docs: DataFrame, spec: LangSpec = LangSpec()) -> M
     pieces: dict[str, list[str]] = {}
     held: dict[str, list[str]] = {}
     for label, text in _bounded(samples, "text", "lang", spec.max_chars, spec.max_samples):
-        code = label_code(label)
+        code = sample_code(label)
         if code:
             pieces.setdefault(code, []).extend(s for _, _, s in sentences(text, spec))
     if not pieces:
-        raise ValueError("no labelled sample names a known language")
+        raise ValueError("no labelled sample names a language")
     model = fit(pieces, spec.order)
-    cut = [(label_code(label), sentences(text, spec)) for label, text in _within(spec.max_total_chars, _bounded(docs, spec.text, spec.label, spec.max_chars, spec.max_docs))]
+    cut = [(label_code(label, pieces), sentences(text, spec)) for label, text in _within(spec.max_total_chars, _bounded(docs, spec.text, spec.label, spec.max_chars, spec.max_docs))]
     cut = [(code, s) for code, s in cut if code in pieces and s]
     for _ in range(2):
         if not cut:
@@ -387,7 +422,7 @@ def train(samples: DataFrame, docs: DataFrame, spec: LangSpec = LangSpec()) -> M
                 if row.max() - row[j] <= spec.foreign * (len(letters) + 1):
                     (held if i % 10 == 0 else more).setdefault(code, []).append(letters)
         model = fit(more, spec.order)
-    calibrate(model, {k: held.get(k) or v for k, v in pieces.items()})
+    calibrate(model, {k: held.get(k) or v for k, v in pieces.items()}, spec)
     return model
 
 
@@ -493,9 +528,11 @@ def wrong_labels(docs: DataFrame, model: Models, spec: LangSpec = LangSpec()) ->
     gives an empty result.
     """
 
+    known = frozenset(model.langs)
+
     def make(segs, label):
         found = languages_in(segs, spec)
-        if len(found) > 1 or (found and label_code(label) != found[0][0]):
+        if len(found) > 1 or (found and label_code(label, known) != found[0][0]):
             return found
         return []
 
@@ -518,10 +555,12 @@ def segments(docs: DataFrame, model: Models, spec: LangSpec = LangSpec()) -> Dat
 def documents(docs: DataFrame, model: Models, spec: LangSpec = LangSpec()) -> DataFrame:
     """(doc, lang, confidence, label_ok): one row for every document; lang is null where the text has no words of a known language."""
 
+    known = frozenset(model.langs)
+
     def make(segs, label):
         found = languages_in(segs, spec)
         if not found:
             return [(None, None, None)]
-        return [(found[0][0], found[0][1], label_code(label) in {k for k, _ in found})]
+        return [(found[0][0], found[0][1], label_code(label, known) in {k for k, _ in found})]
 
     return _over(docs, model, spec, make, "lang string, confidence double, label_ok boolean", ["lang", "confidence", "label_ok"], [pa.string(), pa.float64(), pa.bool_()])

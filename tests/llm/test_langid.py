@@ -45,7 +45,7 @@ def test_held_out_accuracy(spark, sf_dir):
         else:
             (held if i % 4 == 2 else train).setdefault(lang, []).extend(s for _, _, s in langid.sentences(text))
     m = langid.fit(train)
-    langid.calibrate(m, held)
+    langid.calibrate(m, held, langid.LangSpec())
     found = [langid.languages_in(segs) for segs in langid.segments_of(m, [t for _, t in test])]
     right = sum([k for k, _ in f[:1]] == [lang] for f, (lang, _) in zip(found, test))
     assert right >= 0.95 * len(test)
@@ -79,3 +79,35 @@ def test_monotony_is_judged_over_the_whole_sentence():
     words = "the reader opened the window and looked over the quiet harbour before the morning boats came in "
     assert langid._monotonous("ha" * 300) and langid._monotonous("ha" * 105)
     assert not langid._monotonous("ha" * 150 + words.replace(" ", "") * 3)
+
+
+def test_limits_come_from_held_out_sentences(model):
+    assert len(set(model.limits.round(6))) == len(model.langs) and len(set(model.beside.round(6))) == len(model.langs)
+    assert (model.limits < model.beside).all()
+    rng = random.Random(2)
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(90)).strip() for _ in range(200)]
+    got = [langid.languages_in(s) for s in langid.segments_of(model, noise)]
+    assert sum(not g for g in got) >= 190
+
+
+def test_languages_are_those_of_the_samples(spark, sf_dir):
+    """Another language needs nothing but samples."""
+    who = ["Młody ogrodnik", "Stara nauczycielka", "Nasz sąsiad", "Cicha dziewczynka", "Wysoki piekarz"]
+    does = ["chowa złamany klucz", "maluje drewniane krzesło", "czyta długą książkę", "niesie ciężki koszyk", "naprawia zegar na wieży"]
+    where = ["pod schodami.", "przed wschodem słońca.", "w małej kuchni."]
+    said = [f"{a} {b} {c}" for a in who for b in does for c in where]
+    kinds = "sample_id int, lang string, text string"
+    more = spark.createDataFrame([(10000 + i, "Polish" if i % 2 else "pl-PL", t) for i, t in enumerate(said[:70])], kinds)
+    more = more.unionByName(spark.createDataFrame([(20000 + i, "Volapük", f"binobs flens gudik e golobs ko ob lü zif {w}") for i, w in enumerate(who * 4)], kinds))
+    samples = spark.read.parquet(f"{sf_dir}/lang_samples.parquet").select("sample_id", "lang", "text").unionByName(more)
+    m = langid.train(samples, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert {"pl", "volapük", "en"} <= set(m.langs) and len(m.langs) == 12
+    got = [[k for k, _ in langid.languages_in(s)] for s in langid.segments_of(m, [*said[70:], "Golobs ko flens gudik lü zif."])]
+    assert got == [["pl"]] * (len(said) - 70) + [["volapük"]]
+    docs = spark.createDataFrame([(1, said[71], "polski"), (2, said[72], "pl"), (3, said[73], "VOLAPÜK")], "doc_id int, text string, lang string")
+    assert sorted(tuple(r)[:2] for r in langid.wrong_labels(docs, m).collect()) == [(1, "pl"), (3, "pl")]
+
+
+def test_long_markup_is_no_text():
+    tag = '<a class="' + "sehr lange Namen " * 60 + '">'
+    assert [s for _, _, s in langid.sentences(tag + "The gardener paints the door.")] == ["the gardener paints the door"]
