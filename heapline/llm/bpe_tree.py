@@ -27,6 +27,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ def context_free_split(before: str, after: str) -> bool:
 class TreeEncoder:
     """Encoder of one process; joins subtrees as described above."""
 
-    def __init__(self, vocabulary: str, leaf_chars: int = 4096, window: int = 8):
+    def __init__(self, vocabulary: str, leaf_chars: int = 256, window: int = 8):
         import tiktoken
 
         with open(vocabulary, "rb") as f:
@@ -142,24 +143,28 @@ class TreeEncoder:
 _ENCODERS: dict[tuple, TreeEncoder] = {}
 
 
-def _encoder(vocabulary: str, leaf_chars: int) -> TreeEncoder:
-    key = (vocabulary, leaf_chars)
+def _encoder(name: str, leaf_chars: int) -> TreeEncoder:
+    """Encoder over the vocabulary file that the driver has shipped under this name."""
+    key = (name, leaf_chars)
     if key not in _ENCODERS:
-        _ENCODERS[key] = TreeEncoder(vocabulary, leaf_chars)
+        _ENCODERS[key] = TreeEncoder(SparkFiles.get(name), leaf_chars)
     return _ENCODERS[key]
 
 
-def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, leaf_chars: int = 4096) -> DataFrame:
+def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, leaf_chars: int = 256) -> DataFrame:
     """(key, ids array<int>): one row for every row of ``df``, whole texts, without special tokens.
 
     Empty and null texts give an empty list; a text that spells a special token
     is ordinary text; rows that share a key or a text each keep their row; other
-    columns are ignored.  No shuffle: each task encodes its rows.
+    columns are ignored.  No shuffle: each task encodes its rows.  The vocabulary
+    is a file of the driver, which ships it to the executors.
     """
     where = vocabulary or default_vocabulary()
+    df.sparkSession.sparkContext.addFile(where)
+    name = os.path.basename(where)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(where, leaf_chars)
+        enc = _encoder(name, leaf_chars)
         for batch in batches:
             texts = batch.column(1)
             for at in range(0, batch.num_rows, 1024):
