@@ -31,6 +31,12 @@ def p1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.collapse_runs(rows, runs.RunSpec(features=("log_total",), penalty=2.0))
 
 
+def p1_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts further divided wherever the number of phases changes, which is dearer than any number of runs."""
+    n = F.coalesce(F.when(F.col("phase_seconds").isNotNull(), F.size("phase_seconds")), F.lit(0))
+    return runs.collapse_runs(_g1(spark, sf_dir).withColumn("phases", n), runs.RunSpec(features=("phases",), penalty=1e-3))
+
+
 def _sub_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dyadic.sub_phase_values(table(spark, sf_dir, "g1_event_rows"))
 
@@ -110,7 +116,7 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_runs, p5_quantiles, p5_merged_days, p5_within, p5_days_within, p5_deleted, p6_ids, p7_found, p7_spans, p8_found, p8_segments, p8_documents)
+    found = (p1_found, p1_runs, p1_alike, p5_quantiles, p5_merged_days, p5_within, p5_days_within, p5_deleted, p6_ids, p7_found, p7_spans, p8_found, p8_segments, p8_documents)
     return {f.__name__: f for f in found}
 
 
@@ -130,6 +136,23 @@ FROM r GROUP BY log_id, run HAVING count(*) >= 2
 """
 
 
+P1_ALIKE_SQL = """
+WITH e AS (
+  SELECT DISTINCT log_id, seq, t_sec, regexp_replace(regexp_replace(lower(collection_type), '[^a-z0-9]', '', 'g'), '^g1', '') AS kind, coalesce(len(phase_seconds), 0) AS phases
+  FROM g1_event_rows
+  WHERE log_id IS NOT NULL AND seq IS NOT NULL AND t_sec IS NOT NULL AND NOT isnan(t_sec) AND collection_type IS NOT NULL),
+b AS (
+  SELECT *, CASE WHEN kind = lag(kind) OVER w AND phases = lag(phases) OVER w AND t_sec - lag(t_sec) OVER w <= 1.0e0 THEN 0 ELSE 1 END AS new
+  FROM e WHERE kind IN ('young', 'mixed', 'initialmark')
+  WINDOW w AS (PARTITION BY log_id ORDER BY t_sec, seq)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY log_id ORDER BY t_sec, seq ROWS UNBOUNDED PRECEDING) AS run FROM b)
+SELECT log_id, CASE any_value(kind) WHEN 'young' THEN 'Young' WHEN 'mixed' THEN 'Mixed' ELSE 'InitialMark' END AS kind,
+       arg_min(seq, (t_sec, seq)) AS first_seq, arg_max(seq, (t_sec, seq)) AS last_seq, count(*) AS n_events,
+       min(t_sec) AS start_t, max(t_sec) AS end_t, max(t_sec) - min(t_sec) AS duration
+FROM r GROUP BY log_id, run
+"""
+
+
 def _p5_sql(where: str = "true") -> str:
     rows = ", ".join(f"('{name}')" for name in QNAMES)
     return f"""
@@ -149,4 +172,4 @@ SELECT collection_type, sub_phase, percentile, n_values, true AS within FROM n,
 
 def oracle_sql() -> dict[str, str]:
     odd = _p5_sql("(log_id IS NULL OR log_id % 2 <> 0)")
-    return {"p1_found": P1_FOUND_SQL, "p5_within": _p5_sql(), "p5_days_within": _p5_sql(), "p5_deleted": odd}
+    return {"p1_found": P1_FOUND_SQL, "p1_alike": P1_ALIKE_SQL, "p5_within": _p5_sql(), "p5_days_within": _p5_sql(), "p5_deleted": odd}
