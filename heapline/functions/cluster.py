@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (tests, laptops) a temporary folder is chosen.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Where
+    that is unset, a local session (tests, laptops) gets a temporary folder that
+    goes with the process; on a cluster, whose executors do not share one, it is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="heapline-ckpt-"))
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="heapline-ckpt-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -36,8 +49,28 @@ def once(df: DataFrame, keys: list[str], known: bool) -> DataFrame:
     return df if known else df.repartition(*keys).dropDuplicates(keys)
 
 
+_ONLY: ContextVar[tuple[int | None, frozenset[int]]] = ContextVar("_ONLY", default=(None, frozenset()))
+
+
+@contextmanager
+def only_logs(log_id: int | None, dropped: frozenset[int] = frozenset()) -> Iterator[None]:
+    """Tables read inside hold the rows of this log only, or of all but the dropped ones; the filter reaches the scan."""
+    token = _ONLY.set((log_id, dropped))
+    try:
+        yield
+    finally:
+        _ONLY.reset(token)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    log_id, dropped = _ONLY.get()
+    if "log_id" in df.columns:
+        if dropped:
+            df = df.filter(~F.col("log_id").isin(sorted(dropped)))
+        if log_id is not None:
+            df = df.filter(F.col("log_id") == log_id)
+    return df
 
 
 def ship_package(spark: SparkSession) -> None:

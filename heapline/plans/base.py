@@ -64,7 +64,7 @@ def events(
     known = ONCE in ev.columns or copies
     got = ev.select("log_id", "seq", "t_us", "t_sec", "event_class", "duration_us", *cols)
     got = got.filter(keep) if keep else got
-    return sharded_once(got, ["seq"], known) if ordered else once(got, ["log_id", "seq"], known)
+    return sharded_once(got) if ordered else once(got, ["log_id", "seq"], known)
 
 
 def pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ heaps AS (
 """
 
 
-def heaps(spark: SparkSession, sf_dir: str, keep: str = "valid", ordered: bool = False, copies: bool = False) -> DataFrame:
+def heaps(spark: SparkSession, sf_dir: str, keep: str = "valid", ordered: bool = False) -> DataFrame:
     """(log_id, seq, t_us, t_sec, event_class, category, valid, ob, oa, sb, sa, unit): pools of KB or bytes, ``unit`` of them a MB; ``keep`` chooses rows by valid, ob, oa, sb and sa."""
     z = F.col("event_class").isin(list(S.ZGC))
     pick = lambda a, b: F.when(z, F.col(b)).otherwise(F.col(a))
@@ -120,7 +120,7 @@ def heaps(spark: SparkSession, sf_dir: str, keep: str = "valid", ordered: bool =
         pick("heap.size_before", "zgc.capacity.max_capacity").alias("sb"),
         pick("heap.size_after", "zgc.capacity.max_capacity").alias("sa"),
     ]
-    ev = events(spark, sf_dir, cols, (*S.GG, *S.ZGC), keep=keep, ordered=ordered, copies=copies)
+    ev = events(spark, sf_dir, cols, (*S.GG, *S.ZGC), keep=keep, ordered=ordered)
     return ev.withColumns({"category": category(), "unit": F.when(z, F.lit(1048576.0)).otherwise(F.lit(1024.0))}).drop("duration_us")
 
 

@@ -256,8 +256,7 @@ r AS (SELECT log_id, count(*) AS calls, round(avg(dt), 6) AS mean_s, round(stdde
 SELECT *, 'SIGNIFICANT' AS impact FROM r WHERE calls >= {PERIODIC["calls"]} AND mean_s BETWEEN {PERIODIC["mean"][0]} AND {PERIODIC["mean"][1]} AND cv <= {PERIODIC["cv"]}""",
 )
 def an_periodic_gc(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
-    ev, copies = (events(spark, sf_dir, (), None, F.col("gc_cause") == "JAVA_LANG_SYSTEM", ordered=True, copies=c) for c in (False, True))
-    ev = with_previous(ev, F.col("t_us"), "prev", copies=copies)
+    ev = with_previous(events(spark, sf_dir, (), None, F.col("gc_cause") == "JAVA_LANG_SYSTEM", ordered=True), F.col("t_us"), "prev")
     dt = (F.col("t_us") - F.col("prev")) / F.lit(1e6)
     r = ev.withColumn("dt", dt).groupBy("log_id").agg(F.count(F.lit(1)).alias("calls"), F.avg("dt").alias("m"), F.stddev_pop("dt").alias("sd"))
     r = r.select("log_id", "calls", F.round("m", 6).alias("mean_s"), F.round(F.try_divide("sd", "m"), 6).alias("cv"), F.lit("SIGNIFICANT").alias("impact"))

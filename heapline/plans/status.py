@@ -88,8 +88,8 @@ _DERIVED = {
     "n_other": _OTHER_N,
 }
 _ARRAYS = {"n_phases": "phases", "n_pre": "pre_phases", "n_evac": "evac_phases", "n_post": "post_phases"}
-_SPARK_GOOD = "size(filter({}, x -> trim(coalesce(x.name, '')) <> '' AND x.sec IS NOT NULL AND NOT isnan(x.sec) AND x.sec >= 0 AND x.sec < 1e9))"
-_DUCK_GOOD = "len(list_filter({}, lambda x: trim(coalesce(x.name, '')) <> '' AND x.sec IS NOT NULL AND NOT isnan(x.sec) AND x.sec >= 0 AND x.sec < 1e9))"
+_SPARK_GOOD = "size(filter({}, x -> trim(coalesce(x.name, '')) <> '' AND x.sec IS NOT NULL AND NOT isnan(x.sec) AND x.sec >= 0))"
+_DUCK_GOOD = "len(list_filter({}, lambda x: trim(coalesce(x.name, '')) <> '' AND x.sec IS NOT NULL AND NOT isnan(x.sec) AND x.sec >= 0))"
 _STATUS = "CASE WHEN coalesce(sources, 0) = 0 THEN 'ERROR' WHEN points = 0 THEN 'EMPTY' WHEN warned THEN 'WARNING' ELSE 'OK' END"
 
 
@@ -134,7 +134,7 @@ SELECT log_id, view_id, {_STATUS} AS status FROM st"""
 
 @query("view_status", _STATUS_SQL)
 def view_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One scan counts sources, points and drops of the views that take events one by one; the ordered ones bring their own counts."""
+    """One scan counts sources, points and drops of the views that take events one by one; the ordered ones bring their own counts, from a scan each."""
     cols = ["family", "heap", "tenured", "metaspace", "cpu", "refs", "regions", "zgc", *(F.expr(_SPARK_GOOD.format(a)).alias(k) for k, a in _ARRAYS.items()), "other_phases"]
     ev = events(spark, sf_dir, cols).withColumn("category", category())
     ev = ev.withColumns({k: F.expr(e) for k, e in _DERIVED.items()}).withColumns({k: F.get("zgc.load", F.lit(i)) for i, k in enumerate(("load1", "load5", "load15"))})

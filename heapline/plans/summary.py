@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.ordered import with_previous
+from ..functions.ordered import with_last, with_previous
 from .base import events, meta, query
 
 #: Gap below which two pauses are back to back, and the change of capacity that is a resize.
@@ -41,18 +41,13 @@ def stw_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (log, event class): counts and sums of its stop-the-world events; everything else follows from it."""
     cols = ["gc_cause", F.expr(_PAUSE).alias("pause_us"), F.expr(_MOST).alias("most_us")]
     pool = [F.col(f"heap.{a}").alias(b) for a, b in (("valid", "valid"), ("occ_before", "ob"), ("occ_after", "oa"), ("size_after", "sa"))]
-    stw, copies = (events(spark, sf_dir, [*cols, *pool], (*S.GG, *S.ZGC), ordered=True, copies=c) for c in (False, True))
+    stw = events(spark, sf_dir, [*cols, *pool], (*S.GG, *S.ZGC), ordered=True)
     usable = F.col("event_class").isin(list(S.GG)) & F.expr("valid AND ob IS NOT NULL AND oa IS NOT NULL AND sa IS NOT NULL")
-    hv = with_previous(stw.filter(usable), F.struct("oa", "sa"), "prev", copies=copies.filter(usable))
-    kb = hv.groupBy("log_id", "event_class").agg(
-        F.sum(F.greatest(F.col("ob") - F.col("prev.oa"), F.lit(0))).alias("alloc_kb"),
-        F.sum(F.greatest(F.col("ob") - F.col("oa"), F.lit(0))).alias("recovered_kb"),
-        F.count_if(F.abs(F.col("sa") - F.col("prev.sa")) > RESIZE_KB).alias("resized"),
-    )
-    iv = with_previous(stw.drop("valid", "ob", "oa", "sa"), F.col("t_us") + F.col("pause_us"), "ended", copies=copies)
-    iv = with_previous(iv, F.col("t_us"), "same", ("log_id", "event_class"), copies=copies)
+    iv = with_last(stw, {"prev": (F.struct("oa", "sa"), usable), "ended": (F.col("t_us") + F.col("pause_us"), None)})
+    iv = with_previous(iv, F.col("t_us"), "same", ("log_id", "event_class"))
     dt, free = F.col("t_us") - F.col("same"), F.col("t_us") - F.col("ended")
-    per = iv.groupBy("log_id", "event_class").agg(
+    kb = lambda x: F.coalesce(F.sum(F.when(usable, F.greatest(x, F.lit(0)))), F.lit(0))
+    return iv.groupBy("log_id", "event_class").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("pause_us").alias("pause_us"),
         F.max("most_us").alias("most_us"),
@@ -61,8 +56,10 @@ def stw_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(free < BACK_TO_BACK_US).alias("b2b"),
         F.count_if(F.col("gc_cause") == "ALLOC_STALL").alias("stalls"),
         F.min(F.struct("t_us", "seq")).alias("f"),
+        kb(F.col("ob") - F.col("prev.oa")).alias("alloc_kb"),
+        kb(F.col("ob") - F.col("oa")).alias("recovered_kb"),
+        F.count_if(usable & (F.abs(F.col("sa") - F.col("prev.sa")) > RESIZE_KB)).alias("resized"),
     )
-    return per.join(kb, ["log_id", "event_class"], "left").fillna(0, ["alloc_kb", "recovered_kb", "resized"])
 
 
 @query(

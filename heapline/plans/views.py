@@ -111,9 +111,8 @@ def percent_time_in_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir, [F.when(F.col("event_class").isin(list(S.ZGC)), sub).otherwise(own).alias("p")], (*S.GG, *S.ZGC), copies=True)
     rows = ev.select("log_id", F.col("seq").alias("at"), category().alias("category"), F.posexplode("p").alias("sub", "x"))
     rows = rows.select("log_id", "at", "sub", "category", F.col("x.t").alias("t_us"), F.col("x.d").alias("d")).filter("t_us IS NOT NULL AND d IS NOT NULL")
-    place = F.struct("at", "sub")
-    once_each = sharded_once(rows, ["at", "sub"]).withColumn("seq", place)
-    rows = with_previous(once_each, F.col("t_us"), "prev", copies=rows.withColumn("seq", place)).filter("t_us > prev AND category IS NOT NULL")
+    rows = sharded_once(rows).withColumn("seq", F.struct("at", "sub"))
+    rows = with_previous(rows, F.col("t_us"), "prev").filter("t_us > prev AND category IS NOT NULL")
     return rows.select("log_id", F.col("at").alias("seq"), (F.col("t_us") / F.lit(1e6)).alias("t_sec"), "category", (F.lit(100.0) * F.col("d") / (F.col("t_us") - F.col("prev"))).alias("pct"))
 
 
@@ -190,8 +189,8 @@ _ALLOC_SQL = f""", a AS (
 
 def _allocated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid heaps with ``mb`` allocated since the one before, and the time ``dt_us`` between."""
-    chosen = [heaps(spark, sf_dir, "valid AND ob IS NOT NULL AND oa IS NOT NULL", ordered=True, copies=c).filter(_VALID) for c in (False, True)]
-    h = with_previous(chosen[0], F.struct(F.col("t_us"), (F.col("oa") / F.col("unit")).alias("mb")), "prev", copies=chosen[1])
+    h = heaps(spark, sf_dir, "valid AND ob IS NOT NULL AND oa IS NOT NULL", ordered=True).filter(_VALID)
+    h = with_previous(h, F.struct(F.col("t_us"), (F.col("oa") / F.col("unit")).alias("mb")), "prev")
     return h.withColumns({"mb": F.col("ob") / F.col("unit") - F.col("prev.mb"), "dt_us": F.col("t_us") - F.col("prev.t_us")})
 
 
@@ -214,45 +213,53 @@ def recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- G1 ----------------------------------------------------------------------------------------------------------
 
-_USABLE_SQL = "trim(coalesce(p.name, '')) <> '' AND p.sec IS NOT NULL AND NOT isnan(p.sec) AND p.sec >= 0 AND p.sec < 1e9"
-#: Phase times are added up as whole nanoseconds, so that sums do not depend on the order of rows.
-_NS_SQL = "CAST(round({} * 1e9) AS BIGINT)"
+_USABLE_SQL = "trim(coalesce(p.name, '')) <> '' AND p.sec IS NOT NULL AND NOT isnan(p.sec) AND p.sec >= 0"
+#: Phase times are added up as whole nanoseconds, so that sums (below 104 days) do not depend on the order of rows.
+_NS_SQL = "round({} * 1e9)"
 
 
 def _ns(sec):
-    return F.round(sec * F.lit(1e9)).cast("bigint")
+    return F.round(sec * F.lit(1e9))
 
 
 def _usable(column: str):
-    return F.filter(column, lambda x: (F.trim(F.coalesce(x["name"], F.lit(""))) != "") & x["sec"].isNotNull() & ~F.isnan(x["sec"]) & (x["sec"] >= 0) & (x["sec"] < 1e9))
+    return F.filter(column, lambda x: (F.trim(F.coalesce(x["name"], F.lit(""))) != "") & x["sec"].isNotNull() & ~F.isnan(x["sec"]) & (x["sec"] >= 0))
 
 
 def _total_ns(column: str):
-    return F.aggregate(column, F.lit(0).cast("bigint"), lambda a, x: a + _ns(x["sec"]))
+    return F.aggregate(column, F.lit(0.0), lambda a, x: a + _ns(x["sec"]))
 
 
 _PHASES_SQL = f""", x AS (SELECT log_id, seq, t_sec, unnest(phases) AS p FROM young),
-ph AS (SELECT log_id, seq, t_sec, p.name AS phase, CAST(sum({_NS_SQL.format("p.sec")}) AS BIGINT) AS ns FROM x WHERE {_USABLE_SQL} GROUP BY ALL)
+ph AS (SELECT log_id, seq, t_sec, p.name AS phase, sum({_NS_SQL.format("p.sec")}) AS ns FROM x WHERE {_USABLE_SQL} GROUP BY ALL),
+names AS (SELECT DISTINCT log_id, phase FROM ph),
+bars AS (SELECT log_id, seq, t_sec, sum(ns) AS total FROM ph GROUP BY ALL),
+dense AS (SELECT bars.log_id, bars.seq, bars.t_sec, names.phase, total, coalesce(ns, 0e0) AS ns
+  FROM bars JOIN names ON names.log_id = bars.log_id LEFT JOIN ph ON ph.log_id = bars.log_id AND ph.seq = bars.seq AND ph.phase = names.phase)
 """
 
 
 def _phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = events(spark, sf_dir, [_usable("phases").alias("p")], S.G1_YOUNG, keep="size(p) > 0").select(*KEYS, F.explode("p").alias("x"))
-    return ev.groupBy(*KEYS, F.col("x.name").alias("phase")).agg((F.sum(_ns(F.col("x.sec"))) / F.lit(1e6)).alias("ms"))
+    """A bar for each event with a usable phase, with a value for every phase of its log, 0 where the event has none; ``total`` is the bar's height.
 
+    The names of a log's phases come from a scan of the names alone; copies of an event change them not.
+    """
+    ev = events(spark, sf_dir, [_usable("phases").alias("p")], S.G1_YOUNG, keep="size(p) > 0")
+    named = events(spark, sf_dir, [_usable("phases").alias("p")], S.G1_YOUNG, keep="size(p) > 0", copies=True)
+    named = named.select("log_id", F.explode("p").alias("x")).groupBy("log_id").agg(F.collect_set("x.name").alias("names"))
+    bars = ev.select(*KEYS, "p", _total_ns("p").alias("total")).join(named, "log_id").select(*KEYS, "p", "total", F.explode("names").alias("phase"))
+    mine = F.filter("p", lambda x: x["name"] == F.col("phase"))
+    return bars.select(*KEYS, "phase", "total", _total_ns(mine).alias("ns"))
 
-@query("g1_phases", _PHASES_SQL + "SELECT log_id, seq, t_sec, phase, ns / 1e6 AS ms FROM ph")
+
+@query("g1_phases", _PHASES_SQL + "SELECT log_id, seq, t_sec, phase, ns / 1e6 AS ms FROM dense")
 def g1_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _phases(spark, sf_dir)
+    return _phases(spark, sf_dir).select(*KEYS, "phase", (F.col("ns") / F.lit(1e6)).alias("ms"))
 
 
-@query("g1_phase_pct", _PHASES_SQL + "SELECT log_id, seq, t_sec, phase, CASE WHEN sum(ns) OVER w > 0 THEN 100e0 * ns / CAST(sum(ns) OVER w AS BIGINT) ELSE 0e0 END AS pct FROM ph WINDOW w AS (PARTITION BY log_id, seq)")
+@query("g1_phase_pct", _PHASES_SQL + "SELECT log_id, seq, t_sec, phase, CASE WHEN total > 0 THEN 100e0 * ns / total ELSE 0e0 END AS pct FROM dense")
 def g1_phase_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentages inside the event's own array: no shuffle beyond that of the phases."""
-    ev = events(spark, sf_dir, [_usable("phases").alias("p")], S.G1_YOUNG, keep="size(p) > 0")
-    rows = ev.select(*KEYS, _total_ns("p").alias("total"), F.explode("p").alias("x")).groupBy(*KEYS, F.col("x.name").alias("phase"))
-    got = rows.agg(F.sum(_ns(F.col("x.sec"))).alias("ns"), F.first("total").alias("total"))
-    return got.select(*KEYS, "phase", F.when(F.col("total") > 0, F.lit(100.0) * F.col("ns") / F.col("total")).otherwise(F.lit(0.0)).alias("pct"))
+    return _phases(spark, sf_dir).select(*KEYS, "phase", F.when(F.col("total") > 0, F.lit(100.0) * F.col("ns") / F.col("total")).otherwise(F.lit(0.0)).alias("pct"))
 
 
 _TYPE_SQL = "CASE event_class WHEN 'G1Mixed' THEN 'Mixed' WHEN 'G1YoungInitialMark' THEN 'InitialMark' ELSE 'Young' END"
@@ -262,7 +269,7 @@ def _sub_phase(kind: str, percent: bool):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if kind == "other":
             scalars = F.array(*(F.struct(F.lit(k).alias("name"), F.col(f"other_phases.{k}").alias("sec")) for k in S.OTHER_PHASES))
-            p = F.filter(scalars, lambda x: x["sec"].isNotNull() & ~F.isnan(x["sec"]) & (x["sec"] > 0) & (x["sec"] < 1e9))
+            p = F.filter(scalars, lambda x: x["sec"].isNotNull() & ~F.isnan(x["sec"]) & (x["sec"] > 0))
         else:
             p = _usable(S.SUB_PHASES[kind])
         ev = events(spark, sf_dir, [p.alias("p")], S.G1_YOUNG, keep="size(p) > 0")
@@ -275,13 +282,13 @@ def _sub_phase(kind: str, percent: bool):
 
     if kind == "other":
         x = " UNION ALL ".join(
-            f"SELECT log_id, seq, t_sec, '{k}::' || {_TYPE_SQL} AS series, other_phases.{k} AS sec FROM young WHERE other_phases.{k} > 0 AND NOT isnan(other_phases.{k}) AND other_phases.{k} < 1e9" for k in S.OTHER_PHASES
+            f"SELECT log_id, seq, t_sec, '{k}::' || {_TYPE_SQL} AS series, other_phases.{k} AS sec FROM young WHERE other_phases.{k} > 0 AND NOT isnan(other_phases.{k})" for k in S.OTHER_PHASES
         )
     else:
         x = f"SELECT log_id, seq, t_sec, p.name || '::' || {_TYPE_SQL} AS series, p.sec AS sec FROM (SELECT *, unnest({S.SUB_PHASES[kind]}) AS p FROM young) WHERE {_USABLE_SQL}"
-    value = "100e0 * ns / CAST(sum(ns) OVER (PARTITION BY log_id, seq) AS BIGINT)" if percent else "ns / 1e6"
+    value = "100e0 * ns / sum(ns) OVER (PARTITION BY log_id, seq)" if percent else "ns / 1e6"
     where = " QUALIFY sum(ns) OVER (PARTITION BY log_id, seq) > 0" if percent else ""
-    return run, f", x AS ({x}), y AS (SELECT log_id, seq, t_sec, series, CAST(sum({_NS_SQL.format("sec")}) AS BIGINT) AS ns FROM x GROUP BY ALL) SELECT log_id, seq, t_sec, series, {value} AS y FROM y{where}"
+    return run, f", x AS ({x}), y AS (SELECT log_id, seq, t_sec, series, sum({_NS_SQL.format("sec")}) AS ns FROM x GROUP BY ALL) SELECT log_id, seq, t_sec, series, {value} AS y FROM y{where}"
 
 
 for _kind in ("pre", "evac", "post", "other"):
@@ -505,8 +512,7 @@ SELECT log_id, seq, t_sec, 'duration' AS series, duration_us / 1e6 AS y FROM l W
 UNION ALL SELECT log_id, seq, t_sec, 'interval', dt / 1e6 FROM l WHERE dt > 0""",
 )
 def zgc_durations_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev, copies = (events(spark, sf_dir, (), S.ZGC, ordered=True, copies=c) for c in (False, True))
-    ev = with_previous(ev, F.col("t_us"), "prev", copies=copies)
+    ev = with_previous(events(spark, sf_dir, (), S.ZGC, ordered=True), F.col("t_us"), "prev")
     return long_form(ev, KEYS, {"duration": POSITIVE(F.col("duration_us") / F.lit(1e6)), "interval": POSITIVE((F.col("t_us") - F.col("prev")) / F.lit(1e6))})
 
 
