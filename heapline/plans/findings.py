@@ -13,7 +13,7 @@ from .. import schema as S
 from ..functions.cluster import shared_checkpoint
 from ..functions.ordered import with_previous, with_running_sum
 from ..functions.stats import ERF_A, ERF_P, trend_frame
-from .base import REGISTRY, category, events, meta, pauses, query
+from .base import PRELUDE, REGISTRY, category, events, meta, pauses, query
 from .summary import ANALYTICS_COLLECTOR
 from .views import survivors
 
@@ -46,6 +46,7 @@ def _n(where: str) -> str:
 _TOTAL = "(coalesce(cpu_user, 0) + coalesce(cpu_kernel, 0))"
 FACTS = {
     "events": "count(*)",
+    "g1_events": _n("event_class LIKE 'G1%'"),
     "first_us": "min(t_us)",
     "last_us": "max(t_us)",
     "system_gcs": _n("gc_cause = 'JAVA_LANG_SYSTEM'"),
@@ -124,7 +125,9 @@ def an_premature(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -
     return got.withColumn("impact", F.expr(_grade(f"ratio >= {PROMOTION[1]}e0", f"ratio >= {PROMOTION[0]}e0").removesuffix(" AS impact")))
 
 
-def _graded_pauses(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
+def _graded_pauses(spark: SparkSession, sf_dir: str, f: DataFrame | None = None, p: DataFrame | None = None) -> DataFrame:
+    if p is not None:
+        return p
     f = f if f is not None else facts(spark, sf_dir)
     return pauses(spark, sf_dir).join(f.select("log_id", "collector", "dur"), "log_id")
 
@@ -140,8 +143,8 @@ _PAUSE_LIMITS = f", pl AS (SELECT pauses.*, collector, dur, {WARN_MS} AS warn_ms
   count(*) FILTER (dur_us / 1e3 > warn_ms) AS over_warn, count(*) FILTER (dur_us / 1e3 > sig_ms) AS over_sig FROM pl GROUP BY log_id)
 SELECT *, {_grade("max_ms > sig_ms", "max_ms > warn_ms")} FROM a""",
 )
-def an_high_pause(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
-    p = _graded_pauses(spark, sf_dir, f).withColumns({"warn_ms": F.expr(WARN_MS), "sig_ms": F.expr(SIGNIFICANT_MS), "ms": F.col("dur_us") / F.lit(1e3)})
+def an_high_pause(spark: SparkSession, sf_dir: str, f: DataFrame | None = None, p: DataFrame | None = None) -> DataFrame:
+    p = _graded_pauses(spark, sf_dir, f, p).withColumns({"warn_ms": F.expr(WARN_MS), "sig_ms": F.expr(SIGNIFICANT_MS), "ms": F.col("dur_us") / F.lit(1e3)})
     a = p.groupBy("log_id").agg(
         F.count(F.lit(1)).alias("n"), F.max("ms").alias("max_ms"), F.max("warn_ms").alias("warn_ms"), F.max("sig_ms").alias("sig_ms"),
         F.count_if(F.col("ms") > F.col("warn_ms")).alias("over_warn"), F.count_if(F.col("ms") > F.col("sig_ms")).alias("over_sig"),
@@ -159,9 +162,10 @@ _PCTS = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99}
     + f""", a AS (SELECT log_id, count(*) AS n, {", ".join(f"quantile_cont(CAST(dur_us AS DOUBLE), {q}) / 1e3 AS {k}" for k, q in _PCTS.items())}, max(dur_us) / 1e3 AS max_ms, any_value(warn_ms) AS warn_ms, any_value(sig_ms) AS sig_ms FROM pl GROUP BY log_id)
 SELECT log_id, n, {", ".join(f"round({k}, 6) AS {k}" for k in _PCTS)}, max_ms, {_grade("p99 > sig_ms", "p99 > warn_ms")} FROM a""",
 )
-def an_distribution(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
+def an_distribution(spark: SparkSession, sf_dir: str, f: DataFrame | None = None, p: DataFrame | None = None) -> DataFrame:
     """Exact percentiles from the counts of distinct durations, which are added up before they meet in one task a log."""
-    counted = pauses(spark, sf_dir).groupBy("log_id", "dur_us").agg(F.count(F.lit(1)).alias("k"))
+    p = p if p is not None else pauses(spark, sf_dir)
+    counted = p.groupBy("log_id", "dur_us").agg(F.count(F.lit(1)).alias("k"))
     a = counted.groupBy("log_id").agg(F.sum("k").alias("n"), F.percentile(F.col("dur_us").cast("double"), list(_PCTS.values()), F.col("k")).alias("p"), (F.max("dur_us") / F.lit(1e3)).alias("max_ms"))
     f = f if f is not None else facts(spark, sf_dir)
     a = a.join(f.select("log_id", F.expr(WARN_MS).alias("warn_ms"), F.expr(SIGNIFICANT_MS).alias("sig_ms")), "log_id")
@@ -198,8 +202,8 @@ def _worst(p: DataFrame, window: int, step: int) -> DataFrame:
 r AS (SELECT a.*, 100 * (1 - stw_s / duration_s) AS overall_pct, 100 * (1 - stw_us / {THROUGHPUT["window"]}e0) AS worst_pct, (t0 + k * {THROUGHPUT["step"]}) / 1e6 AS worst_start_s FROM a LEFT JOIN worst USING (log_id))
 SELECT *, {_grade("overall_pct < target_pct", "worst_pct < target_pct")} FROM r""",
 )
-def an_throughput(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
-    p = _graded_pauses(spark, sf_dir, f)
+def an_throughput(spark: SparkSession, sf_dir: str, f: DataFrame | None = None, p: DataFrame | None = None) -> DataFrame:
+    p = _graded_pauses(spark, sf_dir, f, p)
     a = p.filter("dur > 0").groupBy("log_id").agg(F.max("dur").alias("duration_s"), F.max(F.expr(TARGET_PCT)).alias("target_pct"), (F.sum("dur_us") / F.lit(1e6)).alias("stw_s"))
     r = a.join(_worst(p, **THROUGHPUT), "log_id", "left").select(
         "log_id", "duration_s", "target_pct", "stw_s",
@@ -220,8 +224,8 @@ _CLUSTER_GRADE = _grade(f"worst_pct < {CLUSTER['significant']}e0", f"worst_pct <
     + f""", r AS (SELECT log_id, 100 * (1 - stw_us / {CLUSTER["window"]}e0) AS worst_pct, n, stw_us / 1e6 AS stw_s, (t0 + k * {CLUSTER["step"]}) / 1e6 AS start_s FROM worst JOIN facts USING (log_id) WHERE dur >= {2 * CLUSTER["window"] // 1000000})
 SELECT *, {_CLUSTER_GRADE} FROM r""",
 )
-def an_clustering(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
-    p = _graded_pauses(spark, sf_dir, f).filter(F.col("dur") >= 2 * CLUSTER["window"] / 1e6)
+def an_clustering(spark: SparkSession, sf_dir: str, f: DataFrame | None = None, p: DataFrame | None = None) -> DataFrame:
+    p = _graded_pauses(spark, sf_dir, f, p).filter(F.col("dur") >= 2 * CLUSTER["window"] / 1e6)
     w = _worst(p, CLUSTER["window"], CLUSTER["step"])
     r = w.select("log_id", (F.lit(100) * (1 - F.col("stw_us") / F.lit(float(CLUSTER["window"])))).alias("worst_pct"), "n", (F.col("stw_us") / F.lit(1e6)).alias("stw_s"), ((F.col("t0") + F.col("k") * CLUSTER["step"]) / F.lit(1e6)).alias("start_s"))
     return r.withColumn("impact", F.expr(_CLUSTER_GRADE.removesuffix(" AS impact")))
@@ -238,8 +242,8 @@ s AS (SELECT log_id, (t_us - t0) // 1000000 AS sec, count(*) AS k, max(t_us - t0
 r AS (SELECT log_id, CAST(sum(k) AS BIGINT) AS n, max(k) AS most, count(*) FILTER (k > {FREQUENCY_PER_SEC}) AS violating, greatest(1, CAST(ceil(max(span) / 1e6) AS BIGINT) + 1) AS seconds FROM s GROUP BY log_id)
 SELECT *, {_FREQ_GRADE} FROM r WHERE n >= 5""",
 )
-def an_heap_small_frequency(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
-    p = _graded_pauses(spark, sf_dir, f).filter("collector IN ('parallel', 'serial') AND dur >= 2").select("log_id", "t_us")
+def an_heap_small_frequency(spark: SparkSession, sf_dir: str, f: DataFrame | None = None, p: DataFrame | None = None) -> DataFrame:
+    p = _graded_pauses(spark, sf_dir, f, p).filter("collector IN ('parallel', 'serial') AND dur >= 2").select("log_id", "t_us")
     p = p.join(p.groupBy("log_id").agg(F.min("t_us").alias("t0")), "log_id").withColumn("dt", F.col("t_us") - F.col("t0"))
     s = p.groupBy("log_id", F.expr("dt div 1000000").alias("sec")).agg(F.count(F.lit(1)).alias("k"), F.max("dt").alias("span"))
     r = s.groupBy("log_id").agg(
@@ -318,24 +322,77 @@ def an_heap_stability(spark: SparkSession, sf_dir: str, f: DataFrame | None = No
     return every.withColumn("impact", F.expr(_TREND_GRADE.removesuffix(" AS impact")))
 
 
-#: Order of the findings of a log.
-FINDINGS = (
-    "an_premature", "an_metaspace", "an_heap_small_indicators", "an_heap_small_frequency", "an_heap_small_stalls", "an_heap_stability",
-    "an_high_pause", "an_throughput", "an_clustering", "an_distribution", "an_system_gc", "an_periodic_gc", "an_diagnostic_gc",
-    "an_gclocker", "an_full_gc", "an_cpu", "an_log_duration",
-)
+_MIXED = ("cycles", "mixed", "fewest", "most")
+
+
+@query(
+    "an_mixed",
+    REGISTRY["an_mixed_runs"].sql.removeprefix(PRELUDE).replace("SELECT log_id, mixed, count(*) AS runs FROM d GROUP BY ALL", "")
+    + f""", m AS (SELECT log_id, count(*) AS cycles, CAST(sum(mixed) AS BIGINT) AS mixed, min(mixed) AS fewest, max(mixed) AS most FROM d GROUP BY log_id),
+g1 AS (SELECT DISTINCT log_id FROM ev WHERE event_class LIKE 'G1%')
+SELECT log_id, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _MIXED)}, 'OK' AS impact FROM g1 LEFT JOIN m USING (log_id)""",
+)
+def an_mixed(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
+    """Mixed collections of the closed cycles of every log with a G1 event, also of one without cycles; never graded worse than OK."""
+    f = f if f is not None else facts(spark, sf_dir)
+    runs = an_mixed_runs(spark, sf_dir).groupBy("log_id").agg(F.sum("runs").alias("cycles"), F.sum(F.col("mixed") * F.col("runs")).alias("mixed"), F.min("mixed").alias("fewest"), F.max("mixed").alias("most"))
+    return f.filter("g1_events > 0").select("log_id").join(runs, "log_id", "left").fillna(0, list(_MIXED)).withColumn("impact", F.lit("OK"))
+
+
+#: The findings of a log in their order: query, group, title, and the figures that go with it (label: column, ``n`` for whole numbers, else three decimals).
+FINDINGS: dict[str, tuple[str, str, dict[str, str]]] = {
+    "an_premature": ("heap", "Early promotion", {"records": "n records", "early": "n premature", "share": "ratio"}),
+    "an_metaspace": ("heap", "Collections for metaspace", {"collections": "n metaspace_gcs"}),
+    "an_heap_small_indicators": ("heap", "Signs of a small heap", {"full": "n full_gcs", "aborted marks": "n mark_aborts", "overflows": "n overflows", "to-space": "n to_space"}),
+    "an_heap_small_frequency": ("heap", "Frequent collections", {"pauses": "n n", "most in a second": "n most", "busy seconds": "n violating", "seconds": "n seconds"}),
+    "an_heap_small_stalls": ("heap", "Allocation stalls", {"stalls": "n stalls", "a minute": "per_min"}),
+    "an_heap_stability": ("heap", "Trend of the live heap", {"samples": "n n", "MB an hour": "mb_per_hour", "p": "p"}),
+    "an_high_pause": ("pause", "Long pauses", {"pauses": "n n", "longest ms": "max_ms", "over first limit": "n over_warn", "over second limit": "n over_sig"}),
+    "an_throughput": ("pause", "Throughput", {"overall %": "overall_pct", "target %": "target_pct", "worst window %": "worst_pct", "from s": "worst_start_s"}),
+    "an_clustering": ("pause", "Clustered pauses", {"worst window %": "worst_pct", "pauses": "n n", "paused s": "stw_s", "from s": "start_s"}),
+    "an_distribution": ("pause", "Distribution of pauses", {"p50 ms": "p50", "p90 ms": "p90", "p99 ms": "p99", "longest ms": "max_ms"}),
+    "an_system_gc": ("cause", "Explicit collections", {"calls": "n system_gcs"}),
+    "an_periodic_gc": ("cause", "Periodic explicit collections", {"calls": "n calls", "every s": "mean_s", "variation": "cv"}),
+    "an_diagnostic_gc": ("cause", "Collections by tools", {"collections": "n explicit_gcs"}),
+    "an_gclocker": ("cause", "Collections for critical sections", {"collections": "n lockers"}),
+    "an_full_gc": ("cause", "Full collections", {"collections": "n full_gcs", "s": "full_sec"}),
+    "an_mixed": ("mixed", "Mixed collections a cycle", {"cycles": "n cycles", "mixed": "n mixed", "fewest": "n fewest", "most": "n most"}),
+    "an_cpu": ("cpu", "Processor time in pauses", {"pauses": "n cpu_pauses", "kernel over user": "n kernel_over_user", "one thread": "n single_thread", "kernel share": "n kernel_share"}),
+    "an_log_duration": ("duration", "Length of the log", {"s": "duration_s"}),
+}
+
+
+def _columns(name: str, i: int) -> str:
+    """Select list of a finding's row, the same in both dialects."""
+    group, title, figures = FINDINGS[name]
+    cells = []
+    for label, column in figures.items():
+        kind = "BIGINT" if column.startswith("n ") else "DECIMAL(30, 3)"
+        x = column.removeprefix("n ")
+        value = f"CAST({x} AS {kind})" if kind == "BIGINT" else f"CAST(round({x}, 3) AS {kind})"
+        cells.append(f"'{label} ', coalesce(CAST({value} AS STRING), '-')")
+    return f"log_id, {i} AS ord, '{group}' AS grp, '{name[3:]}' AS finding, '{title}' AS title, impact, concat({", '; ', ".join(cells)}) AS figures"
 
 
 def _findings_sql() -> str:
-    parts = (f"SELECT log_id, {i} AS ord, '{name[3:]}' AS finding, impact FROM ({REGISTRY[name].sql})" for i, name in enumerate(FINDINGS))
+    parts = (f"SELECT {_columns(name, i)} FROM ({REGISTRY[name].sql})" for i, name in enumerate(FINDINGS))
     return ", one AS (SELECT 1) " + " UNION ALL ".join(parts)
 
 
+_OVER_PAUSES = ("an_high_pause", "an_throughput", "an_clustering", "an_distribution", "an_heap_small_frequency")
+
+
 @query("an_findings", _findings_sql())
 def an_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(log_id, ord, finding, impact): all graded findings in their order; the facts, a row a log, are made once."""
+    """(log_id, ord, grp, finding, title, impact, figures): all graded findings in their order.
+
+    The facts, a row a log, and the pauses with their log's collector and length
+    are made once.
+    """
     f, out = shared_checkpoint(facts(spark, sf_dir)), None
+    p = shared_checkpoint(_graded_pauses(spark, sf_dir, f).select("log_id", "t_us", "dur_us", "collector", "dur"))
     for i, name in enumerate(FINDINGS):
-        one = REGISTRY[name].run(spark, sf_dir, f).select("log_id", F.lit(i).alias("ord"), F.lit(name[3:]).alias("finding"), "impact")
+        got = REGISTRY[name].run(spark, sf_dir, f, p) if name in _OVER_PAUSES else REGISTRY[name].run(spark, sf_dir, f)
+        one = spark.sql(f"SELECT {_columns(name, i)} FROM {{got}}", got=got)
         out = one if out is None else out.unionByName(one)
     return out

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cluster import ship_package
+from ..functions.cluster import only_logs, ship_package
 from .catalogue import queries
 
 
@@ -102,26 +102,25 @@ class Engine:
         self._dropped.add(log_id)
 
     def view(self, view_id: str, log_id: int | None = None) -> DataFrame | dict[str, DataFrame]:
-        """The view's DataFrame, or one per part of a summary; KeyError for an unknown view."""
+        """The view's DataFrame, or one per part of a summary; KeyError for an unknown view.  With a log, only its rows are read."""
         view = VIEWS[view_id]
-        got = {q: self._only(queries()[q](self.spark, self.folder), log_id) for q in view.queries}
+        got = {q: self._run(q, log_id) for q in view.queries}
         return got if len(got) > 1 else next(iter(got.values()))
 
     def status(self, log_id: int | None = None) -> DataFrame:
-        return self._only(queries()["view_status"](self.spark, self.folder), log_id)
+        return self._run("view_status", log_id)
 
     def json(self, view_id: str, log_id: int) -> DataFrame:
         """Rows of the view as JSON lines, each with the view's id, title, shape and unit; one column ``json``."""
         view = VIEWS[view_id]
         out = None
         for query in view.queries:
-            df = self._only(queries()[query](self.spark, self.folder), log_id)
+            df = self._run(query, log_id)
             head = [F.lit(x).alias(k) for k, x in (("view", view.id), ("title", view.title), ("shape", view.shape), ("part", query), ("unit", view.unit))]
             one = df.select(F.to_json(F.struct(*head, F.struct(*df.columns).alias("row"))).alias("json"))
             out = one if out is None else out.unionByName(one)
         return out
 
-    def _only(self, df: DataFrame, log_id: int | None) -> DataFrame:
-        if self._dropped:
-            df = df.filter(~F.col("log_id").isin(sorted(self._dropped)))
-        return df if log_id is None else df.filter(F.col("log_id") == log_id)
+    def _run(self, query: str, log_id: int | None) -> DataFrame:
+        with only_logs(log_id, frozenset(self._dropped)):
+            return queries()[query](self.spark, self.folder)
