@@ -14,7 +14,8 @@ of the size of (files x fields), not of rows.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,11 +49,14 @@ class DriftSpec:
     written: str = "written_at"
     line: str = "line_no"
     payload: str = "payload"
+    #: Canonical columns with their type (a map is of names to seconds) and the names they are known by.
+    aliases: Mapping[str, tuple[str, tuple[str, ...]]] = field(default_factory=lambda: ALIASES)
+    units: Mapping[str, float] = field(default_factory=lambda: UNIT_SUFFIXES)
 
-
-def unit_factor(name: str) -> float:
-    words = re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)
-    return UNIT_SUFFIXES.get(words[-1].lower(), 1.0) if words else 1.0
+    def factor(self, name: str) -> float:
+        """What makes seconds of the values under this name."""
+        words = re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)
+        return self.units.get(words[-1].lower(), 1.0) if words else 1.0
 
 
 def _parsed(df: DataFrame, spec: DriftSpec) -> DataFrame:
@@ -124,11 +128,11 @@ def lifespans(foot: DataFrame) -> DataFrame:
     ).drop("island")
 
 
-def _family(field: Column) -> Column:
+def _family(name: Column, spec: DriftSpec) -> Column:
     """Canonical column of a name; an unknown name is its own family, whatever its case and punctuation."""
-    pairs = [F.lit(x) for canonical, (_, names) in ALIASES.items() for n in names for x in (n, canonical)]
-    own = F.concat(F.lit("~"), F.regexp_replace(F.lower(field), "[^a-z0-9]", ""))
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), field), own)
+    pairs = [F.lit(x) for canonical, (_, names) in spec.aliases.items() for n in dict.fromkeys((*names, canonical)) for x in (n, canonical)]
+    own = F.concat(F.lit("~"), F.regexp_replace(F.lower(name), "[^a-z0-9]", ""))
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), name), own) if pairs else own
 
 
 def changes(df: DataFrame, spec: DriftSpec = DriftSpec()) -> DataFrame:
@@ -154,7 +158,7 @@ def changes(df: DataFrame, spec: DriftSpec = DriftSpec()) -> DataFrame:
             F.max(F.when(F.col("what") == "start", F.col("kind"))).alias("new_kind"),
             F.max(F.when(F.col("what") == "end", F.col("kind"))).alias("old_kind"),
         )
-        .withColumn("family", _family(F.col("field")))
+        .withColumn("family", _family(F.col("field"), spec))
         .withColumn(
             "side",
             F.when(F.col("new_kind").isNotNull() & F.col("old_kind").isNotNull(), "both")
@@ -215,9 +219,9 @@ def _as_map(v: Column, path: str, factor: float) -> Column:
     return plain if factor == 1.0 else F.transform_values(plain, lambda _, x: x * F.lit(factor))
 
 
-def _other_fields(v: Column) -> Column:
+def _other_fields(v: Column, spec: DriftSpec) -> Column:
     """The fields under names that the alias table does not know, with their values as JSON."""
-    known = [n for _, names in ALIASES.values() for n in names]
+    known = [n for _, names in spec.aliases.values() for n in names]
     fields = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~k.isin(known))
     return F.transform_values(fields, lambda _, x: F.coalesce(F.to_json(x), F.lit("null")))
 
@@ -225,6 +229,8 @@ def _other_fields(v: Column) -> Column:
 def unify(df: DataFrame, spec: DriftSpec = DriftSpec()) -> DataFrame:
     """Every readable line in one schema, durations in seconds; a line delivered twice comes out once.
 
+    Lines without producer, file or number are not known to be the same and each come out.
+
     Unreadable lines are left out; values that cannot be cast are null; when a
     line carries two names of one column, the first in alias order with a value
     is taken.  Fields of names outside the alias table are kept in ``other_fields``,
@@ -233,17 +239,19 @@ def unify(df: DataFrame, spec: DriftSpec = DriftSpec()) -> DataFrame:
     rows = _parsed(df, spec).filter(F.col("v").isNotNull())
     v = F.col("v")
     out = []
-    for canonical, (target, names) in ALIASES.items():
+    for canonical, (target, names) in spec.aliases.items():
         if target == "map":
-            got = [_as_map(v, f"$.{n}", unit_factor(n)) for n in names]
+            got = [_as_map(v, f"$.{n}", spec.factor(n)) for n in names]
         else:
             got = []
             for n in names:
                 x = F.try_variant_get(v, f"$.{n}", target)
-                got.append(x * F.lit(unit_factor(n)) if target == "double" and unit_factor(n) != 1.0 else x)
+                got.append(x * F.lit(spec.factor(n)) if target == "double" and spec.factor(n) != 1.0 else x)
         out.append(F.coalesce(*got).alias(canonical))
-    out.append(_other_fields(v).alias("other_fields"))
-    once = rows.repartition("producer", "file", "line").dropDuplicates(["producer", "file", "line"])
+    out.append(_other_fields(v, spec).alias("other_fields"))
+    keyed = F.col("producer").isNotNull() & F.col("file").isNotNull() & F.col("line").isNotNull()
+    rows = rows.withColumn("own", F.when(~keyed, F.monotonically_increasing_id()))
+    once = rows.repartition("producer", "file", "line", "own").dropDuplicates(["producer", "file", "line", "own"])
     return once.select(
         F.col("producer").alias(spec.producer), F.col("file").alias(spec.file), F.col("line").alias(spec.line), *out
     )

@@ -258,3 +258,17 @@ def test_layouts_that_only_their_own_shape_shows(spark):
     text = ["[1.000s][info][gc] x", *free, "[2.000s][warning][gc] y", "[3.000s][info][gc] z"]
     got = sorted((r.first_line, r.severity) for r in lt.entry_heads(*_log(spark, {"p": text})).collect())
     assert got == [(1, "INFO"), (32, "WARN"), (33, "INFO")]
+
+
+def test_drift_unify_keeps_lines_without_a_full_key(spark):
+    rows = [("f", 1, datetime(2031, 1, 1), None, json.dumps({"tSec": float(i)}), 7, "x") for i in range(5)]
+    rows += [(None, 1, datetime(2031, 1, 1), 0, json.dumps({"tSec": 9.0}), 7, "x")] * 2 + [("f", 1, datetime(2031, 1, 1), 3, json.dumps({"tSec": 7.0}), 7, "x")] * 2
+    assert sorted(r.t_sec for r in sd.unify(spark.createDataFrame(rows, DRIFT)).collect()) == [0.0, 1.0, 2.0, 3.0, 4.0, 7.0, 9.0, 9.0]
+
+
+def test_drift_with_other_aliases(spark):
+    spec = sd.DriftSpec(aliases={"length_sec": ("double", ("length", "lengthCs"))}, units={"cs": 1e-2})
+    rows = _files([{"length": 1.5, "tSec": 2}], [{"lengthCs": 250, "t_sec": 2}])
+    df = spark.createDataFrame(rows, DRIFT)
+    assert sorted((r.file_id, r.length_sec, sorted(r.other_fields)) for r in sd.unify(df, spec).collect()) == [(0, 1.5, ["tSec"]), (1, 2.5, ["t_sec"])]
+    assert {(r.field_name, r.change_kind, r.new_name) for r in sd.changes(df, spec).collect()} == {("length", "renamed", "lengthCs"), ("tSec", "renamed", "t_sec")}
