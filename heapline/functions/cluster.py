@@ -36,6 +36,16 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which a counted side of a join is broadcast; beyond, both sides are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, written and counted (a checkpoint has no statistics), to be broadcast if it has at most so many rows of a few numbers each."""
+    df = shared_checkpoint(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 #: Column that marks a table whose rows are known to be delivered once (sources.prepare).
 ONCE = "delivered_once"
 

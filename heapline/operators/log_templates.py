@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cluster import shared_checkpoint
+from ..functions.cluster import broadcast_if_few, shared_checkpoint
 
 # Written severities and the nearest of the six.
 SEVERITIES: dict[str, str] = {
@@ -370,7 +370,7 @@ def _slots_of_forms(masked: DataFrame, spec: LogSpec) -> DataFrame:
     forms = shared_checkpoint(_forms(masked))
     leaves, roles = resolved_templates(_shapes(forms), spec)
     by_shape = leaves.select("shape_id", "leaf").join(roles.filter("kind <> ''").drop("lines", "template"), "leaf").drop("leaf")
-    return forms.select("form_id", "shape_id").join(by_shape, "shape_id").drop("shape_id")
+    return broadcast_if_few(forms.select("form_id", "shape_id").join(by_shape, "shape_id").drop("shape_id"))
 
 
 def _time_ms(kind: Column, a: Column, b: Column, c: Column, started: Column) -> Column:
@@ -431,7 +431,7 @@ def parsed_lines(df: DataFrame, meta: DataFrame, spec: LogSpec = LogSpec(), text
     )
     got = got.withColumn("begins", begins).drop("kind")
     # every column is a key, so that all uses of the rows share one shuffle, whatever they need of them later
-    got = got.repartition("path", "shard").dropDuplicates()
+    got = got.filter(F.col("shard").isNotNull()).repartition("path", "shard").dropDuplicates()
     w = Window.partitionBy("path", "shard").orderBy("no", "id", F.desc("begins"), "ts_ms")
     got = got.withColumn("before", F.lag("no").over(w)).filter(F.col("before").isNull() | (F.col("before") != F.col("no")))
     return got.drop("before", "id")
