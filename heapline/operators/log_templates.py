@@ -63,7 +63,8 @@ class LogSpec:
 
 def _clean(line: Column) -> Column:
     """Without byte order mark, terminal colours and the line end."""
-    return F.regexp_replace(F.regexp_replace(line, "\\x1B\\[[0-9;]*m", ""), "^\\x{FEFF}|[\\r\\n]+$", "")
+    bare = F.when(F.contains(line, F.lit("\u001b")), F.regexp_replace(line, "\\x1B\\[[0-9;]*m", "")).otherwise(line)
+    return F.ltrim(F.rtrim(bare, F.lit("\r\n")), F.lit("\ufeff"))
 
 
 def _lines(df: DataFrame, spec: LogSpec) -> DataFrame:
