@@ -171,18 +171,55 @@ def test_log_entries_across_shards_and_redelivery(spark):
     assert lt.entries(twice, meta, spec).filter("first_line = 1").first().message.count("more") == 9
 
 
-def test_text_source(spark, tmp_path):
-    from heapline.sources.text import pauses_of_entries, raw_lines
-
-    (tmp_path / "a.log").write_text("[2031-03-01T12:00:01.500+0000][1.500s][info][gc] GC(1) Pause Young (Normal) (G1 Evacuation Pause) 12M->4M(64M) 3.250ms\nx\n")
-    lines = raw_lines(spark, str(tmp_path))
-    assert [(r.line_no, r.line[:1]) for r in lines.orderBy("line_no").collect()] == [(1, "["), (2, "x")]
-    meta = spark.createDataFrame([], "log_path string, started_at timestamp")
-    (row,) = pauses_of_entries(lt.entries(lines, meta)).collect()
-    assert row.event_class == "G1Young" and row.duration_us == 3250 and row.heap.occ_before == 12288
-
-
-def test_engine_over_log_files(spark, tmp_path, sf_dir):
+LOGS = {
+    "g1": """[0.005s][info][gc] Using G1
+[1.000s][info][gc,start] GC(0) Pause Young (Normal) (G1 Evacuation Pause)
+[1.001s][info][gc,age] GC(0) Desired survivor size 1048576 bytes, new threshold 7 (max threshold 15)
+[1.001s][info][gc,age] GC(0) - age   1:     524288 bytes,     524288 total
+[1.001s][info][gc,age] GC(0) - age   2:       1024 bytes,     525312 total
+[1.002s][info][gc,phases] GC(0)   Pre Evacuate Collection Set: 0.1ms
+[1.002s][info][gc,phases] GC(0)   Evacuate Collection Set: 2.9ms
+[1.002s][info][gc,heap] GC(0) Eden regions: 10->0(12)
+[1.002s][info][gc,heap] GC(0) Old regions: 3->4
+[1.003s][info][gc,metaspace] GC(0) Metaspace: 3801K(4096K)->3802K(4096K) NonClass: 3K(4K)->3K(4K)
+[1.003s][info][gc] GC(0) Pause Young (Normal) (G1 Evacuation Pause) 24M->4M(256M) 3.250ms
+[1.003s][info][gc,cpu] GC(0) User=0.02s Sys=0.01s Real=0.01s
+[2.000s][info][gc] GC(1) Pause Young (Concurrent Start) (Metadata GC Threshold) 30M->5M(256M) 2.000ms
+[2.100s][info][gc,marking] GC(2) Concurrent Mark 12.500ms
+[2.200s][info][gc] GC(2) Pause Remark 6M->6M(256M) 1.000ms
+[2.300s][info][gc] GC(2) Pause Cleanup 6M->6M(256M) 0.100ms
+[3.000s][info][gc] GC(3) Pause Young (Mixed) (G1 Evacuation Pause) 30M->5M(256M) 2.000ms
+[4.000s][info][gc] GC(4) Pause Full (System.gc()) 30M->5M(256M) 20.000ms
+[4.100s][info][safepoint] Safepoint "G1CollectFull", Time since last: 900 ns, Reaching safepoint: 100 ns, At safepoint: 20000000 ns, Total: 20100000 ns
+[4.200s][info][gc,odd] GC(4) what is this""",
+    "parallel": """[0.005s][info][gc] Using Parallel
+[1.000s][info][gc] GC(0) Pause Young (Allocation Failure) 24M->4M(256M) 3.250ms
+[2.000s][info][gc] GC(1) Pause Full (Ergonomics) 30M->5M(256M) 0.020s""",
+    "serial": """[0.005s][info][gc] Using Serial
+[1.000s][info][gc] GC(0) Pause Young (Allocation Failure) 24M->4M(256M) 3.250ms
+[2.000s][info][gc] GC(1) Pause Full (System.gc()) 30M->5M(256M) 20.000ms""",
+    "cms": """[0.005s][info][gc] Using Concurrent Mark Sweep
+[1.000s][info][gc] GC(0) Pause Young (Allocation Failure) 24M->4M(256M) 3.250ms
+[2.000s][info][gc] GC(1) Pause Initial Mark 30M->30M(256M) 1.000ms
+[2.100s][info][gc] GC(1) Concurrent Mark 5.000ms
+[2.200s][info][gc] GC(1) Concurrent Preclean 1.000ms
+[2.300s][info][gc] GC(1) Pause Remark 30M->30M(256M) 2.000ms
+[2.400s][info][gc] GC(1) Concurrent Sweep 4.000ms""",
+    "zgc": """[0.005s][info][gc,init] Initializing The Z Garbage Collector
+[1.000s][info][gc] GC(0) Minor Collection (Allocation Rate)
+[1.001s][info][gc,phases] GC(0) Y: Pause Mark Start 0.010ms
+[1.010s][info][gc,phases] GC(0) Y: Concurrent Mark 8.000ms
+[1.011s][info][gc,phases] GC(0) Y: Pause Mark End 0.012ms
+[1.020s][info][gc,phases] GC(0) Y: Pause Relocate Start 0.009ms
+[1.030s][info][gc,phases] GC(0) Y: Concurrent Relocate 7.000ms
+[1.031s][info][gc,load] GC(0) Load: 1.50 (10%) / 1.25 (9%) / 1.00 (8%)
+[1.031s][info][gc] GC(0) Minor Collection (Allocation Rate) 128M(2%)->64M(1%) 0.031s""",
+    "unknown": """[1.000s][info][gc] GC(0) Pause Young (Allocation Failure) 24M->4M(256M) 3.250ms
+[1.500s][info][gc] GC(1) Pause Young (Allocation Failure) 24M->4M(256M) 3.250ms""",
+}
+
+
+def test_engine_over_logs_of_all_collectors(spark, tmp_path, sf_dir):
     from heapline.plans.registry import Engine
     from heapline.schema import DDL
 
@@ -190,12 +227,41 @@ def test_engine_over_log_files(spark, tmp_path, sf_dir):
         want = spark.createDataFrame([], ddl).schema
         assert [(f.name, f.dataType.simpleString()) for f in spark.read.parquet(f"{sf_dir}/{name}.parquet").schema if f.name in want.fieldNames()] == [(f.name, f.dataType.simpleString()) for f in want]
     (tmp_path / "in").mkdir()
-    gc = "[2031-03-01T12:00:0{0}.500+0000][{0}.500s][info][gc] GC({0}) Pause Young (Normal) (G1 Evacuation Pause) {1}M->4M(64M) 3.250ms"
-    (tmp_path / "in" / "gc.log").write_text("\n".join(["start", *(gc.format(i, 10 + i) for i in range(4)), "[2031-03-01T12:00:09.000+0000][9.000s][info][gc] GC(9) Concurrent Mark Cycle"]))
+    for name, text in LOGS.items():
+        (tmp_path / "in" / f"{name}.log").write_text(text + "\n")
     engine = Engine.load_log(spark, str(tmp_path / "in"), str(tmp_path / "out"))
-    assert sorted(r.t_sec for r in engine.view("pause-time").collect()) == [0.0, 1.0, 2.0, 3.0]
-    assert sorted(r.mb_per_sec for r in engine.view("allocation-rate").collect()) == [7.0, 8.0, 9.0]
-    assert {r.status for r in engine.status().filter("view_id = 'summary'").collect()} == {"OK"}
+    about = {r.filename.removesuffix(".log"): r for r in spark.read.parquet(f"{tmp_path}/out/log_meta.parquet").collect()}
+    assert sorted(r.log_id for r in about.values()) == [1, 2, 3, 4, 5, 6] and {k: r.collector for k, r in about.items() if k != "unknown"} == {k: k for k in LOGS if k != "unknown"}
+    ev = {}
+    for r in spark.read.parquet(f"{tmp_path}/out/gc_events.parquet").orderBy("log_id", "seq").collect():
+        ev.setdefault(r.log_id, []).append(r)
+    classes = {k: [r.event_class for r in ev.get(about[k].log_id, [])] for k in LOGS}
+    assert classes == {
+        "g1": ["G1Young", "G1YoungInitialMark", "G1ConcurrentMark", "G1Remark", "G1Cleanup", "G1Mixed", "G1SystemGC"],
+        "parallel": ["PSYoungGen", "PSFullGC"], "serial": ["DefNew", "SystemGC"],
+        "cms": ["ParNew", "InitialMark", "ConcurrentMark", "ConcurrentPreClean", "CMSRemark", "ConcurrentSweep"],
+        "zgc": ["ZGCYoungCollection"], "unknown": [],
+    }
+    young = ev[about["g1"].log_id][0]
+    assert (young.gc_cause, young.duration_us, young.t_us, young.heap.occ_before, young.heap.size_after) == ("G1_EVACUATION_PAUSE", 3250, 998000, 24576, 262144)
+    assert (young.cpu.user, young.cpu.wall, young.regions.eden.before, young.regions.old.after, young.metaspace.occ_after) == (0.02, 0.01, 10, 4, 3802)
+    assert [(p.name, p.sec) for p in young.phases] == [("Pre Evacuate Collection Set", 0.0001), ("Evacuate Collection Set", 0.0029)]
+    assert [r.gc_cause for r in ev[about["g1"].log_id][1:]] == ["METADATA_GENERATION_THRESHOLD", None, None, None, "G1_EVACUATION_PAUSE", "JAVA_LANG_SYSTEM"]
+    assert ev[about["parallel"].log_id][1].duration_us == 20000
+    (z,) = ev[about["zgc"].log_id]
+    assert (z.t_us, z.duration_us, z.gc_cause) == (995000, 31000, "ALLOCATION_RATE") and z.zgc.load == [1.5, 1.25, 1.0]
+    assert (z.zgc.pauses.mark_end.dur_us, z.zgc.pauses.relocate_start.t_us, z.zgc.concurrent.mark, z.zgc.concurrent.relocate) == (12, 1015000, 0.008, 0.007)
+    assert z.zgc.memory.occ_before == 128 << 20 and z.heap is None
+    log = about["g1"].log_id
+    assert [(r.calculated_threshold, r.max_threshold, r.bytes_at_age[:4]) for r in spark.read.parquet(f"{tmp_path}/out/survivor_records.parquet").collect()] == [(7, 15, [0, 524288, 1024, 0])]
+    assert [(r.series if "series" in r else r.vm_operation, r.n) for r in engine.view("safepoint-cause", log).collect()] == [("G1CollectFull", 1)]
+    unparsed = {r.log_id: (r.entries, r.unparsed) for r in spark.read.parquet(f"{tmp_path}/out/unparsed.parquet").collect()}
+    assert {k: unparsed[r.log_id][1] for k, r in about.items()} == {"g1": 1, "parallel": 0, "serial": 0, "cms": 0, "zgc": 0, "unknown": 2}
+    assert sorted(round(r.pause_ms if "pause_ms" in r else r.ms, 3) for r in engine.view("pause-time", log).collect()) == [0.1, 1.0, 2.0, 2.0, 3.25, 20.0]
+    assert sorted(r.ms for r in engine.view("zgc-pause-time", about["zgc"].log_id).collect()) == [0.009, 0.01, 0.012]
+    plan = engine.view("pause-time", log)._jdf.queryExecution().toString()
+    assert f"EqualTo(log_id,{log})" in plan
+    assert {r.status for r in engine.status(log).filter("view_id = 'summary'").collect()} == {"OK"}
 
 
 def test_very_long_lines(spark):
