@@ -16,7 +16,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regular_grid.regular_grid(table(spark, sf_dir, "window_stats"))
+    got = regular_grid.regular_grid(table(spark, sf_dir, "window_stats"))
+    # to millionths, in the way that both engines round alike
+    return got.withColumns({c: F.floor(F.col(c) * 1e6 + 0.5) / 1e6 for c in ("throughput_pct", "stw_sec")})
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +30,13 @@ def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_drift.unify(table(spark, sf_dir, "harvest_records"))
 
 
+def p3_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unified phase times as rows: (file_id, line_no, field, name, sec)."""
+    u = p3_unified(spark, sf_dir)
+    parts = [u.select("file_id", "line_no", F.lit(c).alias("field"), F.explode(c).alias("name", "sec")) for c in ("phase_seconds", "sub_phase_seconds")]
+    return parts[0].unionByName(parts[1]).filter("sec IS NOT NULL").select("file_id", "line_no", "field", "name", F.round("sec", 9).alias("sec"))
+
+
 def p3_lifespans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_drift.lifespans(schema_drift.footers(table(spark, sf_dir, "harvest_records")))
 
@@ -44,8 +53,13 @@ def p4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_templates.templates(table(spark, sf_dir, "raw_log_lines"))
 
 
+def p4_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, lines): lines with a token by the kind of time that their template carries."""
+    return p4_templates(spark, sf_dir).groupBy("kind").agg(F.sum("lines").alias("lines"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p2_found, p2_series, p3_found, p3_unified, p3_lifespans, p4_found, p4_entries, p4_templates)
+    found = (p2_found, p2_series, p3_found, p3_unified, p3_seconds, p3_lifespans, p4_found, p4_entries, p4_templates, p4_kinds)
     return {f.__name__: f for f in found}
 
 
@@ -156,5 +170,89 @@ FROM e JOIN h ON h.log_path = e.log_path AND h.line_no = e.first_line LEFT JOIN
 """
 
 
+def _p4_kinds_sql() -> str:
+    named = {"ms": "epoch", "up": "uptime", "letter": "letter_date", "month": "month_day"}
+    whens = []
+    for kind, pattern, *_ in _LAYOUTS:
+        name = named.get(kind, "date_clock" if r"\d\d \d\d" in pattern else "stamp")
+        whens.append("WHEN regexp_matches(t, '" + pattern.replace("'", "''") + f"') THEN '{name}'")
+    return f"""
+WITH l AS (
+  SELECT DISTINCT ON (log_path, line_no) regexp_replace(regexp_replace(line, '\\x1B\\[[0-9;]*m', '', 'g'), '^\\x{{FEFF}}|[\\r\\n]+$', '', 'g') AS t
+  FROM raw_log_lines WHERE log_path IS NOT NULL AND line_no IS NOT NULL AND line IS NOT NULL)
+SELECT CASE {" ".join(whens)} ELSE '' END AS kind, count(*) AS lines FROM l WHERE regexp_matches(t, '\\S') GROUP BY 1
+"""
+
+
+_P2_CTES = """
+WITH r AS (
+  SELECT DISTINCT probe_id, CAST(step_sec AS DOUBLE) AS step, CAST(floor(start_sec / step_sec) AS BIGINT) AS slot, reading_id, start_sec AS t, throughput_pct AS a, stw_sec AS b FROM window_stats
+  WHERE probe_id IS NOT NULL AND step_sec > 0 AND start_sec IS NOT NULL AND NOT isnan(start_sec) AND abs(start_sec) < 1e15
+    AND throughput_pct IS NOT NULL AND NOT isnan(throughput_pct) AND throughput_pct BETWEEN 0 AND 100
+    AND stw_sec IS NOT NULL AND NOT isnan(stw_sec) AND stw_sec >= 0 AND NOT isinf(stw_sec)),
+o AS (SELECT probe_id, slot, min(step) AS step, count(*) AS n, avg(t) AS t, avg(a) AS a, avg(b) AS b FROM r GROUP BY probe_id, slot),
+l AS (SELECT *, lead(slot) OVER w AS qs, lead(t) OVER w AS qt, lead(a) OVER w AS qa, lead(b) OVER w AS qb,
+        lead(slot) OVER w - slot - 1 <= 12 AS joined, slot - lag(slot) OVER w - 1 <= 12 AS joined_before, lead(t) OVER w - t AS h, t - lag(t) OVER w AS hb,
+        (lead(a) OVER w - a) / (lead(t) OVER w - t) AS da, (a - lag(a) OVER w) / (t - lag(t) OVER w) AS dab,
+        (lead(b) OVER w - b) / (lead(t) OVER w - t) AS db, (b - lag(b) OVER w) / (t - lag(t) OVER w) AS dbb
+      FROM o WINDOW w AS (PARTITION BY probe_id ORDER BY slot)),
+"""
+
+
+def _p2_slope(d: str, before: str, fwd2: str, back2: str) -> str:
+    """Slope at a point of a segment: weighted harmonic mean inside, limited three-point formula at its ends, the chord where it has two points."""
+
+    def end(h0: str, h1: str, d0: str, d1: str) -> str:
+        raw = f"((2 * {h0} + {h1}) * {d0} - {h0} * {d1}) / ({h0} + {h1})"
+        return f"CASE WHEN {raw} * {d0} <= 0 THEN 0e0 WHEN {d0} * {d1} < 0 AND abs({raw}) > abs(3 * {d0}) THEN 3 * {d0} ELSE {raw} END"
+
+    inner = f"CASE WHEN {before} * {d} <= 0 THEN 0e0 ELSE ((2 * h + hb) + (h + 2 * hb)) / ((2 * h + hb) / {before} + (h + 2 * hb) / {d}) END"
+    return f"""CASE WHEN coalesce(joined_before, false) AND coalesce(joined, false) THEN {inner}
+      WHEN coalesce(joined, false) THEN CASE WHEN coalesce(joined2, false) THEN {end("h", "h2", d, fwd2)} ELSE {d} END
+      WHEN coalesce(joined_before, false) THEN CASE WHEN coalesce(joined_b2, false) THEN {end("hb", "hb2", before, back2)} ELSE {before} END END"""
+
+
+P2_SERIES_SQL = (
+    _P2_CTES
+    + f"""m AS (SELECT *, lead(joined) OVER w AS joined2, lead(h) OVER w AS h2, lead(da) OVER w AS da2, lead(db) OVER w AS db2,
+        lag(joined_before) OVER w AS joined_b2, lag(hb) OVER w AS hb2, lag(dab) OVER w AS dab2, lag(dbb) OVER w AS dbb2
+      FROM l WINDOW w AS (PARTITION BY probe_id ORDER BY slot)),
+s AS (SELECT *, {_p2_slope("da", "dab", "da2", "dab2")} AS ma, {_p2_slope("db", "dbb", "db2", "dbb2")} AS mb FROM m),
+e AS (SELECT *, lead(ma) OVER w AS ma1, lead(mb) OVER w AS mb1 FROM s WINDOW w AS (PARTITION BY probe_id ORDER BY slot)),
+c AS (SELECT *, unnest(generate_series(0, coalesce(qs - slot - 1, 0))) AS k FROM e),
+x AS (SELECT *, ((slot + k + 0.5e0) * step - t) / h AS u FROM c)
+SELECT probe_id, slot + k AS slot, (slot + k) * step AS slot_start_sec, CASE WHEN k = 0 THEN 'observed' WHEN joined THEN 'filled' ELSE 'gap' END AS status,
+       CASE WHEN k = 0 THEN n ELSE 0 END AS n_readings, """
+    + ", ".join(
+        f"""floor((CASE WHEN k = 0 THEN {v} WHEN joined THEN least(greatest({v}, q{v}), greatest(least({v}, q{v}),
+         (1 + 2 * u) * (1 - u) * (1 - u) * {v} + u * (1 - u) * (1 - u) * h * m{v} + u * u * (3 - 2 * u) * q{v} + u * u * (u - 1) * h * m{v}1)) END) * 1e6 + 0.5e0) / 1e6 AS {name}"""
+        for v, name in (("a", "throughput_pct"), ("b", "stw_sec"))
+    )
+    + " FROM x"
+)
+
+
+def _p3_seconds_sql() -> str:
+    """Every form that a field of phase times may have, by name, read apart and the first with a value in alias order taken."""
+    names = [(c, i, n, schema_drift.DriftSpec().factor(n)) for c in ("phase_seconds", "sub_phase_seconds") for i, n in enumerate(schema_drift.ALIASES[c][1])]
+    rows = ", ".join(f"('{c}', {i}, '{n}', {f!r}e0)" for c, i, n, f in names).replace("e-06e0", "e-6").replace("1e-3e0", "1e-3")
+    return f"""
+WITH a(field, pri, key, factor) AS (VALUES {rows}),
+h AS (SELECT DISTINCT ON (feed_id, file_id, line_no) feed_id, file_id, line_no, payload FROM harvest_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+v AS (SELECT file_id, feed_id, line_no, a.field, pri, factor, j.value AS raw, j.type AS t FROM h, json_each(h.payload) AS j JOIN a ON a.key = j.key WHERE j.type <> 'NULL'),
+w AS (SELECT *, CASE WHEN t = 'VARCHAR' AND json_valid(raw ->> '$') THEN CAST(raw ->> '$' AS JSON) ELSE CAST(raw AS JSON) END AS doc FROM v),
+o AS (SELECT * FROM w WHERE json_type(doc) IN ('OBJECT', 'ARRAY') QUALIFY pri = min(pri) OVER (PARTITION BY feed_id, file_id, line_no, field)),
+p AS (
+  SELECT feed_id, file_id, line_no, field, factor, e.key AS name, TRY_CAST(e.value ->> '$' AS DOUBLE) AS sec, 0 AS pos FROM (SELECT * FROM o WHERE json_type(doc) = 'OBJECT') x, json_each(x.doc) AS e
+  UNION ALL
+  SELECT feed_id, file_id, line_no, field, factor, e.value ->> '$.name', TRY_CAST(e.value ->> '$.sec' AS DOUBLE), CAST(e.key AS INTEGER) FROM (SELECT * FROM o WHERE json_type(doc) = 'ARRAY') x, json_each(x.doc) AS e),
+d AS (SELECT * FROM p WHERE name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY feed_id, file_id, line_no, field, name ORDER BY pos DESC) = 1)
+SELECT file_id, line_no, field, name, round(sec * factor, 9) AS sec FROM d WHERE sec IS NOT NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND_SQL, "p3_found": _p3_found_sql(), "p3_lifespans": _p3_lifespans_sql(), "p4_found": _p4_sql(False), "p4_entries": _p4_sql(True)}
+    return {
+        "p2_found": P2_FOUND_SQL, "p2_series": P2_SERIES_SQL, "p3_found": _p3_found_sql(), "p3_lifespans": _p3_lifespans_sql(), "p3_seconds": _p3_seconds_sql(),
+        "p4_found": _p4_sql(False), "p4_entries": _p4_sql(True), "p4_kinds": _p4_kinds_sql(),
+    }
