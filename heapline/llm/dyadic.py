@@ -158,7 +158,7 @@ class Sketch:
         return self.table
 
     def merge(self, other: Sketch) -> None:
-        self.settle()
+        """Add another one; codes wait, as in :meth:`add`, until there are enough of them to be worth adding up."""
         other.settle()
         if other.table is not None:
             if self.table is None:
