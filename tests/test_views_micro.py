@@ -164,3 +164,16 @@ def test_sharded_order_equals_a_plain_window(spark, sf_dir):
         bad = got.join(df.select("log_id", "seq", F.lag("seq").over(w).alias("q"), F.row_number().over(w).alias("m")), ["log_id", "seq"])
         assert bad.filter("NOT (p <=> q) OR n <> m").count() == 0 and bad.count() == df.count()
     assert catalogue.queries()
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from heapline.functions.cluster import shared_checkpoint
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_checkpoint(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=sc, conf=conf)))
